@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, sharding
+from . import exact_dedup, line_dedup, packing, sharding, token_counts
 
 QUERIES = {
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op7_token_counts": token_counts.op7_token_counts,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
