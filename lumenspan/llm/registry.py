@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, packing, sharding, simhash, token_counts
+from . import exact_dedup, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op7_token_counts": token_counts.op7_token_counts,
