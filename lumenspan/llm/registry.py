@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
+from . import exact_dedup, language_id, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op2_language_id": language_id.op2_language_id,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
