@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, language_id, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
+from . import decontamination, exact_dedup, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
 
 QUERIES = {
+    "op3_decontamination": decontamination.op3_decontamination,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op2_language_id": language_id.op2_language_id,
     "op5_lm_scoring": lm_scoring.op5_lm_scoring,
     "op1_simhash_near_dedup": simhash.op1_simhash_near_dedup,
@@ -16,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op6_license_scan": license_scan.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
 }
