@@ -8,6 +8,8 @@ A pair of groups whose undecided bits can't exceed the limit any more is accepte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 FAN = 8
@@ -72,8 +74,9 @@ class GrayIndex:
         which = np.repeat(np.arange(len(n)), n)
         return which, first[which] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
-    def linked(self, limit: int) -> np.ndarray:
-        """For each code, in the order given, the number of a code that stands for its component of links."""
+    def linked(self, limit: int, check: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+        """For each code, in the order given, the number of a code that stands for its component of links. check(i, j): which pairs
+        of codes, by their numbers, are links after all; asked only for pairs that aren't joined yet."""
         forest = Forest(len(self.codes))
         top = len(self.levels) - 1
         each = np.arange(len(self.levels[top][0]))
@@ -99,6 +102,15 @@ class GrayIndex:
             count = differ[pair] + np.bitwise_count((pattern[i] ^ pattern[j]) & common & ~known[pair])
             near = count <= limit
             i, j, count, common = i[near], j[near], count[near], common[near]
+            if check is not None:
+                if level == 1:
+                    apart = forest.roots(i) != forest.roots(j)
+                    i, j = i[apart], j[apart]
+                    good = check(self.order[i], self.order[j])
+                    forest.join(i[good], j[good])
+                elif len(i):
+                    stack.append((level - 1, i, j, count, common))
+                continue
             whole = count + 64 - np.bitwise_count(common) <= limit
             for side in (i, j):
                 which, leaves = self._leaves(leaf[side[whole]], leaf_end[side[whole]])
