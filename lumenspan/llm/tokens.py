@@ -1,23 +1,24 @@
 """Encoding of whole texts with a public tokenizer, inside tasks.
 
-The vocabulary file is a parameter. A tokenizer that drops white space and splits at it, as the default one does, encodes a text as the
-concatenation of its space-separated chunks; so chunks are encoded once and remembered, in a memo of bounded size.
+The vocabulary file is a parameter. A tokenizer that drops white space and keeps letters and other signs apart, as the default one does,
+encodes a text as the concatenation of its space-separated chunks, and a chunk of letters and punctuation as that of the two; so
+chunks and words are encoded once and remembered, in memos of bounded size. Texts go to other tokenizers whole.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks that a Python worker remembers, about 200 bytes each.
-MEMO = 300_000
-#: Longer chunks are encoded but not remembered.
-MEMO_CHARS = 64
+#: Chunks and words that a Python worker remembers before it starts afresh, about 200 bytes each.
+MEMO = 500_000
 #: Documents are encoded in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 
@@ -25,6 +26,10 @@ GROUP_CHARS = 2_000_000
 class ChunkEncoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
+    #: Letters of Latin-1, then ASCII punctuation without the apostrophe: always a token run for each of the two.
+    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    WORD_END = "</w>"
+
     def __init__(self, name: str, memo: int = MEMO) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -34,24 +39,56 @@ class ChunkEncoder:
 
             name = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(name)
-        self.memo: dict[str, bytes] = {"": b""}
+        how = json.loads(self.tokenizer.to_str())
+        #: white space is dropped, letters and other signs are kept apart, and a word's last token is marked
+        self.splits = how["model"].get("end_of_word_suffix") == self.WORD_END and r"[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in json.dumps(how["pre_tokenizer"])
+        if self.splits:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(self.WORD_END)]] = True
+        self.chunks: dict[str, bytes] = {"": b""}
+        self.words: dict[str, bytes] = {"": b""}
         self.size = memo
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters alone, encoded as one text and parted at the marked tokens."""
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            stop = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            data, start = ids.tobytes(), 0
+            for w, end in zip(some, stop.tolist(), strict=True):
+                self.words[w] = data[start:end]
+                start = end
+
+    def _learn(self, chunks: list[str]) -> None:
+        parts = [self.PLAIN.fullmatch(c) for c in chunks]
+        split = [(m[1].lower(), m[2]) if m else None for m in parts]
+        if len(self.words) > self.size:
+            self.words = {"": b""}
+        known = self.words
+        self._learn_words(list({p[0] for p in split if p and p[0] not in known}))
+        rest = list({p[1] for p in split if p and p[1] not in known} | {c for c, p in zip(chunks, split, strict=True) if not p})
+        known.update(zip(rest, self._whole(rest), strict=True))
+        self.chunks.update((c, known[p[0]] + known[p[1]] if p else known[c]) for c, p in zip(chunks, split, strict=True))
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not self.splits:
+            return self._whole([t or "" for t in texts])
         # only these characters are cut at: every other white space is left to the tokenizer
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.memo) > self.size:
-            self.memo = {"": b""}
-        known = self.memo
-        new = list({c for part in chunks for c in part if c not in known})
-        if not new:
-            return [b"".join(map(known.__getitem__, part)) for part in chunks]
-        ids = [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        long = {c: x for c, x in zip(new, ids, strict=True) if len(c) > MEMO_CHARS}
-        known.update((c, x) for c, x in zip(new, ids, strict=True) if len(c) <= MEMO_CHARS)
-        if not long:
-            return [b"".join(map(known.__getitem__, part)) for part in chunks]
-        return [b"".join([long[c] if c in long else known[c] for c in part]) for part in chunks]
+        if len(self.chunks) > self.size:
+            self.chunks = {"": b""}
+        found = [list(map(self.chunks.get, part)) for part in chunks]
+        miss = [k for k, ids in enumerate(found) if None in ids]
+        if miss:
+            self._learn(list({c for k in miss for c, ids in zip(chunks[k], found[k], strict=True) if ids is None}))
+            for k in miss:
+                found[k] = [self.chunks[c] if ids is None else ids for c, ids in zip(chunks[k], found[k], strict=True)]
+        return list(map(b"".join, found))
 
 
 @functools.lru_cache(maxsize=1)
