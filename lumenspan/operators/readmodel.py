@@ -95,7 +95,9 @@ def stability_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("run_id", "mode", "stability", tone.alias("tone"), label.alias("presence_label"))
 
 
-MODE_RANK = F.when(F.col("mode") == "PARAMETRIC", 0).otherwise(1)
+def mode_rank() -> Column:
+    """The order of the plan, not of the alphabet."""
+    return F.when(F.col("mode") == "PARAMETRIC", 0).otherwise(1)
 
 
 @query("runs_recent_tasks", f"""WITH {OBS_SQL}, t AS (SELECT run_id, query_id, provider, mode, {TALLY_SQL} FROM obs GROUP BY ALL), r AS (SELECT DISTINCT run_id FROM t ORDER BY run_id DESC LIMIT 20)
@@ -104,7 +106,7 @@ def runs_recent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 latest runs with the first 25 of their tasks in plan order."""
     tasks = tally(observations(spark, sf_dir), TASK)
     recent = tasks.select("run_id").distinct().orderBy(F.desc("run_id")).limit(20)
-    plan = Window.partitionBy("run_id").orderBy("query_id", "provider", MODE_RANK)
+    plan = Window.partitionBy("run_id").orderBy("query_id", "provider", mode_rank())
     out = tasks.join(F.broadcast(recent), "run_id").withColumn("place", F.row_number().over(plan).cast("long")).where("place <= 25")  # 20 rows
     return out.select(*TASK, final_status().alias("status"), "place")
 
@@ -113,7 +115,7 @@ def runs_recent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def task_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second page of a run's tasks."""
     tasks = observations(spark, sf_dir).where(F.col("run_id") == F.lit("2024-01-05")).groupBy(*TASK).agg(F.count(F.lit(1)).alias("calls"))
-    return tasks.orderBy("query_id", "provider", MODE_RANK).offset(25).limit(25)
+    return tasks.orderBy("query_id", "provider", mode_rank()).offset(25).limit(25)
 
 
 @query("provider_chart_pivot", f"WITH {OBS_SQL} SELECT provider, round(quantile_cont(score, 0.5) FILTER (mode = 'GROUNDED'), 6) AS grounded_median, round(quantile_cont(score, 0.5) FILTER (mode = 'PARAMETRIC'), 6) AS parametric_median, count_if(mode = 'GROUNDED')::BIGINT AS grounded_n, count_if(mode = 'PARAMETRIC')::BIGINT AS parametric_n FROM done GROUP BY provider")
@@ -137,7 +139,7 @@ def query_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("heatmap_columns", f"WITH {OBS_SQL} SELECT provider, mode, row_number() OVER (ORDER BY provider, mode <> 'GROUNDED') AS place FROM (SELECT DISTINCT provider, mode FROM obs)")
 def heatmap_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct columns, by label and grounded first; as many as there are engines and modes."""
-    order = Window.orderBy("provider", 1 - MODE_RANK)
+    order = Window.orderBy("provider", 1 - mode_rank())
     return observations(spark, sf_dir).select("provider", "mode").distinct().withColumn("place", F.row_number().over(order).cast("long"))
 
 

@@ -76,7 +76,7 @@ def tally(obs: DataFrame, keys: list[str]) -> DataFrame:
 TALLY_SQL = "count_if(status = 'COMPLETED')::BIGINT AS succeeded, count_if(status = 'FAILED')::BIGINT AS failed, count_if(status = 'CANCELLED')::BIGINT AS cancelled, count_if(status IN ('PENDING', 'RUNNING'))::BIGINT AS pending"
 
 
-def final_status(missing: Column = F.lit(0)) -> Column:
+def final_status(missing: Column | int = 0) -> Column:
     """Null while calls are pending; calls that succeeded but lack a score count as failed."""
     failed, good = F.col("failed") + missing, F.col("succeeded") - missing
     return F.when(F.col("pending") > 0, F.lit(None)).when((good == 0) & (failed == 0) & (F.col("cancelled") > 0), "CANCELLED").when(good == 0, "FAILED").when((failed > 0) | (F.col("cancelled") > 0), "PARTIAL").otherwise("COMPLETED")
@@ -126,12 +126,10 @@ def run_status_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", *[F.col(s).alias(f"n_{s.lower()}") for s in STATUSES])
 
 
-GROUNDED, PARAMETRIC = F.col("mode") == "GROUNDED", F.col("mode") == "PARAMETRIC"
-
-
 def paired_cells(obs: DataFrame, capability: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each (query, provider): means and repeats of both modes by conditional aggregation, and whether they can be paired."""
-    cells = obs.groupBy(*keys, "query_id", "provider").agg(F.avg(F.when(GROUNDED, F.col("score"))).alias("g"), F.avg(F.when(PARAMETRIC, F.col("score"))).alias("p"), F.count_if(GROUNDED).alias("n_g"), F.count_if(PARAMETRIC).alias("n_p"))
+    grounded, parametric = F.col("mode") == "GROUNDED", F.col("mode") == "PARAMETRIC"
+    cells = obs.groupBy(*keys, "query_id", "provider").agg(F.avg(F.when(grounded, F.col("score"))).alias("g"), F.avg(F.when(parametric, F.col("score"))).alias("p"), F.count_if(grounded).alias("n_g"), F.count_if(parametric).alias("n_p"))
     cells = cells.join(F.broadcast(capability.select("provider", "parametric", "grounded")), "provider", "left")  # a handful of engines
     unknown = F.col("parametric").isNull()
     unsupported = ~unknown & ~(F.col("parametric") & F.col("grounded"))
