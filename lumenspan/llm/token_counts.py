@@ -17,14 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialise, table
 from .tokens import TOKENIZER, encoder, groups
 
 BLOCK = 1024
 
 
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """n_tokens, n_docs."""
+    """n_tokens, n_docs; written, as answers read it more than once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
@@ -34,7 +34,7 @@ def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str = TOKEN
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "n_docs": pa.array(list(seen.values()), pa.int64())})
 
     part = docs.select(F.col(f"`{text}`").cast("string")).mapInArrow(count, "n_tokens long, n_docs long")
-    return part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs"))
+    return materialise(part.groupBy("n_tokens").agg(F.sum("n_docs").alias("n_docs")), "length-histogram")
 
 
 def suffix_sums(histogram: DataFrame) -> DataFrame:
