@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, table
+from .common import SPACE, ascii_lower, materialise, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
@@ -46,6 +46,7 @@ def frequent_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def drop_frequent_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text replaced by its other lines, plus n_lines__ld (before) and n_dropped__ld."""
     each, frequent = frequent_lines(docs, text, doc_id, min_docs)
+    frequent = materialise(frequent, "frequent-lines")  # read anew, so that Spark may broadcast it or split a hot line's rows
     gone = each.join(frequent, "hash__ld", "left_semi").groupBy("doc__ld").agg(F.collect_set("hash__ld").alias("gone__ld"))
     out = docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("doc__ld")), "left")
     lines = lines_of(F.col(f"`{text}`"))
