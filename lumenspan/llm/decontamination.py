@@ -186,7 +186,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     found = None
     for k in range(blocks):
         rows = [(r["gram"], r["size"], r["reach"]) for r in numbered.where(F.col("block") == k).select("gram", "size", "reach").toLocalIterator()]
-        some = materialise(passages(docs, Seeds(rows, SEED_WORDS), text, doc_id), "passages")
+        row = F.concat_ws(".", F.lit(k), F.monotonically_increasing_id())  # written, so that both sides of the join below see the same
+        some = materialise(passages(docs, Seeds(rows, SEED_WORDS), text, doc_id).withColumn("row", row), "passages")
         found = some if found is None else found.unionByName(some)
     hits = found.select("doc_id", F.explode("grams").alias("gram"))
     frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
@@ -194,9 +195,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
     stretch = Window.partitionBy("item_id", F.floor(F.col("at") / SPREAD)).orderBy("df", "at")
     rare = seeds.join(frequency, "gram").withColumn("place", F.row_number().over(stretch)).where(F.col("place") <= RAREST).select("gram", "item_id").distinct()
     text_of = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item"))
-    named = found.withColumn("row", F.monotonically_increasing_id())
-    pairs = named.select("row", F.explode("grams").alias("gram")).join(rare, "gram").select("row", "item_id").distinct()
-    aligned = _align(named.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"))
+    pairs = found.select("row", F.explode("grams").alias("gram")).join(rare, "gram").select("row", "item_id").distinct()
+    aligned = _align(found.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"))
     good = aligned.where(F.col("similarity") >= similarity)
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "word_start", "word_end", "copied"), F.struct("similarity", -F.col("word_start"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")

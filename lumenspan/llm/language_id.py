@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import table
 
 FOLDS, HELD_OUT = 5, 0
-PER_LANGUAGE = 300
+PER_LANGUAGE, SALTS = 300, 64
 HIDDEN, EMBED, WINDOW = 16, 16, 32
 STEPS, BATCH, RATE, SEED = 300, 512, 0.01, 5
 MEMO = 120_000
@@ -213,14 +213,13 @@ def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int
     key = F.xxhash64(F.lit(SEED), F.col(f"`{doc_id}`").cast("string"))
     rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & ~in_fold(F.col(f"`{doc_id}`"), HELD_OUT))
     rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), key.alias("key")).where(F.trim("lang") != "")
-    # counts of the hashes' upper bits tell how far the sample reaches, without a sort of the texts
-    slim = rows.select("lang", "key")
-    top = Window.partitionBy("lang").orderBy("key")
-    slot = F.floor(F.col("key") / F.lit(1 << 44))
-    counts = slim.groupBy("lang", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    reach = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("lang").orderBy("slot"))).where(F.col("upto") - F.col("n") < per_language).groupBy("lang").agg(F.max("slot").alias("last"))
-    near = rows.join(F.broadcast(reach), "lang").where(F.floor(F.col("key") / F.lit(1 << 44)) <= F.col("last"))
-    return [(r["text"], r["lang"]) for r in near.withColumn("at", F.row_number().over(top)).where(F.col("at") <= per_language).orderBy("lang", "key").collect()]
+    # the smallest hashes within salted parts of a language, then among those: no task gets a whole language, and no text moves yet
+    top = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
+    slim = rows.select("lang", "key").withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
+    slim = slim.withColumn("at", top("lang", "salt")).where(F.col("at") <= per_language)
+    reach = slim.withColumn("at", top("lang")).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("key").alias("last"))
+    near = rows.join(F.broadcast(reach), "lang").where(F.col("key") <= F.col("last"))  # a row for each language
+    return [(r["text"], r["lang"]) for r in near.withColumn("at", top("lang")).where(F.col("at") <= per_language).orderBy("lang", "key").collect()]
 
 
 def predict(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,15 +22,14 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, ascii_lower, table
 from .license_texts import LICENSES
 
-#: Patterns of the canonical form, in the order of their use; RE2, Java and Python read them alike.
+#: Signs that become spaces, spellings that become one, and the patterns of the canonical form in the order of their
+#: use; RE2, Java and Python read them alike.
+SIGNS = "‘’“”–—"
+PLAIN: list[tuple[str, str]] = [("©", "(c)"), ("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement")]
 RULES: list[tuple[str, str]] = [
     (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
-    (r"©", "(c)"),
-    (r"[‘’“”–—]", " "),
-    (r"https://", "http://"),
-    (r"licence", "license"),
-    (r"sub-license", "sublicense"),
-    (r"non-infringement", "noninfringement"),
+    (rf"[{SIGNS}]", " "),
+    *PLAIN,
     (r"[\x00-/:-@\[-`{-\x7F]+", " "),
 ]
 
@@ -42,10 +43,23 @@ def canonical_text(text: str) -> str:
 
 
 def canonical(text: Column) -> Column:
-    text = ascii_lower(text)
-    for pattern, to in RULES:
-        text = F.regexp_replace(text, pattern, to)
-    return F.btrim(text, F.lit(" "))
+    """RULES as columns: one pass for what maps character by character, plain searches for what is no pattern, and patterns only where
+    they can match."""
+    text = F.translate(text, UPPER + SIGNS, LOWER + " " * len(SIGNS))
+    line, to = RULES[0]
+    owned = text.contains("copyright") | text.contains("(c)") | text.contains("©")
+    text = F.when(owned, F.regexp_replace(text, line, to)).otherwise(text)
+    for plain, to in PLAIN:
+        text = F.replace(text, F.lit(plain), F.lit(to))
+    return F.btrim(F.regexp_replace(text, *RULES[-1]), F.lit(" "))
+
+
+def may_match(text: Column, entries: list[tuple[str, str]]) -> Column:
+    """False only for texts that can't be an entry: each entry has a word, untouched by the rules, that a match must have too."""
+    changed = re.compile("|".join(re.escape(x) for _, x in PLAIN if x))
+    words = {max((w for w in re.findall("[a-z]+", canonical_text(t)) if not changed.search(w)), key=len, default="") for _, t in entries}
+    low = F.lower(text)
+    return reduce(or_, [low.contains(w) for w in sorted(words)])
 
 
 def digest(text: Column) -> Column:
@@ -66,7 +80,8 @@ def license_units(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", e
     paragraphs, lines = F.split(whole, r"\n[ \t]*\n"), F.split(whole, "\n")
     # a text of one line or paragraph is looked up once
     units = F.concat(unit("text", F.array(whole)), F.when(F.size(paragraphs) > 1, unit("paragraph", paragraphs)).otherwise(unit("paragraph", F.array().cast("array<string>"))), F.when(F.size(lines) > 1, unit("line", lines)).otherwise(unit("line", F.array().cast("array<string>"))))
-    each = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(units).alias("u")).select("doc_id", "u.unit", "u.at", digest(F.col("u.part")).alias("digest"))
+    likely = docs.where(may_match(whole, entries))
+    each = likely.select(F.col(f"`{doc_id}`").alias("doc_id"), F.explode(units).alias("u")).where(may_match(F.col("u.part"), entries)).select("doc_id", "u.unit", "u.at", digest(F.col("u.part")).alias("digest"))
     return each.join(known, "digest").select("doc_id", "unit", "at", "digest", "license")
 
 

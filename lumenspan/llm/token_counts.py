@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialise, table
 from .tokens import TOKENIZER, encoder, groups
 
-BLOCK = 1024
+BLOCK = 128
 
 
 def length_histogram(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -41,7 +41,7 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     """For each length that occurs: docs and tokens of that length or more, and the total if all documents were cut there."""
     h = histogram.withColumns({"block": F.floor(F.col("n_tokens") / BLOCK), "tokens": F.col("n_tokens") * F.col("n_docs")})
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
-    # one row for each 1024 lengths: the longest document bounds it, not their number
+    # one row for each BLOCK lengths: the longest document bounds it, not their number
     later = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     rest = blocks.select("block", *[F.coalesce(F.sum(f"block_{c}").over(later), F.lit(0)).alias(f"later_{c}") for c in ("docs", "tokens")])
     here = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, 0)

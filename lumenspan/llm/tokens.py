@@ -26,8 +26,9 @@ GROUP_CHARS = 2_000_000
 class ChunkEncoder:
     """Texts to little-endian unsigned 32-bit ids, as bytes."""
 
-    #: Letters of Latin-1, then ASCII punctuation without the apostrophe: always a token run for each of the two.
-    PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    #: A chunk of letters of Latin-1, then of ASCII punctuation without the apostrophe, is a run of tokens for each of the two.
+    LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    SIGNS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
     WORD_END = "</w>"
 
     def __init__(self, name: str, memo: int = MEMO) -> None:
@@ -64,16 +65,21 @@ class ChunkEncoder:
                 self.words[w] = data[start:end]
                 start = end
 
-    def _learn(self, chunks: list[str]) -> None:
-        parts = [self.PLAIN.fullmatch(c) for c in chunks]
-        split = [(m[1].lower(), m[2]) if m else None for m in parts]
+    def _learn(self, chunks: set[str]) -> None:
         if len(self.words) > self.size:
             self.words = {"": b""}
-        known = self.words
-        self._learn_words(list({p[0] for p in split if p and p[0] not in known}))
-        rest = list({p[1] for p in split if p and p[1] not in known} | {c for c, p in zip(chunks, split, strict=True) if not p})
+        known, plain, rest = self.words, [], []
+        for c in chunks:
+            word = c.rstrip(self.SIGNS)
+            if word.isalpha() and (word.isascii() or self.LATIN.fullmatch(word)):
+                plain.append((c, word.lower(), c[len(word) :]))
+            else:
+                rest.append(c)
+        self._learn_words(list({w for _, w, _ in plain if w not in known}))
+        rest += {t for _, _, t in plain if t not in known}
         known.update(zip(rest, self._whole(rest), strict=True))
-        self.chunks.update((c, known[p[0]] + known[p[1]] if p else known[c]) for c, p in zip(chunks, split, strict=True))
+        self.chunks.update((c, known[c]) for c in rest)
+        self.chunks.update((c, known[w] + known[t] if t else known[w]) for c, w, t in plain)
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if not self.splits:
@@ -83,11 +89,11 @@ class ChunkEncoder:
         if len(self.chunks) > self.size:
             self.chunks = {"": b""}
         found = [list(map(self.chunks.get, part)) for part in chunks]
-        miss = [k for k, ids in enumerate(found) if None in ids]
-        if miss:
-            self._learn(list({c for k in miss for c, ids in zip(chunks[k], found[k], strict=True) if ids is None}))
-            for k in miss:
-                found[k] = [self.chunks[c] if ids is None else ids for c, ids in zip(chunks[k], found[k], strict=True)]
+        holes = [[at for at, ids in enumerate(row) if ids is None] for row in found]
+        self._learn({part[at] for part, row in zip(chunks, holes, strict=True) for at in row})
+        for part, row, ids in zip(chunks, holes, found, strict=True):
+            for at in row:
+                ids[at] = self.chunks[part[at]]
         return list(map(b"".join, found))
 
 
