@@ -17,8 +17,8 @@ import numpy as np
 import pyarrow as pa
 
 TOKENIZER = "word_bpe_49k.json"
-#: Chunks and words that a Python worker remembers before it starts afresh, about 200 bytes each.
-MEMO = 500_000
+#: Chunks and words that a Python worker remembers before it starts afresh, about 200 bytes for a chunk and half of it for a word.
+MEMO = 800_000
 #: Documents are encoded in groups of about so many characters.
 GROUP_CHARS = 2_000_000
 
@@ -72,7 +72,8 @@ class ChunkEncoder:
         for c in chunks:
             word = c.rstrip(self.SIGNS)
             if word.isalpha() and (word.isascii() or self.LATIN.fullmatch(word)):
-                plain.append((c, word.lower(), c[len(word) :]))
+                low = word if word.islower() else word.lower()  # the same object as the chunk, mostly: both memos hold it
+                plain.append((c, low, c[len(word) :]))
             else:
                 rest.append(c)
         self._learn_words(list({w for _, w, _ in plain if w not in known}))
@@ -88,13 +89,9 @@ class ChunkEncoder:
         chunks = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.chunks) > self.size:
             self.chunks = {"": b""}
-        found = [list(map(self.chunks.get, part)) for part in chunks]
-        holes = [[at for at, ids in enumerate(row) if ids is None] for row in found]
-        self._learn({part[at] for part, row in zip(chunks, holes, strict=True) for at in row})
-        for part, row, ids in zip(chunks, holes, found, strict=True):
-            for at in row:
-                ids[at] = self.chunks[part[at]]
-        return list(map(b"".join, found))
+        self._learn(set().union(*chunks).difference(self.chunks))
+        known = self.chunks.__getitem__
+        return [b"".join(map(known, part)) for part in chunks]
 
 
 @functools.lru_cache(maxsize=1)
