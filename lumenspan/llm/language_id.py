@@ -33,7 +33,12 @@ STEPS, BATCH, RATE, SEED = 300, 512, 0.01, 5
 MEMO = 120_000
 GROUP_CHARS = 2_000_000
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numbers that are no decimal digits.
+LIKELY = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in LIKELY.finditer(text))
 
 
 def in_fold(doc_id: Column, fold: int) -> Column:
@@ -246,7 +251,7 @@ def predict(docs: DataFrame, labelled: DataFrame | None = None, text: str = "tex
                 total = sums.sum(axis=1)
                 share = sums / np.where(total > 0, total, 1)[:, None]
                 for k, t in enumerate(texts):
-                    plain = not languages or not t or not LETTER.search(t)
+                    plain = not languages or not t or not has_letter(t)
                     best.append(UNKNOWN if plain else languages[int(share[k].argmax())])
                     score.append(0.0 if plain else min(1.0, float(share[k].max())))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], names=schema.names)
