@@ -1,10 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The n-grams of the test items are looked up in every document, map-side; the hits carry the stretch of the document around
-them, so the texts are read once and never shuffled. Their document frequencies over the whole corpus then decide which n-grams are
-seeds: in each stretch of `SPREAD` consecutive n-grams of an item the `RAREST` rarest. Stretches of documents that hold a seed are
-aligned with the item, word by word, by Smith-Waterman; an item is found in a document if the best local alignment reaches
-`SIMILARITY` of the score of a perfect copy, so edited and paraphrased copies count and shared phrases don't.
+them, so the texts are read once and never shuffled. Each stretch meets every item of which it holds an n-gram, however frequent: the
+n-grams that an edit spares are often those that other copies make frequent. A pair is given up only if the item's words that the
+stretch holds, all taken as matched, can't reach the score. The others are aligned word by word, by Smith-Waterman; an item is found in
+a document if the best local alignment reaches `SIMILARITY` of the score of a perfect copy, so edited and paraphrased copies
+count and shared phrases don't. A copy of which no `SEED_WORDS` words in a row are left isn't looked at.
 
 The test items' n-grams are broadcast in blocks of at most `BLOCK` n-grams; more items mean more passes over the documents, never a
 larger broadcast. Items of fewer than `SEED_WORDS` words are looked up as a whole. Null or empty items are never found. Null text
@@ -14,18 +15,18 @@ empty table gives an empty result. Further columns aren't looked at, and pass th
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import materialise, table
 
 SEED_WORDS = 3
-SPREAD, RAREST = 4, 2
 SIMILARITY = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK = 2_000_000
@@ -154,23 +155,37 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *where
 
 
-def _align(pairs: DataFrame) -> DataFrame:
-    """similarity, and the words of the document that the best alignment spans."""
+def _align(pairs: DataFrame, least: float) -> DataFrame:
+    """Pairs of at least that similarity, with it and the words of the document that the best alignment spans."""
     schema = T.StructType([f for f in pairs.schema.fields if f.name not in ("passage", "item")] + [T.StructField("similarity", T.DoubleType()), T.StructField("word_start", T.LongType()), T.StructField("word_end", T.LongType()), T.StructField("copied", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[list[bytes], Counter]] = {}
         for batch in batches:
             cols = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            out = []
-            for start, passage, item in zip(cols["start"].to_pylist(), cols["passage"].to_pylist(), cols["item"].to_pylist(), strict=True):
-                a, b = words_of((item or "").encode()), passage.split(" ")
+            out, kept = [], []
+            for k, (start, passage, item) in enumerate(zip(cols["start"].to_pylist(), cols["passage"].to_pylist(), cols["item"].to_pylist(), strict=True)):
+                if item not in known:
+                    if len(known) > 10_000:
+                        known = {}
+                    words = words_of((item or "").encode())
+                    known[item] = words, Counter(w.decode("utf-8", "replace") for w in words)
+                a, count = known[item]
+                b = passage.split(" ")
+                # no alignment matches more than the item's words that the passage holds
+                if sum(count[w] for w in count.keys() & set(b)) < least * len(a):
+                    continue
                 number: dict[bytes, int] = {}
                 left = np.array([number.setdefault(w, len(number)) for w in a])
                 right = np.array([number.get(w.encode(), -1) for w in b])
                 score, lo, hi = smith_waterman(left, right)
-                out.append((score / (MATCH * max(1, len(a))), start + lo, start + hi, " ".join(b[lo:hi])))
+                similarity = score / (MATCH * max(1, len(a)))
+                if similarity >= least:
+                    kept.append(k)
+                    out.append((similarity, start + lo, start + hi, " ".join(b[lo:hi])))
             extra = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*[cols[f.name] for f in schema.fields[:-4]], pa.array(extra[0], pa.float64()), pa.array(extra[1], pa.int64()), pa.array(extra[2], pa.int64()), pa.array(extra[3], pa.string())], names=schema.names)
+            rows = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[cols[f.name].take(rows) for f in schema.fields[:-4]], pa.array(extra[0], pa.float64()), pa.array(extra[1], pa.int64()), pa.array(extra[2], pa.int64()), pa.array(extra[3], pa.string())], names=schema.names)
 
     return pairs.mapInArrow(run, schema)
 
@@ -189,15 +204,9 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         row = F.concat_ws(".", F.lit(k), F.monotonically_increasing_id())  # written, so that both sides of the join below see the same
         some = materialise(passages(docs, Seeds(rows, SEED_WORDS), text, doc_id).withColumn("row", row), "passages")
         found = some if found is None else found.unionByName(some)
-    hits = found.select("doc_id", F.explode("grams").alias("gram"))
-    frequency = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # in each stretch of an item the rarest n-grams; one that no document has costs nothing and finds nothing, so it isn't asked for
-    stretch = Window.partitionBy("item_id", F.floor(F.col("at") / SPREAD)).orderBy("df", "at")
-    rare = seeds.join(frequency, "gram").withColumn("place", F.row_number().over(stretch)).where(F.col("place") <= RAREST).select("gram", "item_id").distinct()
     text_of = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item"))
-    pairs = found.select("row", F.explode("grams").alias("gram")).join(rare, "gram").select("row", "item_id").distinct()
-    aligned = _align(found.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"))
-    good = aligned.where(F.col("similarity") >= similarity)
+    pairs = found.select("row", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id").distinct(), "gram").select("row", "item_id").distinct()
+    good = _align(found.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"), similarity)
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "word_start", "word_end", "copied"), F.struct("similarity", -F.col("word_start"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 
