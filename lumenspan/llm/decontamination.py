@@ -9,8 +9,9 @@ count and shared phrases don't. A copy of which no `SEED_WORDS` words in a row a
 
 The test items' n-grams are broadcast in blocks of at most `BLOCK` n-grams; more items mean more passes over the documents, never a
 larger broadcast. Items of fewer than `SEED_WORDS` words are looked up as a whole. Null or empty items are never found. Null text
-is empty and holds nothing. A null doc_id is a value like any other; rows that repeat a doc_id share their findings. An
-empty table gives an empty result. Further columns aren't looked at, and pass through `decontaminated`.
+is empty and holds nothing. In `contaminated` a null doc_id is a value like any other, and rows that repeat a doc_id share their findings;
+`decontaminated` takes each row by itself. An empty table gives an empty result. Further columns aren't looked at, and pass
+through `decontaminated`, where the name `__row` is reserved.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, table, tagged
 
 SEED_WORDS = 3
 SIMILARITY = 0.5
@@ -212,9 +213,10 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
-    """docs without those that hold a test item."""
-    bad = contaminated(docs, items, text, doc_id, **how).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(materialise(bad, "contaminated"), F.col(f"`{doc_id}`").eqNullSafe(F.col("__bad")), "left_anti")
+    """docs without the rows that hold a test item, each judged by its own text."""
+    rows = tagged(docs)
+    bad = contaminated(rows, items, text, "__row", **how).select(F.col("doc_id").alias("__row")).distinct()
+    return rows.join(materialise(bad, "contaminated"), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

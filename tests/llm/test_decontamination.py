@@ -32,3 +32,11 @@ def _numbers(words, known):
 
     place = {w: i for i, w in enumerate(dict.fromkeys(known))}
     return np.array([place[w] for w in words])
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
+    item = " ".join(f"i{j}" for j in range(30))
+    rows = [(None, item), (None, "a clean text"), (1, f"lead {item}"), (1, "another clean text"), (2, "and one more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == {rows[1], rows[3], rows[4]} and got.columns == docs.columns
