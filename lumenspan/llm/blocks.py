@@ -13,7 +13,9 @@ def pack(*arrays: np.ndarray) -> bytes:
     parts = [struct.pack("<I", len(arrays))]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        parts += [struct.pack("<4sQ", a.dtype.str.encode().ljust(4), len(a)), a.tobytes()]
+        # byte by byte of the numbers: the upper bytes are alike
+        planes = a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T
+        parts += [struct.pack("<4sQ", a.dtype.str.encode().ljust(4), len(a)), planes.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
@@ -25,7 +27,8 @@ def unpack(data: bytes) -> list[np.ndarray]:
     for _ in range(n):
         kind, length = struct.unpack_from("<4sQ", data, at)
         dtype, at = np.dtype(kind.decode().strip()), at + 12
-        out.append(np.frombuffer(data, dtype, length, at))
+        planes = np.frombuffer(data, np.uint8, length * dtype.itemsize, at).reshape(dtype.itemsize, length)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(dtype))
         at += length * dtype.itemsize
     return out
 

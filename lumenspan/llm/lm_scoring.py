@@ -1,17 +1,25 @@
 """Language-model scoring with a hierarchical Pitman-Yor model.
 
-Each word has a context restaurant for what follows it; all of them share one parent restaurant, whose customers are the
-tables of the contexts at their first seating (one table for each dish), and whose base is uniform over the words met in
-training and one more. Seatings are sampled by Gibbs sweeps in numpy, in parallel over dishes, and predictive probabilities are
-averaged over the sweeps: with the parent given, they are linear in the numbers of tables, so averages of these serve.
-
-Nothing of the model is broadcast or gathered. Documents are read once, into rows of about `GROUP_CHARS` characters with a vocabulary
-of their own (a written table). Then three shuffles of packed rows: (1) a group asks the words' buckets, sending its training counts and
-contexts; a bucket answers each group with the words' statistics (written, as they also give the totals); (2) groups meet their
-answers and send their word pairs to the buckets of the contexts, where restaurants are seated and every pair, trained or held out,
-is scored; (3) a group's scores return to it and are added up by document. Words that make up more than 1 / `HOT` of all tokens - fewer
-than `HOT` - are dealt over `SALTS` buckets, as words and as contexts; a share of a hot context takes its restaurant's tables to be
-`SALTS` times its own, which alters its probabilities by well under a thousandth.
+Each word has a context restaurant for what follows it; all of them share one parent restaurant, whose customers are the tables of
+the contexts and whose base is uniform over the words met in training and one more. A round of the Gibbs sampler draws the seatings
+of all contexts given the parent, sends the tables to the parent, and draws the parent's seating in its turn. Predictive
+probabilities are averaged over all rounds but the first.
+
+Nothing of the model is broadcast or gathered. The text is read twice: once to find what is frequent, once to deal word pairs.
+
+1. Groups of about `GROUP_CHARS` characters send their distinct word pairs, with training counts and documents, to the buckets of the
+   contexts. A bucket keeps its restaurants and the documents of each pair in a table bucketed by its number, which later steps
+   read in place.
+2. Buckets send the words' training counts and tables to the buckets of the words, which answer with the sums over all contexts and
+   the parent's tables: once for the first seating (a table for each dish), then once a round. Draws depend on the pairs'
+   hashes alone, so a step repeats the rounds before it from their answers in place of keeping a state.
+3. With the last answers each bucket scores its pairs and adds the scores up by document; they meet once more by group.
+
+So the size of a task doesn't depend on the session, and the results not on the number of tasks or their order.
+
+Words over 1 / `HOT` of all tokens, fewer than `HOT`, are dealt over `SALTS` buckets as contexts; the tables of their other shares come
+with the answers. Pairs over 1 / `HOT` of all tokens, fewer than `HOT`, leave their documents in the group's own row,
+and their probabilities - a row each - are broadcast to these.
 
 A null text is empty: the end token alone. A null doc_id counts as the empty string in the split. Rows that repeat a doc_id are
 scored on their own. An empty table gives an empty result. Further columns of the input aren't looked at.
@@ -20,8 +28,10 @@ scored on their own. An empty table gives an empty result. Further columns of th
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -30,32 +40,43 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blocks import least, pack, spread, starts, unpack
-from .common import materialise, release, shuffle_width, table
-from .seating import mean_tables
+from .common import materialise, release, table, work_dir
+from .seating import gamma, mix, sample_tables
 
 FOLDS, HELD_OUT = 5, 1
 GROUP_CHARS = 8_000_000
-PER_TASK = 2_000_000
+#: Tokens of a bucket, and buckets of a partition.
+BUCKET_TOKENS, PER_PARTITION = 2_000_000, 2
 HOT, SALTS = 2000, 16
 CONTEXT_DISCOUNT, PARENT_DISCOUNT, STRENGTH = 0.8, 0.7, 1.0
-SWEEPS, BURN_IN, SEED = 5, 2, 11
+ROUNDS, BURN_IN, SEED = 3, 1, 11
 #: White space can't be part of a word, so these stand for the end and the beginning of a text.
 END, BEGIN = b"\n", b"\r"
+#: The bucket of rows that hold hot pairs' probabilities.
+HOT_PAIRS = 2**31 - 1
 
 
 def held_out(doc_id: object) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % FOLDS == HELD_OUT
 
 
-def _mix(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
-    """A hash of two hashes."""
-    with np.errstate(over="ignore"):
-        x = (np.asarray(a, np.uint64) ^ (np.asarray(b, np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB) ^ (x >> np.uint64(32))
+@dataclass
+class Corpus:
+    """Tokens of a group of texts: words, contexts and documents as numbers, and the hashes of the words."""
 
+    ids: list
+    vocabulary: np.ndarray
+    words: np.ndarray
+    lengths: np.ndarray
+    contexts: np.ndarray = field(init=False)
+
+    def __post_init__(self) -> None:
+        self.contexts = np.empty_like(self.words)
+        self.contexts[1:] = self.words[:-1]
+        self.contexts[starts(self.lengths)] = 1
 
-def _group(texts: list[bytes], flags: list[bool]) -> bytes:
-    """lengths, held out, vocabulary (hashes; the end first, then the beginning), tokens."""
+
+def _corpus(ids: list, texts: list[bytes]) -> Corpus:
     from xxhash import xxh64_intdigest
 
     index = {END: 0, BEGIN: 1}
@@ -66,78 +87,22 @@ def _group(texts: list[bytes], flags: list[bool]) -> bytes:
         tokens.append(0)
         lengths.append(len(words) + 1)
     vocabulary = np.array([xxh64_intdigest(w) for w in index], np.uint64)
-    return pack(least(np.array(lengths)), np.array(flags, np.uint8), vocabulary, least(np.array(tokens)))
-
-
-def grouped(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """part (a number of the group), doc_ids, tokens, payload; written."""
-    docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "utf-8").alias("text"))
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("part", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("tokens", T.LongType()), T.StructField("payload", T.BinaryType())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    return Corpus(ids, vocabulary, np.array(tokens, np.int64), np.array(lengths))
 
-        part = TaskContext.get().partitionId() << 32
-        ids, texts, chars = [], [], 0
 
-        def row() -> pa.RecordBatch:
-            payload = _group(texts, [held_out(x) for x in ids])
-            n = int(unpack(payload)[0].sum())
-            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([ids], pa.list_(id_type)), pa.array([n]), pa.array([payload], pa.binary())], names=schema.names)
-
-        for batch in batches:
-            id_type = batch.schema.field(0).type
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                t = t.as_py()
-                ids.append(i.as_py())
-                texts.append(t)
-                chars += len(t)
-                if chars >= GROUP_CHARS:
-                    yield row()
-                    part, ids, texts, chars = part + 1, [], [], 0
-        if ids:
-            yield row()
-
-    return materialise(docs.mapInArrow(run, schema), "token-groups")
-
-
-class Corpus:
-    """A group's arrays."""
-
-    def __init__(self, payload: bytes) -> None:
-        self.lengths, held, self.vocabulary, tokens = unpack(payload)
-        self.words = tokens.astype(np.int64)
-        self.contexts = np.empty_like(self.words)
-        self.contexts[1:] = self.words[:-1]
-        self.contexts[starts(self.lengths)] = 1
-        self.docs = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        self.trains = np.repeat(held == 0, self.lengths)
-
-
-class Dealer:
-    """Which bucket a word or a context goes to."""
-
-    def __init__(self, buckets: int, hot: list[int]) -> None:
-        self.buckets, self.hot = np.uint64(buckets), np.array(sorted(hot), np.uint64)
-
-    def is_hot(self, hashes: np.ndarray) -> np.ndarray:
-        return np.isin(hashes, self.hot)
-
-    def bucket(self, hashes: np.ndarray, salts: np.ndarray) -> np.ndarray:
-        return (_mix(hashes, salts) % self.buckets).astype(np.int64)
-
-    def salt(self, hashes: np.ndarray, by: np.ndarray) -> np.ndarray:
-        return np.where(self.is_hot(hashes), _mix(by, 7) % np.uint64(SALTS), np.uint64(0)).astype(np.int64)
-
-    def asked(self, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, salt, bucket) of a group's requests, sorted by bucket; hot words ask all salts."""
-        hot = np.flatnonzero(self.is_hot(vocabulary))
-        word = np.concatenate([np.arange(len(vocabulary)), np.repeat(hot, SALTS - 1)])
-        salt = np.concatenate([np.zeros(len(vocabulary), np.int64), np.tile(np.arange(1, SALTS), len(hot))])
-        bucket = self.bucket(vocabulary[word], salt)
-        order = np.lexsort((salt, word, bucket))
-        return word[order], salt[order], bucket[order]
+def _corpora(batches: Iterator[pa.RecordBatch], group_chars: int) -> Iterator[Corpus]:
+    """Rows (doc_id, text) in groups."""
+    ids, texts, chars = [], [], 0
+    for batch in batches:
+        for i, t in zip(batch.column(0), batch.column(1), strict=True):
+            ids.append(i.as_py())
+            texts.append(t.as_py())
+            chars += len(texts[-1])
+            if chars >= group_chars:
+                yield _corpus(ids, texts)
+                ids, texts, chars = [], [], 0
+    if ids:
+        yield _corpus(ids, texts)
 
 
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,100 +113,210 @@ def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return sorted_keys[start], start, np.append(start[1:], len(sorted_keys))
 
 
-def _questions(c: Corpus, dealer: Dealer) -> Iterator[tuple[int, bytes]]:
-    """(bucket, payload: hashes of word and salt, training counts, numbers of contexts, 40 bits of each context)."""
-    n = len(c.vocabulary)
-    counts = np.bincount(c.words[c.trains], minlength=n)
-    pairs = np.unique(c.words[c.trains] * n + c.contexts[c.trains])
-    word, context = pairs // n, c.vocabulary[pairs % n]
-    salt = dealer.salt(c.vocabulary[word], context)
-    order = np.lexsort((salt, word))
-    place = word[order] * SALTS + salt[order]
-    context = context[order] & np.uint64((1 << 40) - 1)
-    asked, asked_salt, bucket = dealer.asked(c.vocabulary)
-    key = asked * SALTS + asked_salt
-    first, last = np.searchsorted(place, key, "left"), np.searchsorted(place, key, "right")
-    for b, lo, hi in zip(*_runs(bucket), strict=True):
-        mine = context[spread(first[lo:hi], last[lo:hi] - first[lo:hi])]
-        yield int(b), pack(_mix(c.vocabulary[asked[lo:hi]], asked_salt[lo:hi]), least(np.where(asked_salt[lo:hi] == 0, counts[asked[lo:hi]], 0)), least(last[lo:hi] - first[lo:hi]), mine.view(np.uint8).reshape(-1, 8)[:, :5].ravel())
-
-
-def _answers(parts: list[int], payloads: list[bytes], share: float, seed: int) -> Iterator[tuple[int, bytes, int, int, float, float]]:
-    """For each group its words' training counts, tables of the contexts, tables of the parent; with the first, the totals."""
-    blocks = [unpack(p) for p in payloads]
-    sizes = np.array([len(b[0]) for b in blocks])
-    words, inverse = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
-    counts = np.bincount(inverse, weights=np.concatenate([b[1] for b in blocks]), minlength=len(words)).astype(np.int64)
-    contexts = np.concatenate([b[3] for b in blocks]).reshape(-1, 5)
-    wide = np.zeros((len(contexts), 8), np.uint8)
-    wide[:, :5] = contexts
-    word = np.repeat(inverse, np.concatenate([b[2] for b in blocks]).astype(np.int64))
-    order = np.lexsort((wide.view(np.uint64).ravel(), word))
-    word, context = word[order], wide.view(np.uint64).ravel()[order]
-    new = np.concatenate([[True], (word[1:] != word[:-1]) | (context[1:] != context[:-1])]) if len(word) else np.zeros(0, bool)
-    tables = np.bincount(word[new], minlength=len(words))
-    known = max(1, int((counts > 0).sum()))
-    rng = np.random.default_rng(seed)
-    base = lambda t: np.full(len(words), (STRENGTH + PARENT_DISCOUNT * t.sum() * share) / (known * share + 1))
-    seats = mean_tables(tables, base(np.minimum(tables, 1)), PARENT_DISCOUNT, SWEEPS, BURN_IN, rng, base)
-    for k, (part, at) in enumerate(zip(parts, starts(sizes), strict=True)):
-        mine = inverse[at : at + sizes[k]]
-        totals = (int(counts.sum()), int((counts > 0).sum()), float(tables.sum()), float(seats.sum())) if k == 0 else (0, 0, 0.0, 0.0)
-        yield part, pack(least(counts[mine]), least(tables[mine]), seats[mine].astype(np.float32)), *totals
-
-
-def _pairs(c: Corpus, answers: dict[int, bytes], dealer: Dealer, totals: dict[str, float]) -> Iterator[tuple[int, bytes]]:
-    """First (-1, the documents' n_tokens, n_known and base sums), then (bucket, word pairs)."""
-    n = len(c.vocabulary)
-    counts, tables, seats = np.zeros(n), np.zeros(n), np.zeros(n)
-    asked, salt, bucket = dealer.asked(c.vocabulary)
-    for b, lo, hi in zip(*_runs(bucket), strict=True):
-        for to, got in zip((counts, tables, seats), unpack(answers[int(b)]), strict=True):
-            np.add.at(to, asked[lo:hi], got)
-    base = (STRENGTH + PARENT_DISCOUNT * totals["seats"]) / (totals["v"] + 1)
-    parent = (np.maximum(tables - PARENT_DISCOUNT * seats, 0) + base) / (STRENGTH + totals["tables"])
-    known = np.bincount(c.docs, weights=counts[c.words] > 0, minlength=len(c.lengths))
-    plain = np.bincount(c.docs, weights=np.log10(counts + 0.5)[c.words], minlength=len(c.lengths))
-    yield -1, pack(c.lengths, least(known.astype(np.int64)), plain)
-    counts[1] = totals["docs"]  # a text begins once for each document
-    order = np.argsort(c.contexts * n + c.words, kind="stable")
-    pair, start, end = _runs((c.contexts * n + c.words)[order])
-    docs = c.docs[order]
-    trained = np.add.reduceat(c.trains[order].astype(np.int64), start)
+@dataclass
+class Frequent:
+    """What is dealt over several tasks: numbers of buckets, hashes of hot words and of hot pairs."""
+
+    buckets: int
+    words: np.ndarray
+    pairs: np.ndarray
+
+    def bucket(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        salt = np.where(np.isin(contexts, self.words), mix(words, 7) % np.uint64(SALTS), np.uint64(0))
+        return self.of_word(mix(contexts, salt))
+
+    def of_word(self, hashes: np.ndarray) -> np.ndarray:
+        return (mix(hashes, 3) % np.uint64(self.buckets)).astype(np.int64)
+
+
+def frequent(slim: DataFrame, group_chars: int = GROUP_CHARS, hot_share: int = HOT) -> Frequent:
+    """Of all tokens. What is over 1 / hot_share of them is so in some group, and a group has fewer than hot_share such words or pairs."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in _corpora(batches, group_chars):
+            n = np.bincount(c.words, minlength=len(c.vocabulary))
+            often = np.flatnonzero(n * hot_share > len(c.words))
+            place = np.full(len(n), -1)
+            place[often] = np.arange(len(often))
+            place[1], size = len(often), len(often) + 1  # a text's beginning may be half of a hot pair
+            a, b = place[c.contexts], place[c.words]
+            both = np.bincount((a * size + b)[(a >= 0) & (b >= 0)], minlength=size * size)
+            hot = np.flatnonzero(both * hot_share > len(c.words))
+            name = np.append(c.vocabulary[often], c.vocabulary[1])
+            begins = len(c.lengths) * hot_share > len(c.words)
+            words, counts = name[: len(often) + begins], np.append(n[often], len(c.lengths))[: len(often) + begins]
+            kinds = np.repeat(["word", "pair", "all"], [len(words), len(hot), 1])
+            hashes = np.concatenate([words, mix(name[hot // size], name[hot % size]), np.zeros(1, np.uint64)])
+            total = np.concatenate([counts, both[hot], [len(c.words)]])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(kinds), pa.array(hashes.view(np.int64)), pa.array(total)], names=["kind", "hash", "n"]
+            )
+
+    found = slim.mapInArrow(count, "kind string, hash long, n long").groupBy("kind", "hash").agg(F.sum("n").alias("n"))
+    # fewer than 2 * hot_share rows once they are added up
+    found = materialise(found, "frequent")
+    total = found.where("kind = 'all'").agg(F.sum("n")).first()[0] or 0
+    rows = found.where((F.col("kind") != "all") & (F.col("n") * hot_share > total)).collect()
+    words, pairs = (np.array(sorted(r["hash"] % 2**64 for r in rows if r["kind"] == k), np.uint64) for k in ("word", "pair"))
+    return Frequent(max(16, -(-total // BUCKET_TOKENS)), words, pairs)
+
+
+def _dealt(c: Corpus, how: Frequent) -> Iterator[tuple[int, bytes]]:
+    """First (-1, the group's own row), then (bucket, word pairs of a group)."""
+    n, held = len(c.vocabulary), np.array([held_out(x) for x in c.ids])
+    docs = np.repeat(np.arange(len(c.lengths)), c.lengths)
+    key = c.contexts * n + c.words
+    order = np.argsort(key, kind="stable")
+    key, docs = key[order], docs[order]
+    # a pair's documents, each with its number of times; texts are in order, so equal ones are neighbours
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])])
+    at = np.flatnonzero(new)
+    times, key, docs = np.diff(np.append(at, len(new))), key[at], docs[at]
+    pair, start, end = _runs(key)
+    trained = np.add.reduceat(np.where(held[docs], 0, times), start)
     context, word = pair // n, pair % n
-    bucket = dealer.bucket(c.vocabulary[context], dealer.salt(c.vocabulary[context], c.vocabulary[word]))
+    hot = np.isin(mix(c.vocabulary[context], c.vocabulary[word]), how.pairs)
+    mine = np.flatnonzero(hot)
+    many = (end - start)[mine]
+    own = spread(start[mine], many)
+    hashes = mix(c.vocabulary[context[mine]], c.vocabulary[word[mine]])
+    yield -1, pack(least(c.lengths), hashes, least(many), least(docs[own]), least(times[own]))
+    bucket = how.bucket(c.vocabulary[context], c.vocabulary[word])
     order = np.argsort(bucket, kind="stable")
     for b, lo, hi in zip(*_runs(bucket[order]), strict=True):
         mine = order[lo:hi]
         cs, c_pairs = np.unique(context[mine], return_counts=True)  # pairs are sorted by context
         ws, w_at = np.unique(word[mine], return_inverse=True)
-        many = end[mine] - start[mine]
-        yield int(b), pack(c.vocabulary[cs], least(counts[cs].astype(np.int64)), least(c_pairs), c.vocabulary[ws], parent[ws].astype(np.float32), least(w_at), least(trained[mine]), least(many), least(docs[spread(start[mine], many)]))
+        many = np.where(hot[mine], 0, (end - start)[mine])
+        occurs = spread(start[mine], many)
+        yield int(b), pack(
+            c.vocabulary[cs], least(c_pairs), c.vocabulary[ws], least(w_at), least(trained[mine]),
+            least(many), least(docs[occurs]), least(times[occurs]),
+        )
 
 
-def _scores(parts: list[int], payloads: list[bytes], dealer: Dealer, seed: int) -> Iterator[tuple[int, bytes]]:
-    """For each group the documents' sums of log10 probabilities over the pairs of this bucket."""
+def _restaurants(parts: list[int], payloads: list[bytes]) -> tuple[bytes, bytes]:
+    """The distinct pairs of a bucket with their training counts, by context; and the documents of each group's pairs."""
     blocks = [unpack(p) for p in payloads]
-    context = np.concatenate([np.repeat(b[0], b[2]) for b in blocks])
-    word = np.concatenate([b[3][b[5]] for b in blocks])
-    key = _mix(context, word)
-    _, first, inverse = np.unique(key, return_index=True, return_inverse=True)
-    customers = np.bincount(inverse, weights=np.concatenate([b[6] for b in blocks])).astype(np.int64)
-    parent = np.concatenate([b[4][b[5]] for b in blocks])[first].astype(np.float64)
-    diners = np.concatenate([np.repeat(b[1], b[2]) for b in blocks])[first].astype(np.float64)
-    context, word = context[first], word[first]
-    restaurants, one, inn = np.unique(_mix(context, dealer.salt(context, word)), return_index=True, return_inverse=True)
-    share = np.where(dealer.is_hot(context[one]), SALTS, 1)
-    weight = lambda t: (STRENGTH + CONTEXT_DISCOUNT * (np.bincount(inn, weights=t, minlength=len(restaurants)) * share))[inn]
-    rng = np.random.default_rng(seed)
-    tables = mean_tables(customers, weight(np.minimum(customers, 1)) * parent, CONTEXT_DISCOUNT, SWEEPS, BURN_IN, rng, lambda t: weight(t) * parent)
-    p = (np.maximum(customers - CONTEXT_DISCOUNT * tables, 0) + weight(tables) * parent) / (STRENGTH + diners)
-    logs, at = np.log10(p)[inverse], 0
-    for part, b in zip(parts, blocks, strict=True):
-        mine = logs[at : at + len(b[5])]
-        at += len(b[5])
-        docs, here = np.unique(b[8], return_inverse=True)
-        yield part, pack(docs, np.bincount(here, weights=np.repeat(mine, b[7])).astype(np.float32))
+    contexts, context = np.unique(np.concatenate([np.repeat(b[0], b[1]) for b in blocks]), return_inverse=True)
+    words, word = np.unique(np.concatenate([b[2][b[3]] for b in blocks]), return_inverse=True)
+    pairs, pair = np.unique(context * len(words) + word, return_inverse=True)
+    trained = np.bincount(pair, weights=np.concatenate([b[4] for b in blocks])).astype(np.int64)
+    per_context = np.bincount(pairs // len(words), minlength=len(contexts))
+    seats = pack(contexts, least(per_context), words, least(pairs % len(words)), least(trained))
+    sizes = np.array([len(b[3]) for b in blocks])
+    occurs = pack(
+        np.array(parts, np.int64), least(sizes), least(np.array([len(b[6]) for b in blocks])), least(pair),
+        *(least(np.concatenate([b[k].astype(np.int64) for b in blocks])) for k in (5, 6, 7)),
+    )
+    return seats, occurs
+
+
+@dataclass
+class Answer:
+    """What the words' buckets said of a bucket's words in one round, and the sums over all words."""
+
+    tables: np.ndarray
+    seats: np.ndarray
+    counts: np.ndarray | None
+    totals: dict[str, float]
+    #: hashes of hot words, with their customers and tables as contexts
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def parent(self) -> np.ndarray:
+        t = self.totals
+        base = (STRENGTH + PARENT_DISCOUNT * t["seats"]) / (t["v"] + 1)
+        return (np.maximum(self.tables - PARENT_DISCOUNT * self.seats, 0) + base) / (STRENGTH + t["tables"])
+
+
+class Restaurants:
+    """A bucket's contexts and pairs."""
+
+    def __init__(self, seats: bytes, how: Frequent) -> None:
+        self.contexts, per, self.words, word, trained = unpack(seats)
+        self.customers, self.word = trained.astype(np.int64), word.astype(np.int64)
+        self.context = np.repeat(np.arange(len(self.contexts)), per)
+        self.hashes = mix(self.contexts[self.context], self.words[self.word])
+        self.is_hot = np.isin(self.contexts, how.words)
+        self.tables = (self.customers > 0).astype(np.int64)
+        self.diners = self._sum(self.customers)
+        to = how.of_word(self.words)
+        self.order = np.lexsort((self.words, to))
+        self.asked = list(zip(*_runs(to[self.order]), strict=True))
+
+    def _sum(self, x: np.ndarray) -> np.ndarray:
+        return np.bincount(self.context, weights=x, minlength=len(self.contexts))
+
+    def questions(self) -> Iterator[tuple[int, bytes]]:
+        """(bucket of words, their hashes, training counts and tables)"""
+        sums = [np.bincount(self.word, weights=x, minlength=len(self.words)).astype(np.int64) for x in (self.customers, self.tables)]
+        for b, lo, hi in self.asked:
+            some = self.order[lo:hi]
+            yield int(b), pack(self.words[some], *(least(x[some]) for x in sums))
+
+    def hot_shares(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = np.flatnonzero(self.is_hot)
+        return self.contexts[some], self.diners[some], self._sum(self.tables)[some]
+
+    def answered(self, payloads: dict[int, bytes], totals: dict[str, float], hot: tuple) -> Answer:
+        got = [np.zeros(len(self.words)) for _ in range(3)]
+        for b, lo, hi in self.asked:
+            for to, x in zip(got, unpack(payloads[int(b)]), strict=True):
+                to[self.order[lo:hi]] = x
+        return Answer(got[0], got[1], got[2], totals, hot)
+
+    def _everywhere(self, here: np.ndarray, answer: Answer, which: int) -> np.ndarray:
+        """Customers (1) or tables (2) of whole restaurants, of which hot ones have shares in other buckets."""
+        out = self._sum(here)
+        out[self.is_hot] = answer.hot[which][np.searchsorted(answer.hot[0], self.contexts[self.is_hot])]
+        return out
+
+    def rounds(self, answers: list[Answer], rate: bool = False) -> Iterator[np.ndarray]:
+        """A sweep for each answer. To rate, a sweep for each but the last, and all pairs' predictive probabilities after each: the next
+        answer holds the tables that it left."""
+        diners = self._everywhere(self.customers, answers[0], 1)
+        for k, answer in enumerate(answers[: len(answers) - rate]):
+            parent, turn = answer.parent()[self.word], SEED + k * 1000
+            shape = STRENGTH / CONTEXT_DISCOUNT + self._everywhere(self.tables, answer, 2)
+            weight = CONTEXT_DISCOUNT * gamma(shape, mix(self.contexts, turn))[self.context] * parent
+            self.tables = sample_tables(self.customers, weight, CONTEXT_DISCOUNT, mix(self.hashes, turn + 1))
+            if rate:
+                new = STRENGTH + CONTEXT_DISCOUNT * self._everywhere(self.tables, answers[k + 1], 2)
+                mine = np.maximum(self.customers - CONTEXT_DISCOUNT * self.tables, 0)
+                yield (mine + new[self.context] * parent) / (STRENGTH + diners[self.context])
+
+
+def _answers(parts: list[int], payloads: list[bytes], turn: int, before: dict[str, float] | None) -> Iterator[tuple[int, bytes, dict]]:
+    """For each asking bucket its words' tables over all contexts, the parent's tables and training counts; the sums with the first."""
+    blocks = [unpack(p) for p in payloads]
+    words, inverse = np.unique(np.concatenate([b[0] for b in blocks]), return_inverse=True)
+    counts, tables = (np.bincount(inverse, weights=np.concatenate([b[k] for b in blocks]), minlength=len(words)).astype(np.int64) for k in (1, 2))
+    if before is None:  # the first seating
+        seats = (tables > 0).astype(np.int64)
+    else:
+        g = gamma(np.array([STRENGTH / PARENT_DISCOUNT + before["seats"]]), np.array([SEED + turn], np.uint64))[0]
+        weight = np.full(len(words), PARENT_DISCOUNT * g / (before["v"] + 1))
+        seats = sample_tables(tables, weight, PARENT_DISCOUNT, mix(words, SEED + turn))
+    sums = {"n": int(counts.sum()), "v": int((counts > 0).sum()), "tables": int(tables.sum()), "seats": int(seats.sum())}
+    for k, (part, at) in enumerate(zip(parts, starts(np.array([len(b[0]) for b in blocks])), strict=True)):
+        mine = inverse[at : at + len(blocks[k][0])]
+        yield part, pack(*(least(x[mine]) for x in (tables, seats, counts))), sums if k == 0 else dict.fromkeys(sums, 0)
+
+
+def _scores(seats: Restaurants, occurs: bytes, p: np.ndarray, counts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """For each group its documents' sums over the pairs of this bucket: log10 p, known tokens, log10 of counts."""
+    parts, sizes, docs_n, pair, many, docs, times = (x.astype(np.int64) for x in unpack(occurs))
+    logs, known, plain = np.log10(p), counts > 0, np.log10(counts + 0.5)
+    of = np.repeat(pair, many)
+    word = seats.word[of]
+    first = starts(docs_n)
+    for k, part in enumerate(parts.tolist()):
+        mine = slice(first[k], first[k] + docs_n[k])
+        if docs_n[k]:
+            at, here = np.unique(docs[mine], return_inverse=True)
+            sums = [np.bincount(here, weights=x * times[mine]) for x in (logs[of[mine]], known[word[mine]], plain[word[mine]])]
+            short = [np.rint(x * 2**20) / 2**20 for x in sums]  # to six digits: the rest packs to nothing
+            yield part, pack(least(np.diff(at, prepend=0)), short[0], least(sums[1].astype(np.int64)), short[2])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
@@ -258,121 +333,199 @@ def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[di
         yield bucket, rows
 
 
-def hot_words(groups: DataFrame) -> list[int]:
-    """Hashes of the words (fewer than HOT, whatever the input) that may be over 1/HOT of all tokens: a word that is must be so in
-    some group, and a group has fewer than HOT such words."""
+_ASKED = "bucket int, part int, payload binary, hot binary"
+_ANSWERED = "bucket int, turn int, part int, payload binary, hot binary, n long, v long, tables long, seats long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload in batch.column(0):
-                _, _, vocabulary, tokens = unpack(payload.as_py())
-                counts = np.bincount(tokens, minlength=len(vocabulary))
-                often = np.flatnonzero(counts * HOT > len(tokens))
-                yield pa.RecordBatch.from_arrays([pa.array(vocabulary[often].view(np.int64)), pa.array(counts[often])], names=["word", "n"])
 
-    total = groups.agg(F.sum("tokens")).first()[0] or 0
-    found = groups.select("payload").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * HOT > total)
-    return [r["word"] % 2**64 for r in found.collect()]
+def _asking(seats: Restaurants, bucket: int) -> pa.Table:
+    rows = [{"bucket": b, "part": bucket, "payload": x, "hot": None} for b, x in seats.questions()]
+    rows[0]["hot"] = pack(*seats.hot_shares())
+    return pa.Table.from_pylist(rows, pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("payload", pa.binary()), ("hot", pa.binary())]))
 
 
-def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group_rows: DataFrame | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for each row of docs."""
-    spark = docs.sparkSession
-    groups = group_rows if group_rows is not None else grouped(docs, text, doc_id)
-    tokens = groups.agg(F.sum("tokens")).first()[0] or 0
-    buckets = shuffle_width(spark, tokens, PER_TASK)
-    dealer = Dealer(buckets, hot_words(groups))
-    id_array = groups.schema["doc_ids"].dataType
+def _hot_totals(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of hot words (fewer than HOT), with all their customers and tables as contexts."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                corpus = Corpus(payload.as_py())
-                for bucket, block in _questions(corpus, dealer):
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part]), pa.array([block], pa.binary())], names=["bucket", "part", "payload"])
+            for x in batch.column(0):
+                h, customers, tables = unpack(x.as_py())
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(customers), pa.array(tables)], names=["h", "c", "t"])
+
+    rows = answers.where("hot IS NOT NULL").select("hot").mapInArrow(run, "h long, c double, t double").groupBy("h").agg(F.sum("c"), F.sum("t")).collect()
+    rows = sorted((r[0] % 2**64, r[1], r[2]) for r in rows)
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+
+
+def _answer(asked: DataFrame, width: int, turn: int, before: dict[str, float] | None) -> DataFrame:
+    """What the words' buckets answer in one round. The hot contexts' shares pass through, to be added up from the written answers."""
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in _by_bucket(batches):
             rows.sort(key=lambda r: r["part"])
-            for part, block, n, v, t, s in _answers([r["part"] for r in rows], [r["payload"] for r in rows], float(buckets), SEED + bucket):
-                yield pa.RecordBatch.from_pylist([{"part": part, "bucket": bucket, "payload": block, "n": n, "v": v, "tables": t, "seats": s}], pa.schema([("part", pa.int64()), ("bucket", pa.int32()), ("payload", pa.binary()), ("n", pa.int64()), ("v", pa.int64()), ("tables", pa.float64()), ("seats", pa.float64())]))
+            said = _answers([r["part"] for r in rows], [r["payload"] for r in rows], turn, before)
+            for r, (part, payload, sums) in zip(rows, said, strict=True):
+                row = {"bucket": [part], "turn": [turn], "part": [bucket], "payload": [payload], "hot": [r["hot"]], **{k: [x] for k, x in sums.items()}}
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
-    asked = groups.select("part", "payload").mapInArrow(ask, "bucket int, part long, payload binary")
-    answers = materialise(asked.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(answer, "part long, bucket int, payload binary, n long, v long, tables double, seats double"), "word-answers")
-    release(spark)
-    sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "v", "tables", "seats")]).first().asDict()
+    asked = asked.repartition(width, "bucket").sortWithinPartitions("bucket")
+    return materialise(asked.mapInArrow(run, _ANSWERED), "word-answers")
 
-    def training_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int((unpack(x.as_py())[1] == 0).sum()) for x in batch.column(0)], pa.int64())], names=["n"])
 
-    sums["docs"] = groups.select("payload").mapInArrow(training_docs, "n long").agg(F.sum("n")).first()[0] or 0
-    totals = {k: float(v) for k, v in sums.items()}
-    train_tokens, scale = int(sums["n"]), math.log10(totals["n"] + 0.5 * (totals["v"] + 1))
-    block_schema = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("doc_ids", id_array), T.StructField("payload", T.BinaryType())])
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by its column bucket: joins by it read it in place."""
+    name = f"lumenspan_{uuid.uuid4().hex}"
+    how = df.write.format("parquet").bucketBy(buckets, "bucket")
+    how.option("path", f"{work_dir(df.sparkSession)}/{name}").saveAsTable(name)
+    return df.sparkSession.table(name)
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: dict[int, bytes] = {}
-        for batch in batches:  # a group's answers come before the group
-            id_type = batch.schema.field("doc_ids").type
-            for k in range(batch.num_rows):
-                part, bucket, payload = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(3)[k].as_py()
-                if bucket < buckets:
-                    got[bucket] = payload
-                    continue
-                for b, block in _pairs(Corpus(payload), got, dealer, totals):
-                    ids = batch.column(2).slice(k, 1) if b < 0 else pa.nulls(1, id_type)
-                    yield pa.RecordBatch.from_arrays([pa.array([b if b >= 0 else -1 - part % buckets], pa.int32()), pa.array([part]), ids, pa.array([block], pa.binary())], names=block_schema.names)
-                got = {}
-
-    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group_chars: int = GROUP_CHARS, hot_share: int = HOT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, for each row of docs."""
+    spark = docs.sparkSession
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "utf-8").alias("text"))
+    kind = slim.schema["doc_id"].dataType
+    how = frequent(slim, group_chars, hot_share)
+    width = -(-how.buckets // PER_PARTITION)
+    groups = T.StructType([
+        T.StructField("bucket", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)),
+        T.StructField("seats", T.BinaryType()), T.StructField("occurs", T.BinaryType()),
+    ])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, id_type = TaskContext.get().partitionId() << 32, None
+
+        def through() -> Iterator[pa.RecordBatch]:
+            nonlocal id_type
+            for batch in batches:
+                id_type = batch.schema.field(0).type
+                yield batch
+
+        for c in _corpora(through(), group_chars):
+            for b, payload in _dealt(c, how):
+                ids = pa.array([c.ids if b < 0 else None], pa.list_(id_type))
+                to = pa.array([b if b >= 0 else -1 - part % how.buckets], pa.int32())
+                yield pa.RecordBatch.from_arrays([to, pa.array([part]), ids, pa.array([payload], pa.binary()), pa.nulls(1, pa.binary())], names=groups.names)
+            part += 1
+
+    def seat(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         id_type = None
 
-        def through(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def through() -> Iterator[pa.RecordBatch]:
             nonlocal id_type
             for batch in batches:
                 id_type = batch.schema.field("doc_ids").type
                 yield batch
 
-        for bucket, rows in _by_bucket(through(batches)):
-            if bucket < 0:
-                for r in rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([r["part"]]), pa.array([r["doc_ids"]], id_type), pa.array([r["payload"]], pa.binary())], names=block_schema.names)
-                continue
+        for bucket, rows in _by_bucket(through()):
             rows.sort(key=lambda r: r["part"])
-            for part, block in _scores([r["part"] for r in rows], [r["payload"] for r in rows], dealer, SEED - 1 - bucket + 2**31):
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([part]), pa.nulls(1, id_type), pa.array([block], pa.binary())], names=block_schema.names)
+            if bucket < 0:
+                done = [(r["part"], r["doc_ids"], r["seats"], None) for r in rows]
+            else:
+                done = [(0, None, *_restaurants([r["part"] for r in rows], [r["seats"] for r in rows]))]
+            for part, ids, seats, occurs in done:
+                columns = [pa.array([bucket], pa.int32()), pa.array([part], pa.int64()), pa.array([ids], id_type), pa.array([seats], pa.binary()), pa.array([occurs], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=groups.names)
+
+    dealt = slim.mapInArrow(deal, groups).repartition(width, "bucket").sortWithinPartitions("bucket").mapInArrow(seat, groups)
+    tables = _bucketed(dealt, width)
+    release(spark)
+    restaurants = tables.where("bucket >= 0").select("bucket", "seats", "occurs")
 
-    held, kind = held_out, id_array.elementType
-    out_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()), *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")], *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")]])
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, seats in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _asking(Restaurants(seats.as_py(), how), bucket).to_batches()
+
+    totals: list[dict[str, float]] = []
+    hot: list[tuple] = []
+    answers = None
+
+    def meeting(columns: list[str], then: Callable[[int, Restaurants, list[Answer], pa.Table], pa.Table], schema: str) -> DataFrame:
+        """Restaurants with the answers that their bucket got so far."""
+        known, totals_now, hot_now = how, list(totals), list(hot)
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            seats, got = Restaurants(left.column("seats")[0].as_py(), known), [{} for _ in totals_now]
+            for turn, part, payload in zip(*(right.column(c).to_pylist() for c in ("turn", "part", "payload")), strict=True):
+                got[turn][part] = payload
+            said = [seats.answered(*x) for x in zip(got, totals_now, hot_now, strict=True)]
+            return then(left.column("bucket")[0].as_py(), seats, said, left)
+
+        right = answers.select("bucket", "turn", "part", "payload")
+        return restaurants.select(*columns).groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(run, schema)
+
+    def ask(bucket: int, seats: Restaurants, said: list[Answer], _: pa.Table) -> pa.Table:
+        for _ in seats.rounds(said):
+            pass  # what counts are the tables
+        return _asking(seats, bucket)
+
+    def rate(bucket: int, seats: Restaurants, said: list[Answer], left: pa.Table) -> pa.Table:
+        kept = list(seats.rounds(said, rate=True))[BURN_IN:]
+        p = sum(kept) / len(kept)
+        counts = said[0].counts
+        rows = [(bucket, part, x) for part, x in _scores(seats, left.column("occurs")[0].as_py(), p, counts)]
+        some = np.flatnonzero(np.isin(seats.hashes, how.pairs))
+        if len(some):
+            words = counts[seats.word[some]]
+            rows.append((HOT_PAIRS, 0, pack(seats.hashes[some], np.log10(p[some]), words > 0, np.log10(words + 0.5))))
+        columns = list(zip(*rows, strict=True)) or [[], [], []]
+        return pa.table([pa.array(x, k) for x, k in zip(columns, (pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "part", "payload"])
+
+    for turn in range(ROUNDS + 1):
+        asked = restaurants.select("bucket", "seats").mapInArrow(first, _ASKED) if turn == 0 else meeting(["bucket", "seats"], ask, _ASKED)
+        said = _answer(asked, width, turn, totals[-1] if totals else None)
+        totals.append({k: float(x or 0) for k, x in said.agg(*[F.sum(c).alias(c) for c in ("n", "v", "tables", "seats")]).first().asDict().items()})
+        hot.append(_hot_totals(said))
+        answers = said if answers is None else answers.unionByName(said)
+        release(spark)
+    rated = materialise(meeting(["bucket", "seats", "occurs"], rate, "bucket int, part long, payload binary"), "pair-scores")
+    release(spark)
+    pairs = [unpack(r["payload"]) for r in rated.where(F.col("bucket") == HOT_PAIRS).select("payload").collect()]
+    hot_pairs = [np.concatenate(x) for x in zip(*pairs, strict=True)] if pairs else [np.zeros(0, np.uint64)] + [np.zeros(0)] * 3
+    hot_pairs = [x[np.argsort(hot_pairs[0])] for x in hot_pairs]
+    train_tokens = int(totals[0]["n"])
+    scale = math.log10(totals[0]["n"] + 0.5 * (totals[0]["v"] + 1))
+    held = held_out
+    out = T.StructType([
+        T.StructField("doc_id", kind), T.StructField("held_out", T.BooleanType()),
+        *[T.StructField(c, T.LongType()) for c in ("n_tokens", "n_known", "train_tokens")],
+        *[T.StructField(c, T.DoubleType()) for c in ("base_score", "score")],
+    ])
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, lengths, known, plain, sums, part = None, None, None, None, None, None
+        id_type, ids, lengths, sums = None, None, None, None
 
         def done() -> pa.RecordBatch:
+            logs, known, plain = sums
             n = lengths.astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ids, id_type.value_type), pa.array([held(x) for x in ids], pa.bool_()), pa.array(n), pa.array(known.astype(np.int64)), pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(plain - n * scale), pa.array(sums)], names=out_schema.names)
+            columns = [pa.array(ids, id_type.value_type), pa.array([held(x) for x in ids], pa.bool_()), pa.array(n), pa.array(known.astype(np.int64))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(n), train_tokens, np.int64)), pa.array(plain - n * scale), pa.array(logs)], names=out.names)
 
-        for batch in batches:  # sorted by part and bucket: a group's documents come first
+        for batch in batches:  # sorted by part and bucket: a group's own row comes first
             id_type = batch.schema.field("doc_ids").type
             for row in batch.to_pylist():
-                if row["bucket"] == -1:
-                    if part is not None:
+                if row["bucket"] < 0:
+                    if ids is not None:
                         yield done()
-                    part, ids = row["part"], row["doc_ids"]
-                    lengths, known, plain = unpack(row["payload"])
-                    sums = np.zeros(len(lengths))
+                    ids = row["doc_ids"]
+                    lengths, hashes, many, at, times = unpack(row["payload"])
+                    place = np.repeat(np.searchsorted(hot_pairs[0], hashes), many)
+                    sums = [np.bincount(at, weights=x[place] * times, minlength=len(lengths)).astype(np.float64) for x in hot_pairs[1:]]
                 else:
-                    docs, some = unpack(row["payload"])
-                    sums[docs] += some
-        if part is not None:
+                    gaps, *some = unpack(row["payload"])
+                    at = np.cumsum(gaps.astype(np.int64))
+                    for to, x in zip(sums, some, strict=True):
+                        to[at] += x
+        if ids is not None:
             yield done()
 
-    meet = answers.select("part", "bucket", F.lit(None).cast(id_array).alias("doc_ids"), "payload").unionByName(groups.select("part", F.lit(buckets).alias("bucket"), "doc_ids", "payload"))
-    width = shuffle_width(spark, tokens, PER_TASK)
-    blocks = meet.repartition(width, "part").sortWithinPartitions("part", "bucket").mapInArrow(pair, block_schema)
-    rated = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(rate, block_schema)
-    return rated.repartition(width, "part").sortWithinPartitions("part", "bucket").mapInArrow(total, out_schema)
+    own = tables.where("bucket < 0").select("bucket", "part", "doc_ids", F.col("seats").alias("payload"))
+    rows = own.unionByName(rated.where(F.col("bucket") != HOT_PAIRS), allowMissingColumns=True)
+    return rows.repartition(width, "part").sortWithinPartitions("part", "bucket").mapInArrow(total, out)
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

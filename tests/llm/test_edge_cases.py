@@ -215,11 +215,10 @@ def test_smith_waterman():
         assert score == alignment_by_hand(a.tolist(), b.tolist()) == (alignment_by_hand(a.tolist(), b[lo:hi].tolist()) if hi > lo else 0)
 
 
-def test_lm_scoring(docs, none, monkeypatch):
+def test_lm_scoring(docs, none):
     import math
 
-    monkeypatch.setattr(lm_scoring, "GROUP_CHARS", 200)
-    got = lm_scoring.score(docs).collect()
+    got = lm_scoring.score(docs, group_chars=200, hot_share=50).collect()
     assert len(got) == len(ROWS)
     split = lambda t: [w.lower() for w in re.findall(r"[^\x20\x09-\x0D]+", t)] + [None]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 5 == 1

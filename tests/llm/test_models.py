@@ -5,11 +5,10 @@ import itertools
 import numpy as np
 import pytest
 
-from lumenspan.llm import language_id, lm_scoring, packing, registry
+from lumenspan.llm import language_id, packing, registry
 from lumenspan.llm.blocks import pack, unpack
 from lumenspan.llm.graph import components
 from lumenspan.llm.gray_index import Forest, GrayIndex, gray_rank
-from lumenspan.llm.seating import mean_tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,33 +68,6 @@ def test_plan_fills_sequences():
     assert len({f + i for _, lo, hi, f, _ in many for i in range(hi - lo)}) == -(-50 * sum(range(1, 65)) // 64)
 
 
-def test_seating_follows_the_posterior():
-    """Three customers of one dish: table counts against their exact distribution under the sampler's weights."""
-    n, weight, d = 3, 0.7, 0.5
-    # partitions of three customers: weight^tables * product over tables of (1-d)(2-d)...(size-1-d)
-    one, two, three = weight * (1 - d) * (2 - d), 3 * weight**2 * (1 - d), weight**3
-    want = (one + 2 * two + 3 * three) / (one + two + three)
-    got = mean_tables(np.full(20_000, n), np.full(20_000, weight), d, 30, 10, np.random.default_rng(0)).mean()
-    assert got == pytest.approx(want, abs=0.02)
-    assert mean_tables(np.array([0, 1, 500]), np.full(3, 0.5), d, 5, 2, np.random.default_rng(0))[:2].tolist() == [0, 1]
-
-
-def test_predictions_are_a_distribution():
-    """Over all words that the parent knows, the probabilities after a context add up to one, seen or not, hot or not."""
-    parent = np.array([0.4, 0.3, 0.15, 0.1, 0.05], np.float32)
-    trained = np.array([9, 4, 1, 0, 0])
-    words = np.arange(100, 105, dtype=np.uint64)
-    one = np.ones(5, np.uint8)
-    block = pack(np.array([7], np.uint64), np.array([trained.sum()]), np.array([5]), words, parent, np.arange(5), trained, one, np.arange(5))
-    ((_, scores),) = lm_scoring._scores([0], [block], lm_scoring.Dealer(4, []), 1)
-    docs, logs = unpack(scores)
-    p = 10.0 ** logs[np.argsort(docs)]
-    assert p.sum() == pytest.approx(1, abs=1e-5) and p[0] > 0.4 and p[3] < 0.1
-    fresh = pack(np.array([7], np.uint64), np.array([0]), np.array([5]), words, parent, np.arange(5), 0 * trained, one, np.arange(5))
-    ((_, scores),) = lm_scoring._scores([0], [fresh], lm_scoring.Dealer(4, []), 1)
-    assert 10.0 ** unpack(scores)[1] == pytest.approx(parent, rel=1e-5)
-
-
 def test_blocks_round_trip():
     arrays = [np.arange(5, dtype=np.uint64), np.zeros(0, np.float32), np.array([1.5, -2.5])]
     assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(arrays, unpack(pack(*arrays)), strict=True))
