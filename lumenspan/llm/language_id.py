@@ -1,37 +1,40 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of a word (a run without white space, lower-cased) in both directions, labels every byte, and a document's
-probabilities are the mean of the labels' over all its bytes. It is trained in numpy by backpropagation through time, on the
-driver, from a sample of at most `PER_LANGUAGE` labelled documents of each language of the training folds (the bound is the
-parameter; texts are taken whole). Only text is an input. Prediction reads every text whole, inside tasks; since labels
-of a word's bytes depend on that word alone, a worker remembers the sums of words it has met, in a memo of bounded size. Longer words
-are read in windows of `WINDOW` bytes.
+The network reads the bytes of a text, lower-cased, white space and all, in both directions, labels every byte, and a document's
+probabilities are the mean of the labels' over all its bytes. Texts are read in windows of `CORE` bytes that begin at characters,
+with `MARGIN` bytes of the text around them at both sides: each byte is labelled once, by a network that has read at least so many
+bytes before and after it (or all there are), across words. Gates and states use x / (1 + |x|), numpy's cheapest smooth step.
+
+It is trained in numpy by backpropagation through time, on the driver, from pieces of at most `PER_LANGUAGE` labelled documents of each
+language of the training folds: `PIECES` evenly spread pieces of `PIECE_CHARS` characters of each (these bounds are the
+parameters). Only text is an input. Prediction reads every text whole, inside tasks.
 
 Null text and text without a letter give `und` with score 0. A null or blank lang is not learned from; if no row is labelled, every
 text is `und`. Languages of any number are learned. A null doc_id counts as the empty string in the split. Rows that repeat a
-doc_id are predicted on their own. An empty table gives an empty result. Further columns pass through `predict` untouched.
+doc_id are predicted on their own; rows that repeat doc_id and text are learned from once. An empty table gives an empty result.
+Further columns pass through `predict`; those named lang_pred and lang_score are replaced.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import starts
 from .common import table
 
 FOLDS, HELD_OUT = 5, 0
-PER_LANGUAGE, SALTS = 300, 64
-HIDDEN, EMBED, WINDOW = 16, 16, 32
-STEPS, BATCH, RATE, SEED = 300, 512, 0.01, 5
-MEMO = 120_000
-GROUP_CHARS = 2_000_000
+PER_LANGUAGE, PIECES, PIECE_CHARS = 300, 8, 256
+HIDDEN, EMBED, CORE, MARGIN = 16, 16, 192, 32
+STEPS, BATCH, LENGTH, RATE, SEED = 200, 128, 64, 0.01, 5
+#: Windows that are read at once, and characters of the texts that are cut into windows at once.
+WIDTH, GROUP_CHARS = 1024, 1_000_000
 UNKNOWN = "und"
 #: Letters, and numbers that are no decimal digits.
 LIKELY = re.compile(r"[^\W\d_]")
@@ -46,12 +49,20 @@ def in_fold(doc_id: Column, fold: int) -> Column:
     return F.crc32(F.encode(text, "utf-8")) % FOLDS == fold
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _step(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    size = np.abs(x)
+    size += 1
+    x /= size
+    return x
+
+
+def _slope(y: np.ndarray) -> np.ndarray:
+    return (1 - np.abs(y)) ** 2
 
 
 class BiGru:
-    """Two gated recurrent layers, one in each direction, and a label at every byte. Byte 0 is padding."""
+    """Two gated recurrent layers, one in each direction, and a label at every byte. Byte 0 is padding: it leaves the state alone."""
 
     def __init__(self, classes: int, rng: np.random.Generator) -> None:
         h, e = HIDDEN, EMBED
@@ -60,104 +71,99 @@ class BiGru:
         for d in "fb":
             self.p |= {f"w{d}": scale(e, 3 * h), f"u{d}": scale(h, 3 * h), f"b{d}": np.zeros(3 * h, np.float32)}
 
-    def _run(self, gates: np.ndarray, d: str, there: np.ndarray, keep: list | None) -> list[np.ndarray]:
-        """Hidden states by position. gates: (steps, n, 3h), what the bytes add; there: (steps, n, 1), 0 on padding."""
-        h, u = HIDDEN, self.p[f"u{d}"]
-        state = np.zeros((gates.shape[1], h), np.float32)
-        out: list = [None] * len(gates)
-        for t in range(len(gates)) if d == "f" else reversed(range(len(gates))):
-            zr = _sigmoid(gates[t][:, : 2 * h] + state @ u[:, : 2 * h])
-            z, r = zr[:, :h], zr[:, h:]
-            rs = r * state
-            new = np.tanh(gates[t][:, 2 * h :] + rs @ u[:, 2 * h :])
-            nxt = state + there[t] * z * (new - state)
-            if keep is not None:
-                keep.append((t, state, z, r, rs, new))
-            out[t] = state = nxt
-        return out
+    def _gates(self, d: str) -> list[np.ndarray]:
+        """What each byte adds to update, reset and new state."""
+        table = self.p["emb"] @ self.p[f"w{d}"] + self.p[f"b{d}"]
+        table[0, :HIDDEN] = -1e9
+        return [np.ascontiguousarray(x) for x in np.split(table, 3, axis=1)]
 
     def forward(self, x: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """Probabilities (steps, n, classes) for bytes x (steps, n)."""
-        there = (x > 0).astype(np.float32)[..., None]
-        states = []
-        for d in "fb":
-            gates = (self.p["emb"] @ self.p[f"w{d}"] + self.p[f"b{d}"])[x]
-            trace = [] if keep is not None else None
-            states.append(np.stack(self._run(gates, d, there, trace)))
+        logits = np.empty((*x.shape, len(self.p["bias"])), self.p["out"].dtype)
+        logits[:] = self.p["bias"]
+        for d, out in zip("fb", np.split(self.p["out"], 2), strict=True):
+            gates, u = self._gates(d), [np.ascontiguousarray(m) for m in np.split(self.p[f"u{d}"], 3, axis=1)]
+            state, trace = np.zeros((x.shape[1], HIDDEN), out.dtype), []
+            for t in range(len(x)) if d == "f" else reversed(range(len(x))):
+                z, r, new = (g.take(x[t], axis=0) for g in gates)
+                z += state @ u[0]
+                r += state @ u[1]
+                q = state @ u[2]
+                for gate in (z, r):
+                    _step(gate)
+                    gate += 1
+                    gate *= 0.5
+                new += r * q
+                _step(new)
+                move = new - state
+                if keep is not None:
+                    trace.append((t, state, z, r, q, new))
+                move *= z
+                move += state
+                state = move
+                logits[t] += state @ out
+                if keep is not None:
+                    trace[-1] += (state,)
             if keep is not None:
                 keep[d] = trace
-        both = np.concatenate(states, axis=2)
-        logits = both @ self.p["out"] + self.p["bias"]
         logits -= logits.max(axis=2, keepdims=True)
-        prob = np.exp(logits)
+        prob = np.exp(logits, out=logits)
         prob /= prob.sum(axis=2, keepdims=True)
-        if keep is not None:
-            keep |= {"there": there, "both": both}
         return prob
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean cross-entropy over bytes, and its gradients by backpropagation through time."""
         keep: dict = {}
-        prob = self.forward(x, keep)
-        there, both, h = keep["there"], keep["both"], HIDDEN
-        n = there.sum()
-        steps, width = x.shape
+        prob, h = self.forward(x, keep), HIDDEN
+        there = (x > 0)[..., None]
+        n, width = there.sum(), x.shape[1]
         loss = -float((np.log(prob[:, np.arange(width), y] + 1e-9) * there[..., 0]).sum() / n)
         prob[:, np.arange(width), y] -= 1
         prob *= there / n
         g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        flat = prob.reshape(-1, prob.shape[2])
-        g["out"], g["bias"] = both.reshape(-1, 2 * h).T @ flat, flat.sum(axis=0)
-        into = prob @ self.p["out"].T
+        g["bias"] = prob.sum(axis=(0, 1))
         for k, d in enumerate("fb"):
-            u = self.p[f"u{d}"]
-            back = np.zeros((width, h), np.float32)
-            gate_grads = np.zeros((steps, width, 3 * h), np.float32)
-            for t, state, z, r, rs, new in reversed(keep[d]):
-                total = back + into[t][:, k * h : (k + 1) * h]
-                m = there[t]
-                dnew = total * m * z * (1 - new * new)
-                drs = dnew @ u[:, 2 * h :].T
-                dz = total * m * (new - state) * z * (1 - z)
-                dr = drs * state * r * (1 - r)
-                zr = np.concatenate([dz, dr], axis=1)
-                gate_grads[t] = np.concatenate([zr, dnew], axis=1)
-                g[f"u{d}"][:, : 2 * h] += state.T @ zr
-                g[f"u{d}"][:, 2 * h :] += rs.T @ dnew
-                back = total * (1 - m * z) + drs * r + zr @ u[:, : 2 * h].T
-            rows = gate_grads.reshape(-1, 3 * h)
-            table = np.zeros((256, 3 * h), np.float32)
-            np.add.at(table, x.ravel(), rows)
-            g[f"w{d}"], g[f"b{d}"] = self.p["emb"].T @ table, rows.sum(axis=0)
+            u, out = self.p[f"u{d}"], self.p["out"][k * h : (k + 1) * h]
+            back = np.zeros((width, h), out.dtype)
+            table = np.zeros((256, 3 * h), out.dtype)
+            for t, state, z, r, q, new, after in reversed(keep[d]):
+                g["out"][k * h : (k + 1) * h] += after.T @ prob[t]
+                total = back + prob[t] @ out.T
+                dnew = total * z * _slope(new)
+                dz = total * (new - state) * _slope(2 * z - 1) / 2
+                dr = dnew * q * _slope(2 * r - 1) / 2
+                into = np.concatenate([dz, dr, dnew * r], axis=1)
+                g[f"u{d}"] += state.T @ into
+                back = total * (1 - z) + into @ u.T
+                np.add.at(table, x[t], np.concatenate([dz, dr, dnew], axis=1))
+            table[0] = 0
+            g[f"w{d}"], g[f"b{d}"] = self.p["emb"].T @ table, table.sum(axis=0)
             g["emb"] += table @ self.p[f"w{d}"].T
         return loss, g
 
 
-def padded(words: list[bytes]) -> np.ndarray:
-    """(steps, n): each word's bytes from the top, zeros below."""
-    steps = max(map(len, words))
-    return np.frombuffer(b"".join(w.ljust(steps, b"\0") for w in words), np.uint8).reshape(len(words), steps).T
+def padded(windows: list[bytes]) -> np.ndarray:
+    """(steps, n): each window's bytes from the top, zeros below."""
+    steps = max(map(len, windows))
+    return np.frombuffer(b"".join(w.ljust(steps, b"\0") for w in windows), np.uint8).reshape(len(windows), steps).T
 
 
-def windows(word: bytes) -> list[bytes]:
-    word = word.replace(b"\0", b"\x01")
-    return [word[i : i + WINDOW] for i in range(0, len(word), WINDOW)]
-
-
-def train(rows: list[tuple[str, str]], seed: int = SEED, steps: int = STEPS) -> tuple[list[str], dict[str, np.ndarray]]:
+def train(rows: list[tuple[str, str]], seed: int = SEED, steps: int | None = None) -> tuple[list[str], dict[str, np.ndarray]]:
     """(text, language) rows to languages and weights. Adam; every language is drawn equally often."""
-    languages = sorted({lang for _, lang in rows})
-    rng = np.random.default_rng(seed)
-    by = [np.array([w for text, lang in rows if lang == name for word in text.lower().encode().split() for w in windows(word)], object) for name in languages]
-    by, languages = [b for b in by if len(b)], [name for b, name in zip(by, languages, strict=True) if len(b)]
-    net = BiGru(len(languages), rng)
+    steps = STEPS if steps is None else steps
+    rng, by = np.random.default_rng(seed), {}
+    for text, lang in rows:
+        by.setdefault(lang, []).append(bytes_of(text))
+    by = {lang: texts for lang in sorted(by) if (texts := [t for t in by[lang] if t])}
+    languages, net = list(by), BiGru(len(by), rng)
     if len(languages) < 2:
         return languages, net.p
     m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
     for step in range(1, steps + 1):
         y = rng.integers(0, len(languages), BATCH)
-        x = padded([by[k][int(rng.integers(len(by[k])))] for k in y])
-        _, g = net.gradients(x, y)
+        some = [by[languages[k]][int(rng.integers(len(by[languages[k]])))] for k in y]
+        begin = [int(rng.integers(max(1, len(t) - LENGTH + 1))) for t in some]
+        _, g = net.gradients(padded([t[b : b + LENGTH] for t, b in zip(some, begin, strict=True)]), y)
         rate = RATE * min(1.0, 2 * (1 - step / (steps + 1)))
         for k, grad in g.items():
             m[k] += 0.1 * (grad - m[k])
@@ -166,65 +172,70 @@ def train(rows: list[tuple[str, str]], seed: int = SEED, steps: int = STEPS) ->
     return languages, net.p
 
 
-class Reader:
-    """Sums of the labels' probabilities over a text's bytes, with a memo of words."""
-
-    def __init__(self, weights: dict[str, np.ndarray], classes: int) -> None:
-        self.net = BiGru(classes, np.random.default_rng(0))
-        self.net.p = weights
-        self.classes = classes
-        self.forget()
-
-    def forget(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.sums = np.zeros((0, self.classes), np.float32)
-
-    def learn(self, words: list[str]) -> np.ndarray:
-        parts, owner = [], []
-        for k, w in enumerate(words):
-            for part in windows(w.encode()):
-                parts.append(part)
-                owner.append(k)
-        sums = np.zeros((len(words), self.classes), np.float32)
-        length = np.array([len(p) for p in parts])
-        order = np.argsort(length, kind="stable")  # words of like lengths together
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            x = padded([parts[i] for i in some])
-            prob = self.net.forward(x) * (x > 0)[..., None]
-            np.add.at(sums, np.array(owner)[some], prob.sum(axis=0))
-        return sums
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        parts = [(t or "").lower().split() for t in texts]
-        if len(self.memo) > MEMO:
-            self.forget()
-        new = list({w for p in parts for w in p if w not in self.memo})
-        if new:
-            self.memo |= {w: len(self.sums) + k for k, w in enumerate(new)}
-            self.sums = np.concatenate([self.sums, self.learn(new)])
-        out = np.zeros((len(texts), self.classes))
-        for k, p in enumerate(parts):
-            if p:
-                out[k] = self.sums[np.fromiter(map(self.memo.__getitem__, p), np.int64, len(p))].sum(axis=0, dtype=np.float64)
-        return out
+def bytes_of(text: str | None) -> bytes:
+    return (text or "").lower().encode("utf-8", "replace").replace(b"\0", b"\x01")
 
 
-_READERS: dict[str, Reader] = {}
+def windows(text: np.ndarray) -> np.ndarray:
+    """Where the windows' cores begin in a text's bytes: at characters, `CORE` bytes apart or up to three less."""
+    cut = np.arange(0, len(text), CORE)
+    for _ in range(3):  # a character has three further bytes at most
+        cut -= (text[cut] & 0xC0) == 0x80
+    return np.maximum(cut, 0)
+
+
+def read(net: BiGru, texts: list[bytes], classes: int) -> np.ndarray:
+    """Sums of the labels' probabilities over each text's bytes."""
+    out = np.zeros((len(texts), classes))
+    sizes = np.array([len(t) for t in texts])
+    first = starts(sizes)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    cuts = [windows(data[a : a + n]) for a, n in zip(first, sizes, strict=True)]
+    of = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+    if not len(of):
+        return out
+    core = np.concatenate(cuts)
+    last = np.append(core[1:], 0)
+    ends = np.append(of[1:] != of[:-1], True)
+    last[ends] = sizes[of[ends]]
+    lo, hi = np.maximum(core - MARGIN, 0), np.minimum(last + MARGIN, sizes[of])
+    order = np.argsort(hi - lo, kind="stable")  # windows of like lengths together
+    for at in range(0, len(order), WIDTH):
+        some = order[at : at + WIDTH]
+        row = np.arange(int((hi - lo)[some].max()))[:, None]
+        inside = row < (hi - lo)[some]
+        x = np.where(inside, data[np.where(inside, first[of[some]] + lo[some] + row, 0)], 0)
+        prob = net.forward(x)
+        prob *= ((row >= (core - lo)[some]) & (row < (last - lo)[some]))[..., None]
+        np.add.at(out, of[some], prob.sum(axis=0, dtype=np.float64))
+    return out
+
+
+def pieces(text: Column) -> Column:
+    """Evenly spread pieces of a text, as one text; short texts are left whole."""
+    room = F.char_length(text) - PIECE_CHARS
+    spread = F.transform(F.sequence(F.lit(0), F.lit(PIECES - 1)), lambda i: text.substr((F.floor(room * i / (PIECES - 1)) + 1).cast("int"), F.lit(PIECE_CHARS)))
+    return F.when(room <= PIECE_CHARS * (PIECES - 1), text).otherwise(F.array_join(spread, " "))
 
 
 def sample(docs: DataFrame, text: str, lang: str, doc_id: str, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """At most per_language labelled rows of each language from the training folds, those with the smallest hashes."""
-    key = F.xxhash64(F.lit(SEED), F.col(f"`{doc_id}`").cast("string"))
-    rows = docs.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & ~in_fold(F.col(f"`{doc_id}`"), HELD_OUT))
-    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), key.alias("key")).where(F.trim("lang") != "")
-    # the smallest hashes within salted parts of a language, then among those: no task gets a whole language, and no text moves yet
-    top = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("key"))
-    slim = rows.select("lang", "key").withColumn("salt", F.pmod(F.hash("key"), F.lit(SALTS)))
-    slim = slim.withColumn("at", top("lang", "salt")).where(F.col("at") <= per_language)
-    reach = slim.withColumn("at", top("lang")).where(F.col("at") <= per_language).groupBy("lang").agg(F.max("key").alias("last"))
-    near = rows.join(F.broadcast(reach), "lang").where(F.col("key") <= F.col("last"))  # a row for each language
-    return [(r["text"], r["lang"]) for r in near.withColumn("at", top("lang")).where(F.col("at") <= per_language).orderBy("lang", "key").collect()]
+    """Pieces of at most per_language labelled rows of each language from the training folds, those with the smallest hashes. Hashes
+    below a bound that about per_language of them pass are collected: never more than some hundred rows a language."""
+    fields = [F.col(f"`{c}`").cast("string") for c in (doc_id, text, lang)]
+    rows = docs.where(~in_fold(F.col(f"`{doc_id}`"), HELD_OUT)).select(*[x.alias(n) for x, n in zip(fields, ("id", "text", "lang"), strict=True)])
+    rows = rows.where(F.col("text").isNotNull() & (F.trim("lang") != "")).select("lang", F.xxhash64(F.lit(SEED), "id", "text").alias("key"), pieces(F.col("text")).alias("text"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(1.2 * per_language + 60) / F.col("n"))
+    bound = counts.select("lang", (F.lit(-(2.0**63)) + share * 2.0**64).alias("last"))
+    near = rows.join(F.broadcast(bound), "lang").where(F.col("key").cast("double") <= F.col("last"))  # a row for each language
+    found = sorted((r["lang"], r["key"], r["text"]) for r in near.groupBy("lang", "key").agg(F.min("text").alias("text")).collect())
+    taken: dict[str, int] = {}
+    out = []
+    for name, _, t in found:
+        taken[name] = taken.get(name, 0) + 1
+        if taken[name] <= per_language:
+            out.append((t, name))
+    return out
 
 
 def predict(docs: DataFrame, labelled: DataFrame | None = None, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
@@ -235,19 +246,16 @@ def predict(docs: DataFrame, labelled: DataFrame | None = None, text: str = "tex
     schema = T.StructType([f for f in docs.schema.fields if f.name not in ("lang_pred", "lang_score")] + [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     docs = docs.select(*[F.col(f"`{f.name}`") for f in schema.fields[:-2]])
     where = docs.columns.index(text)
-    key = uuid.uuid4().hex  # a worker that is used again must not keep another model's memo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         languages, weights = model.value
-        if key not in _READERS:
-            _READERS.clear()
-            _READERS[key] = Reader(weights, max(1, len(languages)))
-        reader = _READERS[key]
+        net = BiGru(max(1, len(languages)), np.random.default_rng(0))
+        net.p = weights
         for batch in batches:
             best: list[str] = []
             score: list[float] = []
             for texts in _groups(batch.column(where)):
-                sums = reader(texts) if languages else np.zeros((len(texts), 1))
+                sums = read(net, [bytes_of(t) for t in texts], len(languages)) if languages else np.zeros((len(texts), 1))
                 total = sums.sum(axis=1)
                 share = sums / np.where(total > 0, total, 1)[:, None]
                 for k, t in enumerate(texts):
