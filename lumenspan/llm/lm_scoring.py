@@ -45,8 +45,8 @@ from .seating import gamma, mix, sample_tables
 
 FOLDS, HELD_OUT = 5, 1
 GROUP_CHARS = 8_000_000
-#: Tokens of a bucket, and buckets of a partition.
-BUCKET_TOKENS, PER_PARTITION = 2_000_000, 2
+#: Tokens of a bucket; there are as many partitions as buckets.
+BUCKET_TOKENS = 2_000_000
 HOT, SALTS = 2000, 16
 CONTEXT_DISCOUNT, PARENT_DISCOUNT, STRENGTH = 0.8, 0.7, 1.0
 ROUNDS, BURN_IN, SEED = 3, 1, 11
@@ -87,7 +87,7 @@ def _corpus(ids: list, texts: list[bytes]) -> Corpus:
         tokens.append(0)
         lengths.append(len(words) + 1)
     vocabulary = np.array([xxh64_intdigest(w) for w in index], np.uint64)
-    return Corpus(ids, vocabulary, np.array(tokens, np.int64), np.array(lengths))
+    return Corpus(ids, vocabulary, np.array(tokens, np.int32), np.array(lengths))
 
 
 def _corpora(batches: Iterator[pa.RecordBatch], group_chars: int) -> Iterator[Corpus]:
@@ -164,14 +164,15 @@ def frequent(slim: DataFrame, group_chars: int = GROUP_CHARS, hot_share: int = H
 def _dealt(c: Corpus, how: Frequent) -> Iterator[tuple[int, bytes]]:
     """First (-1, the group's own row), then (bucket, word pairs of a group)."""
     n, held = len(c.vocabulary), np.array([held_out(x) for x in c.ids])
-    docs = np.repeat(np.arange(len(c.lengths)), c.lengths)
-    key = c.contexts * n + c.words
+    docs = np.repeat(np.arange(len(c.lengths), dtype=np.int32), c.lengths)
+    key = c.contexts.astype(np.int64) * n + c.words
     order = np.argsort(key, kind="stable")
     key, docs = key[order], docs[order]
     # a pair's documents, each with its number of times; texts are in order, so equal ones are neighbours
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (docs[1:] != docs[:-1])])
     at = np.flatnonzero(new)
-    times, key, docs = np.diff(np.append(at, len(new))), key[at], docs[at]
+    times, key, docs = np.diff(np.append(at, len(new))).astype(np.int32), key[at], docs[at]
+    del order, new
     pair, start, end = _runs(key)
     trained = np.add.reduceat(np.where(held[docs], 0, times), start)
     context, word = pair // n, pair % n
@@ -387,7 +388,7 @@ def score(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", group_cha
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "utf-8").alias("text"))
     kind = slim.schema["doc_id"].dataType
     how = frequent(slim, group_chars, hot_share)
-    width = -(-how.buckets // PER_PARTITION)
+    width = how.buckets
     groups = T.StructType([
         T.StructField("bucket", T.IntegerType()), T.StructField("part", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)),
         T.StructField("seats", T.BinaryType()), T.StructField("occurs", T.BinaryType()),
