@@ -1,13 +1,14 @@
 """Line deduplication with DataFrame functions only.
 
-Lines are exploded as hashes of their normalised form, the distinct documents of each hash are counted (map-side partial sums
-keep very common lines small), hashes found in `min_docs` documents or more are dropped from every document, and what stays is
-reassembled in the order of the lines. The text itself crosses the network once, to meet the document's own list of dropped hashes;
-no side is assumed to fit in memory.
-
-Null or empty text is one empty line; empty keys are never dropped, and a document that loses all lines gets an empty text.
-Every row counts as a document. Rows that share a doc_id, null included, are each judged right, as a line's fate depends on its
-hash alone. An empty table gives an empty result. Other columns pass through; those whose names end in `__ld` are reserved.
+Lines are exploded as hashes of their normalised form. Hashes that fewer than `min_docs` rows hold are put aside first (map-side partial
+sums keep very common lines small); the distinct documents of the others are counted from the rows that hold them. What is found
+in `min_docs` documents or more is dropped from every document, and what stays is reassembled in the order of the lines. The text
+itself crosses the network once, to meet its own list of dropped hashes, by a hash of doc_id and text.
+
+Null or empty text is one empty line; empty keys are never dropped, and a document that loses all lines gets an empty text. Rows
+that share a doc_id are one document in the counts and lose the same lines, each from its own text; a row without doc_id is a document
+of its own, but rows equal to it count once. An empty table gives an empty result. Other columns pass through, whatever their names;
+n_lines__ld and n_dropped__ld are replaced.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from .common import SPACE, ascii_lower, materialise, table
 
 MIN_DOCS = 10
 MIN_CHARS = 1
+ADDED = ("n_lines__ld", "n_dropped__ld")
+#: Of more dropped hashes than this a document looks up a part only, one of so many.
+PARTS = 64
+#: What a task may hold of the lists of dropped hashes.
+TABLE_BYTES = 64 << 20
 
 
 def line_key(line: Column) -> Column:
@@ -36,25 +42,55 @@ def lines_of(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def frequent_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, hash) for each document and distinct line; hashes of at least min_docs documents."""
-    hashes = F.array_compact(F.array_distinct(F.transform(lines_of(F.col(f"`{text}`")), line_hash)))
-    each = docs.select(F.col(f"`{doc_id}`").alias("doc__ld"), F.explode(hashes).alias("hash__ld"))
-    return each, each.groupBy("hash__ld").agg(F.count(F.lit(1)).alias("docs__ld")).where(F.col("docs__ld") >= min_docs).select("hash__ld")
+def _rows(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """row (all columns), text, key (128 bits of doc_id and text: the fate of a row's lines depends on these), doc (what counts as one)."""
+    t, d = F.col(f"`{text}`"), F.col(f"`{doc_id}`").cast("string")
+    key = F.struct(F.xxhash64(d, t).alias("a"), F.xxhash64(F.lit(1), t, d).alias("b"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.alias("text"), key.alias("key"), d.alias("id"))
+    own = F.col("id").isNull()
+    half = lambda c: F.when(own, F.col(f"key.{c}")).otherwise(F.lit(0)).alias(c)
+    return out.withColumn("doc", F.struct("id", half("a"), half("b")))
+
+
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """key, hash: the distinct lines of rows that at least min_docs documents hold, for each row's key; written."""
+    hashes = F.array_compact(F.array_distinct(F.transform(lines_of(F.col("text")), line_hash)))
+    each = rows.select("key", "doc", F.explode(hashes).alias("hash"))
+    often = each.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("hash")
+    often = materialise(often, "often-held-lines")  # read anew, so that Spark may broadcast it or split a hot line's rows
+    held = materialise(each.join(often, "hash", "left_semi").select("hash", "key", "doc"), "held-lines")
+    frequent = held.groupBy("hash").agg(F.count_distinct("doc").alias("n")).where(F.col("n") >= min_docs).select("hash")
+    return held.join(materialise(frequent, "frequent-lines"), "hash", "left_semi").select("key", "hash")
+
+
+def _holds(gone: Column, parts: Column, h: Column) -> Column:
+    """Whether a hash is among those gone; where these are many, among its part of them only."""
+    return F.coalesce(F.when(parts.isNull(), F.array_contains(gone, h)).otherwise(F.array_contains(F.element_at(parts, _part(h)), h)), F.lit(False))
+
+
+def _part(h: Column) -> Column:
+    return (F.pmod(F.xxhash64(h), F.lit(PARTS)) + 1).cast("int")
 
 
 def drop_frequent_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with text replaced by its other lines, plus n_lines__ld (before) and n_dropped__ld."""
-    each, frequent = frequent_lines(docs, text, doc_id, min_docs)
-    frequent = materialise(frequent, "frequent-lines")  # read anew, so that Spark may broadcast it or split a hot line's rows
-    gone = each.join(frequent, "hash__ld", "left_semi").groupBy("doc__ld").agg(F.collect_set("hash__ld").alias("gone__ld"))
-    out = docs.join(gone.hint("shuffle_hash"), F.col(f"`{doc_id}`").eqNullSafe(F.col("doc__ld")), "left")
-    lines = lines_of(F.col(f"`{text}`"))
+    rows = _rows(docs, text, doc_id)
+    gone = frequent_lines(rows, min_docs).groupBy("key").agg(F.collect_set("hash").alias("gone"))
+    gone = materialise(gone, "dropped-lines")
+    held = gone.agg(F.sum(F.size("gone")), F.count(F.lit(1))).first()
+    # a hash table of the lists only where they are known to fit a task, else both sides are sorted
+    spark = docs.sparkSession
+    if 16 * (held[0] or 0) + 200 * held[1] <= TABLE_BYTES * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        gone = gone.hint("shuffle_hash")
+    out = rows.select("row", "text", "key").join(gone, "key", "left")
+    many = F.transform(F.sequence(F.lit(1), F.lit(PARTS)), lambda i: F.filter("gone", lambda h: _part(h) == i))
+    out = out.withColumns({"lines": lines_of(F.col("text")), "parts": F.when(F.size("gone") > PARTS, many)})
     # without a list of dropped hashes nothing is hashed again
-    stay = F.when(F.col("gone__ld").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.coalesce(F.array_contains("gone__ld", line_hash(x)), F.lit(False))))
-    out = out.withColumns({"n_lines__ld": F.size(lines).cast("long"), "stay__ld": stay})
-    out = out.withColumns({"n_dropped__ld": F.col("n_lines__ld") - F.size("stay__ld"), text: F.array_join("stay__ld", "\n")})
-    return out.drop("doc__ld", "gone__ld", "stay__ld")
+    stay = F.filter("lines", lambda x: ~_holds(F.col("gone"), F.col("parts"), line_hash(x)))
+    out = out.withColumn("stay", F.when(F.col("gone").isNull(), F.col("lines")).otherwise(stay))
+    kept = [F.array_join("stay", "\n").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns if c not in ADDED]
+    n = F.size("lines").cast("long")
+    return out.select(*kept, n.alias("n_lines__ld"), (n - F.size("stay")).alias("n_dropped__ld"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

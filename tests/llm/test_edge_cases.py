@@ -47,6 +47,8 @@ def test_exact_dedup(docs, none):
     assert Counter(bytes(r.digest) for r in got if r.kept) == Counter({k: 1 for k in groups})
     assert exact_dedup.duplicates(none).count() == exact_dedup.deduplicated(none).count() == 0
     assert exact_dedup.deduplicated(docs.where("doc_id < 4")).select("doc_id").first()[0] == 3
+    kept = exact_dedup.deduplicated(docs, counters=2)
+    assert kept.count() == len(groups) and kept.columns == docs.columns  # also of rows that share a doc_id
 
 
 def test_misra_gries_keeps_what_is_frequent(spark):
@@ -59,7 +61,8 @@ def test_misra_gries_keeps_what_is_frequent(spark):
 def test_line_dedup(docs, none):
     got = line_dedup.drop_frequent_lines(docs, min_docs=2).collect()
     key = lambda x: x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)})
-    count = Counter(k for _, t in texts(None) for k in {key(x) for x in t.split("\n")} if k)
+    # rows that share a doc_id are one document; a row without one is its own
+    count = Counter(k for _, k in {(d if d is not None else ("own", t), key(x)) for d, t in texts(None) for x in t.split("\n")} if k)
     want = Counter()
     for d, t in texts(None):
         lines = t.split("\n")
@@ -69,24 +72,68 @@ def test_line_dedup(docs, none):
     assert got[0].digest == 7 and line_dedup.drop_frequent_lines(none).count() == 0
 
 
-def test_sharding(docs, none, tmp_path):
-    how = {"shards": 3, "bucket_bytes": 64}
-    plain = docs.drop("shard")
-    got = sharding.shuffled_shards(plain, F.lit(64), **how).collect()
-    assert len(got) == len(ROWS) and Counter(r.text for r in got) == Counter(t for _, t, _ in ROWS)
+def test_line_dedup_counts_documents(spark):
+    """Rows of one doc_id are one document; rows without are their own; many dropped lines; identical rows."""
+    many = "\n".join(f"common {i % 150}" for i in range(400))
+    rows = [(1, "a\nx"), (1, "a\ny"), (2, "b\nX "), (None, "b\nz"), (None, "c\nz"), (3, many), (4, many + "\nown"), (5, "y\nc"), (5, "y\nc")]
+    got = line_dedup.drop_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string").withColumn("gone", F.lit(3)), min_docs=2).collect()
+    # a: one document; b, c, x, y, z and the common lines: two
+    want = [(1, "a", 1), (1, "a", 1), (2, "", 2), (None, "", 2), (None, "", 2), (3, "", 400), (4, "own", 400), (5, "", 2), (5, "", 2)]
+    assert Counter((r.doc_id, r.text, r.n_dropped__ld) for r in got) == Counter(want) and got[0].gone == 3
+
+
+def shard_by_hand(spark, ids, shards, seed=sharding.SEED):
+    """Rendezvous hashing of all ids, by the hash function alone."""
+    pairs = [(i, s) for i in ids for s in range(shards)]
+    frame = spark.createDataFrame(pairs, "doc_id long, s int").select("doc_id", "s", F.xxhash64(F.lit(seed), F.col("s"), F.col("doc_id")).alias("w"))
+    best = {}
+    for r in frame.collect():
+        best[r.doc_id] = max(best.get(r.doc_id, (-(2**64), -1)), (r.w, r.s))
+    return {i: s for i, (_, s) in best.items()}
+
+
+@pytest.mark.parametrize("bucket_bytes", [64, 1 << 20])
+def test_sharding(docs, none, tmp_path, bucket_bytes):
+    how = {"shards": 3, "bucket_bytes": bucket_bytes}
+    got = sharding.shuffled_shards(docs, F.lit(64), **how).collect()
+    assert len(got) == len(ROWS) and Counter(r.text for r in got) == Counter(t for _, t, _ in ROWS) and got[0].digest == 7
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
-    place = {r.doc_id: (r.shard, r.grown_shard) for r in got}
-    grown = {r.doc_id: r.shard for r in sharding.shuffled_shards(plain.repartition(5), F.lit(64), shards=4, bucket_bytes=64).collect()}
-    assert all(grown[d] == g and g in (s, 3) for d, (s, g) in place.items())
-    assert sharding.shuffled_shards(none.drop("shard"), F.lit(64)).count() == 0
-    sharding.write_shards(plain, str(tmp_path / "shards"), **how)
+    three, four = (shard_by_hand(docs.sparkSession, {d for d, _, _ in ROWS}, n) for n in (3, 4))
+    assert {(r.doc_id, r.shard, r.grown_shard) for r in got} == {(d, three[d], four[d]) for d, _, _ in ROWS}
+    assert all(four[d] in (three[d], 3) for d in three)
+    assert sharding.shuffled_shards(none, F.lit(64)).count() == 0
+    sharding.write_shards(docs, str(tmp_path / "shards"), **how)
     assert docs.sparkSession.read.parquet(str(tmp_path / "shards")).count() == len(ROWS)
 
 
+def test_sharding_query_by_hand(spark):
+    sf = "/root/testdata/sf0.001"
+    text = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    now, grown = (shard_by_hand(spark, text, n) for n in (40, 41))
+    got = sharding.op10_sharding(spark, sf).collect()
+    want = {(d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode()), "key", now[d], grown[d]) for d, t in text.items()}
+    assert {(r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == want and len(got) == len(text)
+
+
+def test_one_doc_id_fills_many_buckets(spark):
+    """A third of the rows share a doc_id, some of them wholly equal: no bucket holds more than a few of them."""
+    rows = [(7, f"text {i}" if i % 2 else "same") for i in range(300)] + [(i, "x") for i in range(1000, 1600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = sharding._dealt(df, F.lit(64), "doc_id", 3, 1, 64 * 20)
+    assert max(r["count"] for r in dealt.groupBy("shard", "bucket", "part").count().collect()) <= 60
+    got = sharding.shuffled_shards(df, F.lit(64), shards=3, seed=1, bucket_bytes=64 * 20).collect()
+    assert len({(r.shard, r.slot) for r in got}) == len(rows) == len(got) and len({r.shard for r in got if r.doc_id == 7}) == 1
+
+
 def test_sharding_is_the_same_again(docs):
-    once, again = ({(r.doc_id, r.text): r.slot for r in sharding.shuffled_shards(docs.where("doc_id < 9").drop("shard").repartition(n), F.lit(64), shards=2).collect()} for n in (2, 5))
-    assert once == again
+    spark, seen = docs.sparkSession, []
+    keep = spark.conf.get("spark.sql.shuffle.partitions")
+    for n in ("2", "50"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        seen.append({(r.doc_id, r.text): r.slot for r in sharding.shuffled_shards(docs.where("doc_id < 9").repartition(int(n)), F.lit(64), shards=2).collect()})
+    spark.conf.set("spark.sql.shuffle.partitions", keep)
+    assert seen[0] == seen[1]
 
 
 def fingerprint_by_hand(text, n=3):
@@ -165,8 +212,14 @@ def test_token_counts(docs, none):
     for k, r in got.items():
         assert (r.n_docs, r.docs_at_least, r.tokens_at_least, r.truncated_tokens, r.total_tokens) == (n.count(k), sum(x >= k for x in n), sum(x for x in n if x >= k), sum(min(x, k) for x in n), sum(n))
         assert r.quantile == pytest.approx(sum(x <= k for x in n) / len(n))
-    cut = {r.context_limit: (r.truncated_tokens, r.cut_docs) for r in token_counts.truncated_totals(h, [0, 5, 10**6]).collect()}
-    assert cut == {k: (sum(min(x, k) for x in n), sum(x > k for x in n)) for k in (0, 5, 10**6)}
+    every = [*range(40), max(n) - 1, max(n), max(n) + 1, 10**6]
+    cut = {r.context_limit: (r.total_tokens, r.truncated_tokens, r.cut_docs) for r in token_counts.truncated_totals(h, every).collect()}
+    assert cut == {k: (sum(n), sum(min(x, k) for x in n), sum(x > k for x in n)) for k in every}
+    shares = [0.0, 0.1, 0.5, 0.9, 0.99, 1.0]
+    told = {r["share"]: r.n_tokens for r in token_counts.length_quantiles(h, shares).collect()}
+    assert told == {q: min(x for x in n if sum(y <= x for y in n) >= q * len(n)) for q in shares}
+    ranges = sorted((r.limits_from, r.n_tokens) for r in got.values())
+    assert ranges[0][0] == 0 and all(a[1] + 1 == b[0] for a, b in zip(ranges, ranges[1:], strict=False))
     assert token_counts.token_counts(token_counts.length_histogram(none)).count() == 0 and token_counts.truncated_totals(h, []).count() == 0
 
 
