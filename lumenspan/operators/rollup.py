@@ -6,9 +6,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import LOW_N_RUN, LOW_N_TASK, QUERY_CLUSTER, bootstrap, clamp, iqr, median, seed_of, stability_v3
+from lumenspan.functions.stats import ALPHA, DRAWS, LOW_N_RUN, LOW_N_TASK, PAIRED, QUERY_CLUSTER, clamp, estimates, iqr, median, seed_of, stability_v3
 from lumenspan.queries import query
-from lumenspan.sources.tables import OBS_SQL, completed, observations
+from lumenspan.sources.tables import OBS_SQL, completed, observations, providers
 
 
 def query_means(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,17 +150,72 @@ def paired_delta_of(obs: DataFrame, capability: DataFrame, keys: list[str]) -> D
     return support.join(centre, keys, "left").select(*support.columns, F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), F.coalesce("paired_queries", F.lit(0)).alias("paired_queries"), F.coalesce("paired_cells", F.lit(0)).alias("paired_cells"))
 
 
+#: Tasks that share the resamples of a group.
+PARTS = 8
+
+
+def type_7(ordered: Column, q: float) -> Column:
+    """A quantile of a sorted array, by linear interpolation."""
+    h = (F.size(ordered) - 1) * F.lit(q)
+    low = F.floor(h).cast("int")
+    below = F.get(ordered, low)
+    return below + (h - low) * (F.coalesce(F.get(ordered, low + 1), below) - below)
+
+
+def intervals(per_query: DataFrame, keys: list[str], seed: Column, statistic: str = "median") -> DataFrame:
+    """keys, seed, n, method, ci_low, ci_high from per_query (keys, query_id, value). A group's values - a number for each query - are
+    one row; its resamples are dealt over PARTS tasks, each of which jumps to its part of the generator's sequence."""
+    place = F.encode(F.col("query_id").cast("string"), "UTF-16BE")
+    values = F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), "value"))), lambda x: x["value"])
+    groups = per_query.groupBy(*keys).agg(values.alias("values")).withColumn("seed", seed)
+
+    @F.pandas_udf("array<double>")
+    def resampled(values: pd.Series, seed: pd.Series, part: pd.Series) -> pd.Series:
+        share = DRAWS // PARTS
+        return pd.Series([estimates(v, s, statistic, p * share, share) for v, s, p in zip(values, seed, part, strict=True)])
+
+    parts = groups.where(F.size("values") > 1).select(*keys, "seed", "values", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    drawn = parts.repartition(*keys, "part").select(*keys, resampled("values", "seed", "part").alias("drawn"))
+    ends = drawn.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("drawn"))).alias("drawn"))
+    ends = ends.select(*keys, *[type_7(F.col("drawn"), q).alias(c) for c, q in (("ci_low", ALPHA / 2), ("ci_high", 1 - ALPHA / 2))])
+    slim = groups.select(*keys, "seed", F.size("values").cast("long").alias("n"))
+    return slim.join(ends, keys, "left").select(*keys, "seed", "n", F.lit(QUERY_CLUSTER).alias("method"), "ci_low", "ci_high")
+
+
 def seeded_intervals(obs: DataFrame, keys: list[str], seed: Column, statistic: str = "median") -> DataFrame:
-    """keys, seed, n, ci_low, ci_high: the query means of a group - one number a query - are resampled in one task."""
-    per_query = query_means(obs, keys).select(*keys, F.col("query_id").cast("string").alias("query_id"), "value").withColumn("seed", seed)
+    """The same from observations: the query means of a group are resampled."""
+    return intervals(query_means(obs, keys).select(*keys, "query_id", "value"), keys, seed, statistic)
+
+
+def with_intervals(summary: DataFrame, found: DataFrame, keys: list[str], centre: str) -> DataFrame:
+    """A summary with interval, seed and error bars: deviations from the centre to both ends, never negative, null without an interval."""
+    out = summary.join(found.drop("n", "method"), keys, "left")
+    bar = lambda x: F.when(F.col("ci_low").isNotNull(), F.greatest(F.lit(0.0), x))
+    return out.withColumns({"err_low": bar(F.col(centre) - F.col("ci_low")), "err_high": bar(F.col("ci_high") - F.col(centre))})
+
+
+@query("run_score_table")
+def run_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run scores with their intervals; the summary's columns are run_mode_score's, the interval's are tested against plain loops."""
+    keys = ["run_id", "mode"]
+    found = seeded_intervals(completed(spark, sf_dir), keys, seed_of(F.col("run_id").cast("string"), F.col("mode"), F.lit("v3")))
+    return with_intervals(run_mode_score(spark, sf_dir), found, keys, "median").withColumns({"method": F.lit(QUERY_CLUSTER), "n_unit": F.lit("query")})
+
+
+@query("provider_score_table")
+def provider_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of engines and modes with their intervals, best first."""
+    out = with_intervals(provider_mode_score(spark, sf_dir), provider_mode_ci(spark, sf_dir), ["provider", "mode"], "median")
+    return out.orderBy(F.desc("median"), "provider", "mode")
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("query_id", key=lambda s: s.map(lambda q: q.encode("utf-16-be")))
-        ci = bootstrap(pdf["value"].to_numpy(), pdf["seed"].iloc[0], statistic)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "seed": [pdf["seed"].iloc[0]], "n": [len(pdf)], "method": [QUERY_CLUSTER], "ci_low": [ci and ci[0]], "ci_high": [ci and ci[1]]})
 
-    types = ", ".join(f"{k} {per_query.schema[k].dataType.simpleString()}" for k in keys)
-    return per_query.groupBy(*keys).applyInPandas(interval, f"{types}, seed string, n long, method string, ci_low double, ci_high double")
+@query("paired_interval")
+def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grounded minus parametric by run, with the interval of its mean over resampled queries."""
+    obs, able = completed(spark, sf_dir), providers(spark)
+    per_query = paired_cells(obs, able, ["run_id"]).where("paired").groupBy("run_id", "query_id").agg(F.avg(F.col("g") - F.col("p")).alias("value"))
+    found = intervals(per_query, ["run_id"], seed_of(F.col("run_id").cast("string"), F.lit("delta"), F.lit("v3")), "mean")
+    return with_intervals(paired_delta_of(obs, able, ["run_id"]), found, ["run_id"], "mean").withColumn("method", F.lit(PAIRED))
 
 
 @query("bootstrap_ci")

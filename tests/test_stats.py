@@ -3,8 +3,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import XorShift128Plus, bootstrap, bootstrap_pooled, iqr, median, seed_for, stability_v3
-from lumenspan.operators.rollup import cluster_summary, paired_delta_of, query_means, seeded_intervals
+from lumenspan.functions.stats import XorShift128Plus, bootstrap, bootstrap_pooled, fnv1a_units, iqr, median, seed_for, stability_v3
+from lumenspan.operators.rollup import cluster_summary, intervals, paired_delta_of, paired_interval, query_means, seeded_intervals
 
 
 def numbers(spark, xs):
@@ -67,6 +67,52 @@ def test_generator_by_hand():
     assert seed_for(["r", "GROUNDED", "v3"]) == __import__("hashlib").sha256(b"r|GROUNDED|v3").hexdigest()
 
 
+def plain_doubles(seed, n):
+    """The generator one number at a time."""
+    w = [fnv1a_units(f"{seed}#{i}") for i in range(4)]
+    a, b, full, out = w[0] << 32 | w[1], w[2] << 32 | w[3], (1 << 64) - 1, []
+    for _ in range(16 + n):
+        out.append(((a + b & full) >> 11) / 2**53)
+        x = a ^ (a << 23 & full)
+        a, b = b, x ^ b ^ (x >> 18) ^ (b >> 5)
+    return out[16:]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 300, 4097, 40_001])
+def test_lanes_give_the_same_sequence(n):
+    g, want = XorShift128Plus("some seed"), plain_doubles("some seed", n + 3)
+    assert g.doubles(n).tolist() + g.doubles(3).tolist() == want
+    h = XorShift128Plus("some seed")
+    h.skip(n)
+    assert h.doubles(3).tolist() == want[n:]
+
+
+@pytest.mark.parametrize("statistic", ["mean", "median"])
+def test_intervals_against_plain_loops(spark, statistic):
+    rng = np.random.default_rng(1)
+    rows = [("r", f"q{i}", float(rng.integers(0, 100))) for i in range(37)] + [("one", "q", 5.0)]
+    df = spark.createDataFrame(rows, "run_id string, query_id string, value double").repartition(5)
+    got = {r.run_id: r for r in intervals(df, ["run_id"], F.lit("s"), statistic).collect()}
+    v = [x for _, q, x in sorted(rows[:-1], key=lambda r: r[1])]
+    u = plain_doubles("s", 2000 * 37)
+    each = []
+    for i in range(2000):
+        drawn = sorted(v[int(x * 37)] for x in u[i * 37 : (i + 1) * 37])
+        each.append(sum(drawn) / 37 if statistic == "mean" else drawn[18])
+    each.sort()
+    ends = [each[int(h)] + (h - int(h)) * (each[int(h) + 1] - each[int(h)]) for h in (1999 * 0.025, 1999 * 0.975)]
+    assert [got["r"].ci_low, got["r"].ci_high] == pytest.approx(ends, rel=1e-12) and got["r"].n == 37
+    assert got["one"].ci_low is None and got["one"].n == 1
+
+
+def test_paired_interval_holds_its_centre(spark):
+    for r in paired_interval(spark, "/root/testdata/sf0.001").collect():
+        if r.paired_queries > 1:
+            assert r.ci_low <= r["mean"] <= r.ci_high and r.err_low >= 0 and r.err_high >= 0
+        else:
+            assert r.ci_low is None and r.err_low is None
+
+
 def test_paired_delta_counts_what_it_leaves_out(spark):
     rows = [("q1", "p1", "PARAMETRIC", 10), ("q1", "p1", "GROUNDED", 30), ("q2", "p1", "PARAMETRIC", 20), ("q2", "p1", "GROUNDED", 10), ("q3", "p1", "GROUNDED", 90), ("q4", "p2", "GROUNDED", 5), ("q5", "p2", "PARAMETRIC", 5), ("q6", "p1", "PARAMETRIC", 1), ("q7", "p1", "GROUNDED", 1)]
     obs = spark.createDataFrame([("r", *x[:3], float(x[3])) for x in rows], "run_id string, query_id string, provider string, mode string, score double")
