@@ -7,10 +7,11 @@ is one Arrow batch function over answers; everything after it is columns again.
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
-from bisect import bisect_right
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 #: Order and confidence of the kinds of match, and the sizes that extraction goes by.
 KINDS = {"EXACT": (0, 1.0), "ALIAS": (1, 0.9), "DOMAIN": (2, 0.8), "APPROXIMATE": (3, 0.4)}
 RADIUS, MIN_SENTENCE, MIN_FUZZY = 100, 10, 5
+#: Tokens without a near name that a task remembers. Those with one are few: a name has some thousand neighbours.
+FAR_MEMO = 200_000
 VERSIONS = ("v2", "v3")
 MENTION = "entity_id string, kind string, mention_type string, occurrence_index int, char_offset int, sentence_index int, normalized_position double, in_first_sentence boolean, order_rank int, occurrences_total int, context string, confidence double"
+ASCII_WORD = re.compile("[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -40,14 +44,26 @@ class Span:
         return self.start < other.end and other.start < self.end
 
 
-def fold(text: str) -> tuple[str, list[int]]:
+class _Plain(dict):
+    """Characters to what they are without accents and case; filled as they are met."""
+
+    def __missing__(self, code: int) -> str:
+        self[code] = plain = "".join(x for x in unicodedata.normalize("NFD", chr(code)) if not unicodedata.category(x).startswith("M")).lower()
+        return plain
+
+
+_PLAIN = _Plain()
+
+
+def fold(text: str) -> tuple[str, Sequence[int]]:
     """The folded text, and for each of its characters the character of the text that it comes from."""
-    out, origin = [], []
-    for i, c in enumerate(text):
-        plain = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")).lower()
-        out.append(plain)
-        origin += [i] * len(plain)
-    return "".join(out), [*origin, len(text)]
+    if text.isascii():
+        return text.lower(), range(len(text) + 1)
+    if all(len(_PLAIN[ord(c)]) == 1 for c in set(text)):
+        return text.translate(_PLAIN), range(len(text) + 1)
+    parts = [_PLAIN[ord(c)] for c in text]
+    origin = [i for i, p in enumerate(parts) for _ in p]
+    return "".join(parts), [*origin, len(text)]
 
 
 def one_edit(a: str, b: str) -> bool:
@@ -73,17 +89,34 @@ class Matcher:
 
         self.entities, self.word = entities, regex.compile(r"[\p{L}\p{N}]+")
         self.needles, self.fuzzy = [], []
+        # tokens met so far: whose names are one edit away, or nobody's
+        self.near: dict[str, tuple[int, ...]] = {}
+        self.far: set[str] = set()
         for who, e in enumerate(entities):
             asked = [("EXACT", e["name"]), *(("ALIAS", a) for a in e["aliases"] or []), ("DOMAIN", bare_host(e["domain"] or ""))]
-            self.needles += [(kind, who, regex.compile(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(needle)}(?![\p{{L}}\p{{N}}])")) for kind, text in asked if (needle := fold(text.strip())[0])]
+            folded = [(kind, needle) for kind, text in asked if (needle := fold(text.strip())[0])]
+            self.needles += [(kind, who, needle, regex.compile(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(needle)}(?![\p{{L}}\p{{N}}])")) for kind, needle in folded]
             if len(name := fold(e["name"].strip())[0]) >= MIN_FUZZY:
                 self.fuzzy.append((who, name))
 
+    def _meet(self, tokens: set[str]) -> None:
+        if len(self.far) > FAR_MEMO:
+            self.far.clear()
+        for token in tokens - self.far:
+            if token not in self.near:
+                if who := tuple(who for who, name in self.fuzzy if one_edit(token, name)):
+                    self.near[token] = who
+                else:
+                    self.far.add(token)
+
     def spans(self, text: str) -> list[Span]:
         folded, origin = fold(text)
-        found = [Span(kind, origin[m.start()], origin[m.end()], who) for kind, who, needle in self.needles for m in needle.finditer(folded)]
+        found = [Span(kind, origin[m.start()], origin[m.end()], who) for kind, who, needle, form in self.needles if needle in folded for m in form.finditer(folded)]
         if self.fuzzy:
-            found += [Span("APPROXIMATE", origin[m.start()], origin[m.end()], who) for m in self.word.finditer(folded) for who, name in self.fuzzy if one_edit(m[0], name)]
+            tokens = set(ASCII_WORD.findall(folded) if folded.isascii() else self.word.findall(folded))
+            self._meet(tokens)
+            if not self.near.keys().isdisjoint(tokens):  # most texts have no such token
+                found += [Span("APPROXIMATE", origin[m.start()], origin[m.end()], who) for m in self.word.finditer(folded) for who in self.near.get(m[0], ())]
         return found
 
     def settled(self, found: list[Span], version: str) -> list[Span]:
@@ -99,27 +132,34 @@ class Matcher:
                 kept.append(s)
         return kept
 
-    def mentions(self, text: str | None, version: str) -> list[dict]:
+    def mentions(self, text: str | None, version: str) -> list[tuple]:
+        """Rows in the order of MENTION's fields."""
         text = text or ""
         kept = sorted(self.settled(self.spans(text), version), key=lambda s: (s.start, s.who))
+        if not kept:
+            return []
         by: dict[int, list[Span]] = {}
         for s in kept:
             by.setdefault(s.who, []).append(s)
         rank = {who: r for r, who in enumerate(by)}
-        starts, at, total = sentence_starts(text), [0], units(text)
-        for c in text:
-            at.append(at[-1] + (2 if ord(c) > 0xFFFF else 1))
-        rows = []
+        starts, at = sentence_starts(text), offsets(text)
+        total, rows = at[len(text)], []
         for who, spans in by.items():
             e = self.entities[who]
             for k, s in enumerate(spans):
                 sentence = bisect_right(starts, s.start) - 1
-                rows.append({
-                    "entity_id": e["id"], "kind": e["kind"], "mention_type": s.kind, "occurrence_index": k, "char_offset": at[s.start], "sentence_index": sentence,
-                    "normalized_position": at[s.start] / total if total else 0.0, "in_first_sentence": sentence == 0, "order_rank": rank[who], "occurrences_total": len(spans),
-                    "context": context(text, s.start, s.end), "confidence": KINDS[s.kind][1],
-                })
-        return sorted(rows, key=lambda r: (r["char_offset"], r["order_rank"], str(r["entity_id"])))
+                rows.append((
+                    e["id"], e["kind"], s.kind, k, at[s.start], sentence, at[s.start] / total if total else 0.0, sentence == 0,
+                    rank[who], len(spans), context(text, s.start, s.end, at), KINDS[s.kind][1],
+                ))
+        return sorted(rows, key=lambda r: (r[4], r[8], str(r[0])))
+
+
+def offsets(text: str) -> Sequence[int]:
+    """For each character, and the end, how many UTF-16 units come before it."""
+    if text.isascii() or max(text) <= "\uffff":
+        return range(len(text) + 1)
+    return [0, *itertools.accumulate(2 if c > "\uffff" else 1 for c in text)]
 
 
 def sentence_starts(text: str) -> list[int]:
@@ -127,13 +167,16 @@ def sentence_starts(text: str) -> list[int]:
     for m in SENTENCE.finditer(text):
         if m.end() >= len(text):
             break
-        if units(text[starts[-1] : m.start()]) >= MIN_SENTENCE:
+        # a sentence of so many characters has as many units, and short ones are counted
+        if m.start() - starts[-1] >= MIN_SENTENCE or units(text[starts[-1] : m.start()]) >= MIN_SENTENCE:
             starts.append(m.end())
     return starts
 
 
-def context(text: str, start: int, end: int) -> str:
-    lo, hi = max(0, start - RADIUS), min(len(text), end + RADIUS)
+def context(text: str, start: int, end: int, at: Sequence[int] | None = None) -> str:
+    """The text around a span, RADIUS UTF-16 units on both sides; a character that would be cut in half is left out."""
+    at = offsets(text) if at is None else at
+    lo, hi = bisect_left(at, at[start] - RADIUS), bisect_right(at, at[end] + RADIUS) - 1
     return ("…" if lo else "") + re.sub(r"\s+", " ", text[lo:hi]).strip() + ("…" if hi < len(text) else "")
 
 
@@ -146,8 +189,11 @@ def extracted(answers: DataFrame, entities: list[dict], text: str = "text", vers
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(entities)
         kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-        shape = pa.list_(pa.struct([(c.split(" ")[0], kind[c.split(" ")[1]]) for c in MENTION.split(", ")]))
+        names, kinds = zip(*[(n, kind[k]) for n, k in (c.split(" ") for c in MENTION.split(", "))], strict=True)
         for batch in batches:
-            yield pa.array([matcher.mentions(x.as_py(), version) for x in batch], shape)
+            rows = [matcher.mentions(x.as_py(), version) for x in batch]
+            flat = list(zip(*itertools.chain.from_iterable(rows), strict=True)) or [()] * len(names)
+            fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=list(names))
+            yield pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), fields)
 
     return answers.withColumn("mentions", find(F.col(text)))

@@ -15,8 +15,9 @@ def catalogue() -> list[dict]:
 
 
 def mention_rows(answers: DataFrame, version: str = "v3") -> DataFrame:
-    """sample_id and a row for each mention."""
-    return extracted(answers.select("sample_id", "text"), catalogue(), version=version).select("sample_id", F.explode("mentions").alias("m")).select("sample_id", "m.*")
+    """sample_id and a row for each mention. An inner explode would have its filter of empty lists pushed below it, and extract twice."""
+    found = extracted(answers.select("sample_id", "text"), catalogue(), version=version)
+    return found.select("sample_id", F.explode_outer("mentions").alias("m")).where("m IS NOT NULL").select("sample_id", "m.*")
 
 
 @query("mention_extract_v3")

@@ -175,7 +175,9 @@ def intervals(per_query: DataFrame, keys: list[str], seed: Column, statistic: st
         return pd.Series([estimates(v, s, statistic, p * share, share) for v, s, p in zip(values, seed, part, strict=True)])
 
     parts = groups.where(F.size("values") > 1).select(*keys, "seed", "values", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    drawn = parts.repartition(*keys, "part").select(*keys, resampled("values", "seed", "part").alias("drawn"))
+    # numbered, as small rows with much work would otherwise be put together in one task
+    width = int(per_query.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = parts.repartition(width, *keys, "part").select(*keys, resampled("values", "seed", "part").alias("drawn"))
     ends = drawn.groupBy(*keys).agg(F.array_sort(F.flatten(F.collect_list("drawn"))).alias("drawn"))
     ends = ends.select(*keys, *[type_7(F.col("drawn"), q).alias(c) for c, q in (("ci_low", ALPHA / 2), ("ci_high", 1 - ALPHA / 2))])
     slim = groups.select(*keys, "seed", F.size("values").cast("long").alias("n"))

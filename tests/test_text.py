@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lumenspan.functions.answers import Matcher, extracted, one_edit, sentence_starts
+from lumenspan.functions.answers import Matcher, context, extracted, one_edit, sentence_starts
 from lumenspan.functions.urls import normalized_url, registrable_domain, same_domain, text_urls
 from lumenspan.operators.rules import scored
 from lumenspan.operators.sources_report import merged_citations
@@ -14,7 +14,7 @@ def brand(name, aliases=(), domain=None, id="b", kind="BRAND"):
 
 
 def found(text, *entities, version="v3"):
-    return [(m["entity_id"], m["mention_type"], m["char_offset"]) for m in Matcher(list(entities)).mentions(text, version)]
+    return [(m[0], m[2], m[4]) for m in Matcher(list(entities)).mentions(text, version)]
 
 
 def test_case_accents_and_offsets():
@@ -56,6 +56,53 @@ def test_sentences():
     assert sentence_starts("") == [0] and sentence_starts("One long sentence. ") == [0]
 
 
+def plain_spans(text, entities):
+    """Every place of every needle, character by character."""
+    import unicodedata
+
+    folded, origin = [], []
+    for i, c in enumerate(text):
+        for x in "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.category(x).startswith("M")).lower():
+            folded.append(x)
+            origin.append(i)
+    origin.append(len(text))
+    letter = lambda k: 0 <= k < len(folded) and unicodedata.category(folded[k])[0] in "LN"
+    out = set()
+    for who, e in enumerate(entities):
+        for kind, needle in [("EXACT", e["name"]), *(("ALIAS", a) for a in e["aliases"])]:
+            n = list(needle.lower())
+            for k in range(len(folded) - len(n) + 1):
+                if folded[k : k + len(n)] == n and not letter(k - 1) and not letter(k + len(n)):
+                    out.add((kind, origin[k], origin[k + len(n)], who))
+        k = 0
+        while k < len(folded):
+            end = k
+            while letter(end):
+                end += 1
+            if end > k and len(e["name"]) >= 5 and one_edit("".join(folded[k:end]), e["name"].lower()):
+                out.add(("APPROXIMATE", origin[k], origin[end], who))
+            k = max(end, k + 1)
+    return out
+
+
+def test_spans_against_plain_search():
+    import random
+
+    rng = random.Random(2)
+    entities = [brand("Notion", ["nt"]), brand("Motion", id="c"), brand("Zed", id="d")]
+    pieces = ["notion", "Nótion", "motions", "notin", "NT", "zed", "Zéd", "İ", "ﬁn", "😀", "über", " ", ". ", "-", "x", "ntion"]
+    for _ in range(300):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(1, 14)))
+        got = Matcher(entities).spans(text)
+        assert {(s.kind, s.start, s.end, s.who) for s in got} == plain_spans(text, entities)
+
+
+def test_context_counts_utf_16_units():
+    assert context("😀" * 60 + "Acme" + "😀" * 60, 60, 64) == "…" + "😀" * 50 + "Acme" + "😀" * 50 + "…"
+    assert context("a" + "😀" * 50 + "b Acme", 53, 57) == "…" + "😀" * 49 + "b Acme"
+    assert context("x" * 120 + " Acme  y", 121, 125) == "…" + "x" * 99 + " Acme y"
+
+
 def test_extraction_keeps_rows_without_mentions(spark):
     df = spark.createDataFrame([(1, "Acme. " * 3), (2, None), (3, "")], "id int, text string")
     got = {r.id: r.mentions for r in extracted(df, [brand("Acme")]).collect()}
