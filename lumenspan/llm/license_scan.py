@@ -1,9 +1,10 @@
 """License scans by canonical digest lookup.
 
-A text is brought into a canonical form - A-Z lower-cased, copyright lines dropped, equivalent spellings made one, punctuation and
-white space one space - and its SHA-256 digest is hash-joined with the digests of known licences and notices. Whole documents are looked
-up, and so are their lines and their blank-line-separated paragraphs, as notices stand within other text. The catalogue is a
-parameter of fixed size, far below a megabyte, and is broadcast; documents aren't shuffled, only the few units that matched.
+A text is brought into a canonical form - A-Z lower-cased, copyright lines and lines "all rights reserved" dropped, punctuation and
+white space one space, equivalent spellings made one - and its SHA-256 digest is hash-joined with the digests of known licences and
+notices. Whole documents are looked up, and so are their lines and their blank-line-separated paragraphs, as notices stand within
+other text. The catalogue is a parameter of fixed size, far below a megabyte, and is broadcast; documents aren't shuffled, only the
+few units that matched.
 
 Null text is empty; an empty canonical form matches nothing. Units that repeat count once for each place. Rows that share a doc_id, null
 included, share their findings. An empty table gives an empty result. Further columns aren't looked at.
@@ -20,18 +21,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, ascii_lower, table
-from .license_texts import LICENSES
+from .license_texts import DIGESTS, LICENSES, TITLES
 
 #: Signs that become spaces, spellings that become one, and the patterns of the canonical form in the order of their
-#: use; RE2, Java and Python read them alike.
+#: use; RE2, Java and Python read them alike. A copyright line begins with the word or sign and goes on with the other, a year or a
+#: placeholder of one: lines of prose that happen to begin with "copyright", or with the third point of a list, stay.
 SIGNS = "‘’“”–—"
-PLAIN: list[tuple[str, str]] = [("©", "(c)"), ("https://", "http://"), ("licence", "license"), ("sub-license", "sublicense"), ("non-infringement", "noninfringement")]
-RULES: list[tuple[str, str]] = [
-    (r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*", "\n"),
-    (rf"[{SIGNS}]", " "),
-    *PLAIN,
-    (r"[\x00-/:-@\[-`{-\x7F]+", " "),
-]
+PLAIN: list[tuple[str, str]] = [
+    ("https ", "http "), ("acknowledgement", "acknowledgment"), ("authoris", "authoriz"), ("cancelled", "canceled"), ("catalogue", "catalog"), ("centre", "center"),
+    ("favour", "favor"), ("fulfilment", "fulfillment"), ("judgement", "judgment"), ("labour", "labor"), ("licence", "license"), ("non commercial", "noncommercial"),
+    ("non infringement", "noninfringement"), ("offence", "offense"), ("organis", "organiz"), ("programme ", "program "), ("recognis", "recogniz"),
+    ("sub licens", "sublicens"), ("utilis", "utiliz"), ("whilst", "while"), ("wilful", "willful"),
+]
+OWNED = r"(^|\n)[ \t*#/;.-]*(copyright[ \t]*((\(c\)|©)|[<{\[(]?(19|20)[0-9y][0-9y]|[<{\[]y(ear|yyy))|(\(c\)|©)[ \t]*(copyright|[<{\[]?(19|20)[0-9][0-9]))[^\n]*"
+RESERVED = r"(^|\n)[ \t*#/;.-]*all rights reserved\.?[ \t]*(\n|$)"
+RULES: list[tuple[str, str]] = [(rf"[{SIGNS}]", " "), (OWNED, "\n"), (RESERVED, "\n"), ("©", "(c)"), (r"[\x00-/:-@\[-`{-\x7F]+", " "), *PLAIN]
 
 
 def canonical_text(text: str) -> str:
@@ -42,24 +46,40 @@ def canonical_text(text: str) -> str:
     return text.strip(" ")
 
 
+def titled(entries: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Entries under each of their titles and without one."""
+    out = []
+    for name, text in entries:
+        titles = TITLES.get(name, [])
+        body = next((text[len(t) :].lstrip() for t in titles if text.startswith(t + "\n")), text)
+        out += [(name, text)] + ([(name, body), *((name, f"{t}\n\n{body}") for t in titles)] if "\n" in text else [])
+    return list(dict.fromkeys(out))
+
+
 def canonical(text: Column) -> Column:
     """RULES as columns: one pass for what maps character by character, plain searches for what is no pattern, and patterns only where
     they can match."""
     text = F.translate(text, UPPER + SIGNS, LOWER + " " * len(SIGNS))
-    line, to = RULES[0]
-    owned = text.contains("copyright") | text.contains("(c)") | text.contains("©")
-    text = F.when(owned, F.regexp_replace(text, line, to)).otherwise(text)
+    owned = text.contains("copyright") | text.contains("(c)") | text.contains("©") | text.contains("all rights reserved")
+    text = F.when(owned, F.regexp_replace(F.regexp_replace(text, *RULES[1]), *RULES[2])).otherwise(text)
+    text = F.regexp_replace(F.replace(text, F.lit("©"), F.lit("(c)")), *RULES[4])
     for plain, to in PLAIN:
         text = F.replace(text, F.lit(plain), F.lit(to))
-    return F.btrim(F.regexp_replace(text, *RULES[-1]), F.lit(" "))
+    return F.btrim(text, F.lit(" "))
 
 
-def may_match(text: Column, entries: list[tuple[str, str]]) -> Column:
-    """False only for texts that can't be an entry: each entry has a word, untouched by the rules, that a match must have too."""
-    changed = re.compile("|".join(re.escape(x) for _, x in PLAIN if x))
+def _words(entries: list[tuple[str, str]]) -> list[str]:
+    """A word of each entry, untouched by the rules, that a match must have too."""
+    changed = re.compile("|".join(re.escape(x.strip()) for _, x in PLAIN))
     words = {max((w for w in re.findall("[a-z]+", canonical_text(t)) if not changed.search(w)), key=len, default="") for _, t in entries}
+    words |= {w for _, _, w in DIGESTS} if entries is LICENSES else set()
+    return sorted(w for w in words if not any(o != w and o in w for o in words))
+
+
+def may_match(text: Column, entries: list[tuple[str, str]]) -> Column:
+    """False only for texts that can't be an entry: no entry's word is in them."""
     low = F.lower(text)
-    return reduce(or_, [low.contains(w) for w in sorted(words)])
+    return reduce(or_, [low.contains(w) for w in _words(entries)])
 
 
 def digest(text: Column) -> Column:
@@ -67,8 +87,9 @@ def digest(text: Column) -> Column:
 
 
 def catalogue(entries: list[tuple[str, str]] = LICENSES) -> list[tuple[str, str]]:
-    """(digest, licence), each digest once."""
-    found = {hashlib.sha256(form.encode()).hexdigest(): name for name, text in entries if (form := canonical_text(text))}
+    """(digest, licence), each digest once: of the entries under all their titles, and the known digests of long texts."""
+    found = {d: name for name, d, _ in DIGESTS} if entries is LICENSES else {}
+    found |= {hashlib.sha256(form.encode()).hexdigest(): name for name, text in titled(entries) if (form := canonical_text(text))}
     return sorted(found.items())
 
 
