@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: The characters of `[\x20\x09-\x0D]`.
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Where intermediate tables go if the cluster names no shared folder, as in tests.
+#: Where intermediate tables go if no shared folder is named and all runs on one machine, as in tests.
 LOCAL_WORK = "file:///tmp/checkpoints"
 
 
@@ -21,7 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir."""
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or LOCAL_WORK}/lumenspan"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    return f"{shared or LOCAL_WORK}/lumenspan"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -29,7 +32,16 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     every later reader sees the same rows."""
     path = f"{work_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what materialise wrote; nothing that is still to be computed may read it."""
+    if path := getattr(df, "_written", None):
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def tagged(docs: DataFrame) -> DataFrame:
