@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
 from lumenspan.operators import details, evidence, extraction, readmodel, rollup, rules, sources_report  # noqa: F401
-from lumenspan.plans import jobs  # noqa: F401
-from lumenspan.sources import payloads, sinks  # noqa: F401
+from lumenspan.plans import jobs, refresh  # noqa: F401
+from lumenspan.sources import exports, payloads, sinks  # noqa: F401
 from lumenspan.streaming import queue  # noqa: F401

@@ -16,7 +16,7 @@ DRAWS, ALPHA = 2000, 0.05
 #: Numbers that a bootstrap draws at once.
 AT_ONCE = 1 << 20
 LOW_N_TASK, LOW_N_RUN = 5, 30
-QUERY_CLUSTER, PAIRED = "query-cluster", "paired-retrieval"
+QUERY_CLUSTER, PAIRED = "query-cluster-v1", "paired-query-cluster-v1"
 
 
 def clamp(x: Column, lo: float = 0.0, hi: float = 1.0) -> Column:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lumenspan.queries import query
 from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, observations, providers, read
@@ -187,21 +190,33 @@ def cancelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 CAPACITY, REFILL = 3.0, 1.0 / 20_000
 
 
-def token_bucket_of(calls: DataFrame, capacity: float = CAPACITY, refill_per_s: float = REFILL) -> DataFrame:
-    """calls: bucket, call_id, ts. bucket, call_id, admitted, tokens after: the calls of a bucket take tokens in order of time."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "call_id"])
-        tokens, last, out = capacity, None, []
-        for t in pdf["ts"].astype("int64") / 1e6:
-            tokens = min(capacity, tokens + (t - last) * refill_per_s) if last is not None else tokens
-            last, ok = t, tokens >= 1
-            tokens -= ok
-            out.append((ok, tokens))
-        return pdf[["bucket", "call_id"]].assign(admitted=[x for x, _ in out], tokens=[x for _, x in out])
-
-    shaped = calls.select("bucket", "call_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"))
-    return shaped.groupBy("bucket").applyInPandas(fold, f"bucket {shaped.schema['bucket'].dataType.simpleString()}, call_id long, admitted boolean, tokens double")
+def token_bucket_of(calls: DataFrame, capacity: float = CAPACITY, refill_per_s: float = REFILL, known: DataFrame | None = None) -> DataFrame:
+    """calls: bucket, call_id, ts. bucket, call_id, admitted, tokens after: the calls of a bucket take tokens in order of time. known
+    (bucket): the buckets that exist, if not all do; calls of others are never admitted and have no tokens.
+
+    A fold over sorted Arrow batches that carries one bucket's state from batch to batch, so a bucket with very many calls is
+    never in memory as a whole."""
+    shaped = calls.select("bucket", "call_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.lit(True).alias("there"))
+    if known is not None:
+        exists = known.select("bucket").distinct().withColumn("there", F.lit(True))
+        shaped = shaped.drop("there").join(exists, "bucket", "left").select("bucket", "call_id", "ts", F.coalesce("there", F.lit(False)).alias("there"))
+    out = T.StructType([shaped.schema["bucket"], T.StructField("call_id", T.LongType()), T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, tokens, last, begun = None, capacity, 0.0, False
+        for batch in batches:
+            ok, left = [], []
+            for who, ts, there in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                t = ts / 1e6
+                if not begun or who != bucket:
+                    bucket, tokens, last, begun = who, capacity, t, True
+                tokens, last = min(capacity, tokens + (t - last) * refill_per_s), t
+                ok.append(there and tokens >= 1)
+                tokens -= ok[-1]
+                left.append(tokens if there else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(left, pa.float64())], names=out.names)
+
+    return shaped.repartition("bucket").sortWithinPartitions("bucket", "ts", "call_id").mapInArrow(fold, out)
 
 
 @query("token_bucket")

@@ -125,39 +125,3 @@ def error_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.element_at(F.array(*[F.lit(x) for x in (401, 403, 404, 408, 429, 500, 503, 400)]), (F.col("event_id") % 8 + 1).cast("int"))
     failed = read(spark, sf_dir, "events").where("event_type = 'error'").select(error_of(status).alias("error"))
     return failed.groupBy("error", F.col("error").isin(RETRYABLE).alias("retryable")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def fixture_answer(seed: str, names: list[str], picks: int = 3) -> list[str]:
-    """The fixture engine's pick of names, the same for the same seed: FNV-1a seeds mulberry32, which drives a Fisher-Yates shuffle."""
-    state = 0x811C9DC5
-    for unit in memoryview(seed.encode("utf-16-le")).cast("H"):
-        state = (state ^ unit) * 0x01000193 & 0xFFFFFFFF
-
-    def draw() -> float:
-        nonlocal state
-        state = state + 0x6D2B79F5 & 0xFFFFFFFF
-        t = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
-        t ^= t + ((t ^ t >> 7) * (t | 61) & 0xFFFFFFFF) & 0xFFFFFFFF
-        return ((t ^ t >> 14) & 0xFFFFFFFF) / 2**32
-
-    names = list(names)
-    for i in range(len(names) - 1, 0, -1):
-        j = int(draw() * (i + 1))
-        names[i], names[j] = names[j], names[i]
-    return names[:picks]
-
-
-@F.udtf(returnType="rank int, name string")
-class FixtureEngine:
-    """FixtureEngine(seed, names): the fixture's answer as rows."""
-
-    def eval(self, seed: str, names: list) -> Iterator[tuple[int, str]]:
-        yield from enumerate(fixture_answer(seed, names))
-
-
-@query("fixture_engine")
-def fixture_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture's answers for every user, the same in every run."""
-    spark.udtf.register("fixture_engine", FixtureEngine)
-    read(spark, sf_dir, "events").select("user_id").distinct().createOrReplaceTempView("fixture_users")
-    return spark.sql("SELECT user_id, rank, name FROM fixture_users, LATERAL fixture_engine(CAST(user_id AS STRING), array('inble', 'antion', 'thtion', 'nicht', 'thing'))")

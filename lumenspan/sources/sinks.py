@@ -38,30 +38,40 @@ def csv_header(names: list[str] = CSV_HEADERS) -> str:
 
 
 def write_csv(df: DataFrame, path: str, names: list[str] = CSV_HEADERS) -> None:
-    """CRLF lines; the header with its mark stands first in every part, so parts are files of their own."""
-    header = csv_header(names)
-    lines = csv_lines(df)
-    lines.mapInArrow(_with_header(header), "value string").write.option("lineSep", "\r\n").mode("overwrite").text(path)
+    """CRLF lines; the header with its mark stands first in the first part, so that the parts one after the other are one CSV."""
+    csv_lines(df).mapInArrow(_with_header(csv_header(names)), "value string").write.option("lineSep", "\r\n").mode("overwrite").text(path)
 
 
 def _with_header(header: str):
     import pyarrow as pa
 
     def run(batches):
-        first = True
-        for batch in batches:
-            if first:
-                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
-                first = False
-            yield batch
+        from pyspark import TaskContext
+
+        first = next(batches, None)
+        if TaskContext.get().partitionId() == 0:
+            schema = first.schema if first is not None else pa.schema([("value", pa.string())])
+            yield pa.RecordBatch.from_arrays([pa.array([header], schema.field(0).type)], schema=schema)
+        if first is not None:
+            yield first
+        yield from batches
 
     return run
 
 
+def _plain_name(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", name) if not "\u0300" <= c <= "\u036f")
+
+
 def safe_filename(name: str, fallback: str = "projet", limit: int = 60) -> str:
     """Letters and digits of a name without its accents, joined by hyphens."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", name) if not "̀" <= c <= "ͯ")
-    return re.sub(r"[^A-Za-z0-9]+", "-", plain).strip("-")[:limit] or fallback
+    return re.sub(r"[^A-Za-z0-9]+", "-", _plain_name(name)).strip("-")[:limit] or fallback
+
+
+def passport_filename(query: str, provider: str, exported_at: str) -> str:
+    """Of lower-case parts: 42 characters of the query, 20 of the engine, and the day."""
+    part = lambda x, limit: safe_filename(x.lower(), "mesure", limit).rstrip("-") or "mesure"
+    return f"gem-passport-{part(query, 42)}-{part(provider, 20)}-{exported_at[:10]}.json"
 
 
 def json_export(df: DataFrame, **envelope: Column) -> DataFrame:
