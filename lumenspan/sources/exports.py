@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from lumenspan.functions.stats import LOW_N_TASK, QUERY_CLUSTER
 from lumenspan.functions.urls import normalized_url
 from lumenspan.operators.evidence import share_sql, voice_share_task
+from lumenspan.operators.readmodel import FIND_SQL, cell_scores, findings
 from lumenspan.operators.rules import sample_score_v3, score_contributions, score_sql
 from lumenspan.queries import query
 from lumenspan.sources.sinks import csv_cell, fixed
-from lumenspan.sources.tables import ENTITIES, citations, entities, mentions, responses
+from lumenspan.sources.tables import ENTITIES, citations, completed, entities, mentions, responses
 
 
 def export_rows(answers: DataFrame, scores: DataFrame, shares: DataFrame, cited: DataFrame, names: DataFrame) -> DataFrame:
@@ -131,3 +132,101 @@ def run_tree_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
         "run_id", "task_id", "sample_id", size("mentions"), F.get("mentions", F.lit(0))["entity_id"].alias("first_entity"), size("citations"),
         F.get("citations", F.lit(0))["url"].alias("first_url"), size("contributions"), F.round(total, 4).alias("raw_score"),
     )
+
+
+NOTICE = "Observed difference between two modes of one engine; not a causal effect."
+SCHEMA, VERSION = "measurement-passport/v1", "0.2"
+
+
+def passports(found: DataFrame, cells: DataFrame, context: Column, project: str, brands: list[str], exported_at: str, scoring: str = "v3") -> DataFrame:
+    """query_id, provider, payload: the measurement behind each finding as a struct.
+
+    found: query_id, provider, kind, gap; cells: the scores of both modes; context: a struct of the run's status, completion and progress,
+    whose fields may be null. Cells are medians of samples here, without an interval."""
+    none = F.lit(None).cast("double")
+    axis = F.struct(
+        "mode", "median", F.struct(none.alias("low"), none.alias("high")).alias("interval"), none.alias("stability"), "n", F.col("n").alias("rawN"),
+        F.lit(1).alias("cellN"), F.lit("samples").alias("nUnit"), F.col("low_n").alias("lowN"), F.lit(None).cast("string").alias("method"),
+        F.col("presence").alias("brandPresenceRate"),
+    )
+    axes = cells.groupBy("query_id", "provider").agg(F.array_sort(F.collect_list(axis)).alias("axes"))  # GROUNDED comes first
+    payload = F.struct(
+        F.lit(SCHEMA).alias("schemaVersion"), F.struct(F.lit("lumenspan").alias("name"), F.lit(VERSION).alias("version")).alias("app"),
+        F.lit(exported_at).alias("exportedAt"), F.struct(F.lit(project).alias("name")).alias("project"),
+        F.struct(F.array(*[F.lit(b) for b in sorted(brands)]).alias("names")).alias("brands"),
+        F.struct(
+            F.col("kind").alias("classification"), F.concat(F.lit("q"), F.col("query_id").cast("string")).alias("query"),
+            F.struct(F.col("provider").alias("code"), F.initcap("provider").alias("label")).alias("provider"), F.col("gap").alias("gapPoints"),
+            "axes", F.lit(NOTICE).alias("notice"),
+        ).alias("measurement"),
+        F.struct(F.lit(scoring).alias("scoringVersion")).alias("method"), context.alias("run"),
+    )
+    return found.join(axes, ["query_id", "provider"]).select("query_id", "provider", payload.alias("payload"))
+
+
+UNKNOWN = "indisponible"
+
+
+def french(x: Column, digits: int = 2) -> Column:
+    """A number with a comma and narrow spaces between thousands, up to so many digits; null is unknown."""
+    plain = F.regexp_replace(F.regexp_replace(F.format_number(x.cast("double"), digits), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.coalesce(F.translate(plain, ",.", "\u202f,"), F.lit(UNKNOWN))
+
+
+def percent(x: Column) -> Column:
+    return F.when(x.isNull(), UNKNOWN).otherwise(F.concat(french(x * 100, 0), F.lit("\u00a0%")))
+
+
+def machine_text(x: Column) -> Column:
+    return F.when(F.coalesce(F.btrim(x), F.lit("")) == "", UNKNOWN).otherwise(F.regexp_replace(x, r"\r?\n", " "))
+
+
+def user_text(x: Column) -> Column:
+    """Free text with Markdown's signs disarmed."""
+    return F.when(machine_text(x) == UNKNOWN, UNKNOWN).otherwise(F.regexp_replace(machine_text(x), r"([\\`*_\[\]{}()<>#+.!|~-])", r"\\$1"))
+
+
+def passport_document(payload: Column) -> Column:
+    """The passport as a Markdown text."""
+    p = payload
+    m, code = p["measurement"], lambda x: F.concat(F.lit("`"), machine_text(x), F.lit("`"))
+    interval = lambda i: F.when(i["low"].isNull() | i["high"].isNull(), UNKNOWN).otherwise(F.concat(french(i["low"]), F.lit("–"), french(i["high"])))
+    row = lambda a: F.concat(F.lit("| "), F.concat_ws(" | ",
+        F.when(a["mode"] == "GROUNDED", "GROUNDÉ").otherwise("PARAMÉTRIQUE"), french(a["median"]), interval(a["interval"]), percent(a["stability"]),
+        F.concat(french(a["n"]), F.lit(" "), machine_text(a["nUnit"])), french(a["rawN"]), french(a["cellN"]), F.when(a["lowN"], "oui").otherwise("non"),
+        machine_text(a["method"]), percent(a["brandPresenceRate"])), F.lit(" |"))
+    g = p["run"]["progress"]
+    names = F.when(F.size(p["brands"]["names"]) > 0, F.array_join(F.transform(p["brands"]["names"], user_text), ", ")).otherwise(UNKNOWN)
+    line = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+    return F.concat_ws("\n",
+        line("# Passeport de mesure — ", user_text(m["query"])), F.lit(""), line("- Schéma : ", code(p["schemaVersion"])),
+        line("- Application : ", machine_text(p["app"]["name"]), " ", machine_text(p["app"]["version"])), line("- Projet : ", user_text(p["project"]["name"])),
+        line("- Marques : ", names), line("- Fournisseur : ", user_text(m["provider"]["label"]), " (", code(m["provider"]["code"]), ")"),
+        line("- Requête : ", user_text(m["query"])), line("- Écart observé groundé − paramétrique : ", french(m["gapPoints"]), " points"),
+        line("- Version du score : ", code(p["method"]["scoringVersion"])), line("- Export : ", machine_text(p["exportedAt"])), F.lit(""),
+        F.lit("| Mode | Médiane | Intervalle | Stabilité | n | Réponses brutes | Cellules | Faible n | Méthode | Présence marque |"),
+        F.lit("|---|---:|---:|---:|---:|---:|---:|:---:|---|---:|"), F.array_join(F.transform(m["axes"], row), "\n"), F.lit(""),
+        line("Run : ", machine_text(p["run"]["status"]), " · terminé ", machine_text(p["run"]["completedAt"]), " · ", french(g["doneSamples"]), "/",
+             french(g["totalSamples"]), " appels traités · ", french(g["failedSamples"]), " en échec."),
+        line("Couverture d’analyse : planifié ", french(g["nPlanned"]), ", réussi ", french(g["nSuccessful"]), ", scoré ", french(g["nScored"]),
+             ", analyse manquante ", french(g["missingAnalysis"]), "."), F.lit(""), line("> ", m["notice"]), F.lit(""))
+
+
+@query("passport_payload", "WITH pf AS (" + FIND_SQL + """), px AS (SELECT event_type AS provider, user_id AS query_id, count_if(event_id % 2 = 0) AS n_g, count_if(event_id % 2 <> 0) AS n_p
+FROM events WHERE NOT (event_id % 17 = 0 OR event_id % 29 = 0 OR event_id % 31 = 0) GROUP BY ALL)
+SELECT query_id, provider, kind AS classification, gap AS gap_points, 'GROUNDED,PARAMETRIC' AS modes, n_g AS n_grounded, n_p AS n_parametric, 'inble' AS brands, 'COMPLETED' AS status,
+  gap AS gap_of_axes FROM pf JOIN px USING (query_id, provider)""")
+def passport_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON document behind every finding, read back."""
+    cells = cell_scores(completed(spark, sf_dir))
+    context = F.struct(F.lit("COMPLETED").alias("status"), F.lit(None).cast("string").alias("completedAt"), F.struct(
+        *[F.lit(None).cast("long").alias(c) for c in ("totalTasks", "totalSamples", "doneSamples", "failedSamples", "nPlanned", "nSuccessful", "nScored", "missingAnalysis")]).alias("progress"))
+    made = passports(findings(cells, None), cells, context, "demo", ["inble"], "2024-01-30T12:00:00.000Z")
+    shape = made.schema["payload"].dataType
+    read = made.select("query_id", "provider", F.from_json(F.to_json("payload"), shape).alias("p"))
+    m, axes = F.col("p.measurement"), F.col("p.measurement.axes")
+    return read.select(
+        "query_id", "provider", m["classification"].alias("classification"), m["gapPoints"].alias("gap_points"), F.array_join(F.transform(axes, lambda a: a["mode"]), ",").alias("modes"),
+        axes[0]["n"].alias("n_grounded"), axes[1]["n"].alias("n_parametric"), F.array_join("p.brands.names", ",").alias("brands"), F.col("p.run.status").alias("status"),
+        F.round(axes[0]["median"] - axes[1]["median"], 6).alias("gap_of_axes"),
+    )

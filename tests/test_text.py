@@ -6,7 +6,8 @@ from lumenspan.functions.urls import normalized_url, registrable_domain, same_do
 from lumenspan.operators.rules import scored
 from lumenspan.operators.sources_report import merged_citations
 from lumenspan.sources.payloads import merged_sources, native_sources, truncated
-from lumenspan.sources.sinks import csv_header, csv_lines, passport_markdown, replace_partitions, safe_filename, upsert, write_csv
+from lumenspan.sources.exports import passport_document, passports
+from lumenspan.sources.sinks import csv_header, csv_lines, passport_filename, passport_markdown, replace_partitions, safe_filename, upsert, write_csv
 
 
 def brand(name, aliases=(), domain=None, id="b", kind="BRAND"):
@@ -228,6 +229,23 @@ def test_exports(spark, tmp_path):
     assert passport_markdown(spark.createDataFrame([("a|b", None)], "a string, b double")).first().value == "| a\\|b | indisponible |"
 
 
+def test_passport(spark):
+    found = spark.createDataFrame([(7, "click", "grounded-erosion", -1234.5)], "query_id long, provider string, kind string, gap double")
+    cells = spark.createDataFrame([(7, "click", "PARAMETRIC", 12, 60.0, 1.0, False), (7, "click", "GROUNDED", 3, 47.126, 0.666, True)], "query_id long, provider string, mode string, n long, median double, presence double, low_n boolean")
+    progress = F.struct(F.lit(4).alias("doneSamples"), F.lit(5000).alias("totalSamples"), F.lit(1).alias("failedSamples"), *[F.lit(None).cast("int").alias(c) for c in ("nPlanned", "nSuccessful", "nScored", "missingAnalysis")])
+    run = F.struct(F.lit("PARTIAL").alias("status"), F.lit(None).cast("string").alias("completedAt"), progress.alias("progress"))
+    made = passports(found, cells, run, "A|b_c", ["Zed", "Amé*"], "2026-01-02T03:04:05.000Z")
+    text = made.select(passport_document(made.payload)).first()[0].split("\n")
+    assert text[0] == "# Passeport de mesure — q7" and "- Projet : A\\|b\\_c" in text and "- Marques : Amé\\*, Zed" in text
+    assert "- Écart observé groundé − paramétrique : -1\u202f234,5 points" in text and "- Fournisseur : Click (`click`)" in text
+    assert "| GROUNDÉ | 47,13 | indisponible | indisponible | 3 samples | 3 | 1 | oui | indisponible | 67\u00a0% |" in text
+    assert "| PARAMÉTRIQUE | 60 | indisponible | indisponible | 12 samples | 12 | 1 | non | indisponible | 100\u00a0% |" in text
+    assert "Run : PARTIAL · terminé indisponible · 4/5\u202f000 appels traités · 1 en échec." in text
+    assert "Couverture d’analyse : planifié indisponible, réussi indisponible, scoré indisponible, analyse manquante indisponible." in text
+    assert passport_filename("Été: quel CRM ?", "Click", "2026-01-02T03") == "gem-passport-ete-quel-crm-click-2026-01-02.json"
+    assert passport_filename("???", "", "2026-01-02") == "gem-passport-mesure-mesure-2026-01-02.json"
+
+
 def test_keyed_writes(spark, tmp_path):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
     assert sorted(map(tuple, upsert(old, spark.createDataFrame([(2, "c")], "k int, v string"), ["k"]).collect())) == [(1, "a"), (2, "c")]
