@@ -11,13 +11,23 @@ from lumenspan.operators.sources_report import NORM_SQL, SOURCE_SQL, cited_answe
 from lumenspan.queries import query
 from lumenspan.sources.tables import CITATION_SQL, ENTITY_SQL, MENTION_SQL, OBS_SQL, RESPONSE_SQL, citations, completed, entities, mentions, observations, read, responses
 
-EXCERPT = 400
+EXCERPT = 4000
+
+
+def excerpt(text: Column, limit: int = EXCERPT) -> tuple[Column, Column]:
+    """The first UTF-16 units of a text, and whether there are more; a character that would be cut in half is left out."""
+    units = F.encode(text, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * limit - 1, 1)).rlike("^D[89AB]")
+    head = F.decode(F.substring(units, F.lit(1), F.lit(2 * limit) - F.when(half, 2).otherwise(0)), "UTF-16BE")
+    more = F.octet_length(units) > 2 * limit
+    return F.when(more, head).otherwise(text), more
 
 
 @query("answer_excerpt", f"WITH {RESPONSE_SQL} SELECT sample_id, substring(text, 1, {EXCERPT}) AS excerpt, length(text) > {EXCERPT} AS cut FROM resp")
 def answer_excerpt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The head of an answer for display, and whether there is more."""
-    return responses(spark, sf_dir).select("sample_id", F.substring("text", 1, EXCERPT).alias("excerpt"), (F.char_length("text") > EXCERPT).alias("cut"))
+    head, more = excerpt(F.col("text"))
+    return responses(spark, sf_dir).select("sample_id", head.alias("excerpt"), more.alias("cut"))
 
 
 @query("mention_names", f"WITH {MENTION_SQL} SELECT sample_id, entity_id, coalesce(CASE WHEN entity_id <> 'c3' THEN name END, 'unknown ' || entity_id) AS name, count(*) AS n FROM (SELECT * FROM mention WHERE kind = 'BRAND' UNION ALL SELECT * FROM mention WHERE kind <> 'BRAND') LEFT JOIN ent USING (entity_id) GROUP BY ALL")

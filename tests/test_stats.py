@@ -1,3 +1,5 @@
+from datetime import UTC, datetime, timedelta
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,3 +138,41 @@ def test_token_bucket_against_a_loop(spark):
         tokens = min(3.0, tokens + (t - last) / 20000)
         assert bool(got.admitted[r.event_id]) == (tokens >= 1)
         left[r.user_id] = (tokens - (tokens >= 1), t)
+
+
+def test_logins_against_a_loop(spark):
+    from lumenspan.plans.throttle import LOGIN, admitted_logins, admitted_calls
+
+    rng = np.random.default_rng(4)
+    rows = [(i, datetime(2024, 1, 1, tzinfo=UTC) + timedelta(seconds=float(t)), f"{rng.integers(6)}@x.org" if rng.random() < 0.8 else "y" * 200, None if rng.random() < 0.3 else f"10.0.0.{rng.integers(3)}") for i, t in enumerate(np.sort(rng.random(400) * 600))]
+    got = {r.call_id: r.admitted for r in admitted_logins(spark.createDataFrame(rows, "call_id long, ts timestamp, email string, address string")).collect()}
+    left = {}
+
+    def take(key, n, t):
+        tokens, last = left.get(key, (float(n), t))
+        tokens = min(float(n), tokens + (t - last) * n / LOGIN["window"])
+        left[key] = (tokens - (tokens >= 1), t)
+        return tokens >= 1
+
+    for i, ts, email, address in rows:
+        t = ts.timestamp()
+        assert got[i] == ((address is None or take("a" + address, LOGIN["address"], t)) and take("e" + email, LOGIN["account"], t))
+    calls = spark.createDataFrame([(i, rows[i][1], k, 1) for i, k in enumerate(["rescores"] * 7 + ["runs"] * 3 + ["other"])], "call_id long, ts timestamp, kind string, who long")
+    told = {r.call_id: (r.bucket, r.admitted) for r in admitted_calls(calls).collect()}
+    assert [told[i][1] for i in range(11)] == [True] * 5 + [False] * 2 + [True] * 3 + [False] and told[0][0] == "rescores:1"
+
+
+def test_missing_buckets_fail_closed(spark):
+    from lumenspan.plans.jobs import token_bucket_of
+
+    calls = spark.createDataFrame([(1, 1, "2024-01-01"), (2, 2, "2024-01-01")], "bucket long, call_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.bucket: (r.admitted, r.tokens) for r in token_bucket_of(calls, known=calls.where("bucket = 1")).collect()}
+    assert got == {1: (True, 2.0), 2: (False, None)}
+
+
+def test_excerpts_count_utf_16_units(spark):
+    from lumenspan.operators.details import excerpt
+
+    df = spark.createDataFrame([("abcd",), ("abcde",), ("abc😀",), ("ab😀x",), ("",)], "t string")
+    head, more = excerpt(F.col("t"), 4)
+    assert [tuple(r) for r in df.select(head, more).collect()] == [("abcd", False), ("abcd", True), ("abc", True), ("ab😀", True), ("", False)]
