@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise, table, tagged
+from .common import discard, materialise, release, table, tagged
 
 SEED_WORDS = 3
 SIMILARITY = 0.5
@@ -191,8 +191,9 @@ def _align(pairs: DataFrame, least: float) -> DataFrame:
     return pairs.mapInArrow(run, schema)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, similarity, word_start, word_end, copied: the best alignment for each document and item found in it."""
+def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY, block: int = BLOCK, written: list[DataFrame] | None = None) -> DataFrame:
+    """doc_id, item_id, similarity, word_start, word_end, copied: the best alignment for each document and item found in it. Tables that the
+    result reads are added to `written`."""
     seeds = materialise(seed_table(items, item_text, item_id), "item-grams")
     size = F.least("n_words", F.lit(SEED_WORDS))
     distinct = seeds.groupBy("gram", size.alias("size")).agg(F.max("n_words").alias("reach"))
@@ -205,6 +206,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         row = F.concat_ws(".", F.lit(k), F.monotonically_increasing_id())  # written, so that both sides of the join below see the same
         some = materialise(passages(docs, Seeds(rows, SEED_WORDS), text, doc_id).withColumn("row", row), "passages")
         found = some if found is None else found.unionByName(some)
+        if written is not None:
+            written.append(some)
     text_of = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item"))
     pairs = found.select("row", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id").distinct(), "gram").select("row", "item_id").distinct()
     good = _align(found.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"), similarity)
@@ -215,8 +218,13 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", **how) -> DataFrame:
     """docs without the rows that hold a test item, each judged by its own text."""
     rows = tagged(docs)
-    bad = contaminated(rows, items, text, "__row", **how).select(F.col("doc_id").alias("__row")).distinct()
-    return rows.join(materialise(bad, "contaminated"), "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    written: list[DataFrame] = []
+    bad = contaminated(rows, items, text, "__row", written=written, **how).select(F.col("doc_id").alias("__row")).distinct()
+    bad = materialise(bad, "contaminated")
+    for table_ in written:
+        discard(table_)
+    release(docs.sparkSession)
+    return rows.join(bad, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
