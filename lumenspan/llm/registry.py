@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, fill_in_middle, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
+from . import decontamination, exact_dedup, fill_in_middle, filter_audit, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
@@ -22,5 +23,6 @@ ORACLE_SQL = {
     "op6_license_scan": license_scan.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
     "op13_fill_in_middle": fill_in_middle.OP13_SQL,
 }
