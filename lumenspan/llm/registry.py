@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, exact_dedup, fill_in_middle, filter_audit, language_id, license_scan, line_dedup, lm_scoring, packing, sharding, simhash, token_counts
+from . import decontamination, exact_dedup, fill_in_middle, filter_audit, language_id, license_scan, line_dedup, lm_scoring, packing, quality, sharding, simhash, token_counts
 
 QUERIES = {
     "op3_decontamination": decontamination.op3_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_quality_classifier": quality.op12_quality_classifier,
     "op13_fill_in_middle": fill_in_middle.op13_fill_in_middle,
 }
 
