@@ -28,6 +28,20 @@ def ratio(n: Column, d: Column) -> Column:
     return F.when(d > 0, n / d).otherwise(F.lit(0.0))
 
 
+#: Means are sums of decimals, so that the order of rows doesn't show in their last digits.
+EXACT = "decimal(18,9)"
+
+
+def exact_mean(x: Column) -> Column:
+    """The mean of values of nine digits, itself to nine digits; null where there are none."""
+    return F.round(F.try_divide(F.sum(x.cast(EXACT)).cast("double"), F.count(x)), 9)
+
+
+def exact_mean_sql(x: str, also: str = "") -> str:
+    """The same in the oracles' SQL; also: a FILTER clause."""
+    return f"round((sum(({x})::DECIMAL(18,9)) {also})::DOUBLE / nullif(count({x}) {also}, 0), 9)"
+
+
 def median(x: str) -> Column:
     return F.percentile(x, 0.5)
 

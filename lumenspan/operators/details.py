@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import LOW_N_TASK, iqr, median, ratio, stability_v2
+from lumenspan.functions.stats import LOW_N_TASK, exact_mean, exact_mean_sql, iqr, median, ratio, stability_v2
 from lumenspan.functions.urls import normalized_url
 from lumenspan.operators.sources_report import NORM_SQL, SOURCE_SQL, cited_answers, source_domains
 from lumenspan.queries import query
@@ -90,11 +90,11 @@ def share_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.crossJoin(F.broadcast(most)).select("domain", F.round(F.col("n_citations") / F.col("most"), 6).alias("bar"))
 
 
-@query("pooled_summary", f"WITH {OBS_SQL}, g AS (SELECT provider, count(*) AS n, avg(score) AS mean, quantile_cont(score, 0.5) AS median, mad(score) AS mad, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM done GROUP BY provider) SELECT provider, n, round(mean, 6) AS mean, round(median, 6) AS median, round(mad, 6) AS mad, round(iqr, 6) AS iqr, round(least(1.0, greatest(0.0, 1 - 1.4826 * mad / 25.0)), 6) AS stability, n < {LOW_N_TASK} AS low_n FROM g")
+@query("pooled_summary", f"WITH {OBS_SQL}, g AS (SELECT provider, count(*) AS n, {exact_mean_sql("score")} AS mean, quantile_cont(score, 0.5) AS median, mad(score) AS mad, quantile_cont(score, 0.75) - quantile_cont(score, 0.25) AS iqr FROM done GROUP BY provider) SELECT provider, n, round(mean, 6) AS mean, round(median, 6) AS median, round(mad, 6) AS mad, round(iqr, 6) AS iqr, round(least(1.0, greatest(0.0, 1 - 1.4826 * mad / 25.0)), 6) AS stability, n < {LOW_N_TASK} AS low_n FROM g")
 def pooled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older summary over pooled samples, with the older stability."""
     done = completed(spark, sf_dir)
-    g = done.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), median("score").alias("median"), iqr("score").alias("iqr"))
+    g = done.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("score")).alias("mean"), median("score").alias("median"), iqr("score").alias("iqr"))
     mad = done.join(F.broadcast(g.select("provider", "median")), "provider").groupBy("provider").agg(F.percentile(F.abs(F.col("score") - F.col("median")), 0.5).alias("mad"))  # a row for each engine
     r = lambda c: F.round(c, 6).alias(c)
     return g.join(mad, "provider").select("provider", "n", r("mean"), r("median"), r("mad"), r("iqr"), F.round(stability_v2(F.col("mad")), 6).alias("stability"), (F.col("n") < LOW_N_TASK).alias("low_n"))

@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions.stats import exact_mean_sql
 from lumenspan.operators.rollup import STATUS_SQL, TALLY_SQL, TASK, final_status, paired_delta_of, run_mode_score, summary_sql, tally
 from lumenspan.queries import query
 from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, completed, observations, providers
 
 PAIR_SQL = f"""WITH {OBS_SQL}, {PROVIDER_SQL}, cell AS (
-  SELECT run_id, query_id, done.provider, avg(score) FILTER (mode = 'GROUNDED') AS g, avg(score) FILTER (mode = 'PARAMETRIC') AS p,
+  SELECT run_id, query_id, done.provider, {exact_mean_sql("score", "FILTER (mode = 'GROUNDED')")} AS g, {exact_mean_sql("score", "FILTER (mode = 'PARAMETRIC')")} AS p,
          count_if(mode = 'GROUNDED') AS n_g, count_if(mode = 'PARAMETRIC') AS n_p, any_value(parametric) AS parametric, any_value(grounded) AS grounded
   FROM done LEFT JOIN prov ON prov.provider = done.provider AND done.provider <> 'view' GROUP BY ALL), c AS (
   SELECT *, parametric IS NULL AS unknown, parametric IS NOT NULL AND NOT (parametric AND grounded) AS unsupported, n_g = 0 OR n_p = 0 AS mode_only FROM cell), q AS (
-  SELECT run_id, query_id, avg(g - p) AS delta, count(*) AS cells FROM c WHERE NOT unsupported AND NOT mode_only GROUP BY ALL), e AS (
-  SELECT run_id, avg(delta) AS mean, quantile_cont(delta, 0.5) AS median, count(*) AS paired_queries, sum(cells) AS paired_cells FROM q GROUP BY ALL), s AS (
+  SELECT run_id, query_id, {exact_mean_sql('g - p')} AS delta, count(*) AS cells FROM c WHERE NOT unsupported AND NOT mode_only GROUP BY ALL), e AS (
+  SELECT run_id, {exact_mean_sql('delta')} AS mean, quantile_cont(delta, 0.5) AS median, count(*) AS paired_queries, sum(cells) AS paired_cells FROM q GROUP BY ALL), s AS (
   SELECT run_id, sum(n_g + n_p)::BIGINT AS raw_n, sum(n_g)::BIGINT AS raw_grounded, sum(n_p)::BIGINT AS raw_parametric,
          coalesce(sum(n_g) FILTER (NOT unsupported AND NOT mode_only), 0)::BIGINT AS paired_grounded, coalesce(sum(n_p) FILTER (NOT unsupported AND NOT mode_only), 0)::BIGINT AS paired_parametric,
          count_if(mode_only)::BIGINT AS mode_only_cells, count_if(unsupported)::BIGINT AS unsupported_cells,

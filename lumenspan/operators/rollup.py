@@ -6,21 +6,21 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import ALPHA, DRAWS, LOW_N_RUN, LOW_N_TASK, PAIRED, QUERY_CLUSTER, clamp, estimates, iqr, median, seed_of, stability_v3
+from lumenspan.functions.stats import ALPHA, DRAWS, LOW_N_RUN, LOW_N_TASK, PAIRED, QUERY_CLUSTER, clamp, estimates, exact_mean, exact_mean_sql, iqr, median, seed_of, stability_v3
 from lumenspan.queries import query
 from lumenspan.sources.tables import OBS_SQL, completed, observations, providers
 
 
 def query_means(obs: DataFrame, keys: list[str]) -> DataFrame:
     """keys, query_id, value, raw_n, cell_n. The repeats of a cell are averaged first, then the cells of a query."""
-    cells = obs.groupBy(*keys, "query_id", "provider").agg(F.avg("score").alias("cell"), F.count(F.lit(1)).alias("repeats"), F.sum(F.col("brand_present").cast("int")).alias("present"))
-    return cells.groupBy(*keys, "query_id").agg(F.avg("cell").alias("value"), F.sum("repeats").alias("raw_n"), F.count(F.lit(1)).alias("cell_n"), F.sum("present").alias("present"))
+    cells = obs.groupBy(*keys, "query_id", "provider").agg(exact_mean(F.col("score")).alias("cell"), F.count(F.lit(1)).alias("repeats"), F.sum(F.col("brand_present").cast("int")).alias("present"))
+    return cells.groupBy(*keys, "query_id").agg(exact_mean(F.col("cell")).alias("value"), F.sum("repeats").alias("raw_n"), F.count(F.lit(1)).alias("cell_n"), F.sum("present").alias("present"))
 
 
 def cluster_summary(obs: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) -> DataFrame:
     """keys, n (queries), raw_n, cell_n, mean, median, mad, iqr, stability, presence (of samples), low_n."""
     per_query = query_means(obs, keys)
-    centre = per_query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_n").alias("raw_n"), F.sum("cell_n").alias("cell_n"), F.avg("value").alias("mean"), median("value").alias("median"), iqr("value").alias("iqr"), F.sum("present").alias("present"))
+    centre = per_query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_n").alias("raw_n"), F.sum("cell_n").alias("cell_n"), exact_mean(F.col("value")).alias("mean"), median("value").alias("median"), iqr("value").alias("iqr"), F.sum("present").alias("present"))
     # the medians are a row for each group, so they go to the query means, not the other way round
     spread = per_query.join(centre.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
     out = centre.join(spread, keys)
@@ -29,10 +29,10 @@ def cluster_summary(obs: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) ->
 
 def summary_sql(keys: str, low_n: int = LOW_N_RUN, source: str = "done", with_sql: str = OBS_SQL) -> str:
     return f"""WITH {with_sql}, cell AS (
-  SELECT {keys}, query_id, provider AS cell_provider, avg(score) AS cell, count(*) AS repeats, sum(brand_present::INT) AS present
+  SELECT {keys}, query_id, provider AS cell_provider, {exact_mean_sql("score")} AS cell, count(*) AS repeats, sum(brand_present::INT) AS present
   FROM {source} GROUP BY {keys}, query_id, cell_provider), qm AS (
-  SELECT {keys}, query_id, avg(cell) AS value, sum(repeats) AS raw_n, count(*) AS cell_n, sum(present) AS present FROM cell GROUP BY {keys}, query_id), s AS (
-  SELECT {keys}, count(*)::BIGINT AS n, sum(raw_n)::BIGINT AS raw_n, sum(cell_n)::BIGINT AS cell_n, avg(value) AS mean, quantile_cont(value, 0.5) AS median,
+  SELECT {keys}, query_id, {exact_mean_sql("cell")} AS value, sum(repeats) AS raw_n, count(*) AS cell_n, sum(present) AS present FROM cell GROUP BY {keys}, query_id), s AS (
+  SELECT {keys}, count(*)::BIGINT AS n, sum(raw_n)::BIGINT AS raw_n, sum(cell_n)::BIGINT AS cell_n, {exact_mean_sql("value")} AS mean, quantile_cont(value, 0.5) AS median,
          mad(value) AS mad, quantile_cont(value, 0.75) - quantile_cont(value, 0.25) AS iqr, sum(present) AS present FROM qm GROUP BY {keys})
 SELECT {keys}, n, raw_n, cell_n, round(mean, 6) AS mean, round(median, 6) AS median, round(mad, 6) AS mad, round(iqr, 6) AS iqr,
        round(least(1.0, greatest(0.0, 1 - greatest(1.4826 * mad, iqr / 1.349) / 25.0)), 6) AS stability,
@@ -54,12 +54,12 @@ TASK = ["run_id", "query_id", "provider", "mode"]
 
 
 @query("task_score", f"""WITH {OBS_SQL}
-SELECT run_id, query_id, provider, mode, 1::BIGINT AS n, count(*) AS raw_n, round(avg(score), 6) AS mean, round(avg(score), 6) AS median, 0.0::DOUBLE AS mad, 0.0::DOUBLE AS iqr,
+SELECT run_id, query_id, provider, mode, 1::BIGINT AS n, count(*) AS raw_n, round({exact_mean_sql("score")}, 6) AS mean, round({exact_mean_sql("score")}, 6) AS median, 0.0::DOUBLE AS mad, 0.0::DOUBLE AS iqr,
        1.0::DOUBLE AS stability, NULL::DOUBLE AS ci_low, NULL::DOUBLE AS ci_high, true AS low_n, round(avg(brand_present::INT), 6) AS presence
 FROM done GROUP BY ALL""")
 def task_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A task is a cluster of its own: its median is the mean of its repeats, without an interval."""
-    out = completed(spark, sf_dir).groupBy(*TASK).agg(F.count(F.lit(1)).alias("raw_n"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.avg(F.col("brand_present").cast("int")), 6).alias("presence"))
+    out = completed(spark, sf_dir).groupBy(*TASK).agg(F.count(F.lit(1)).alias("raw_n"), F.round(exact_mean(F.col("score")), 6).alias("mean"), F.round(F.avg(F.col("brand_present").cast("int")), 6).alias("presence"))
     none = F.lit(None).cast("double")
     return out.select(*TASK, F.lit(1).cast("long").alias("n"), "raw_n", "mean", F.col("mean").alias("median"), F.lit(0.0).alias("mad"), F.lit(0.0).alias("iqr"), F.lit(1.0).alias("stability"), none.alias("ci_low"), none.alias("ci_high"), (F.lit(1) < LOW_N_TASK).alias("low_n"), "presence")
 
@@ -129,7 +129,7 @@ def run_status_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_cells(obs: DataFrame, capability: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each (query, provider): means and repeats of both modes by conditional aggregation, and whether they can be paired."""
     grounded, parametric = F.col("mode") == "GROUNDED", F.col("mode") == "PARAMETRIC"
-    cells = obs.groupBy(*keys, "query_id", "provider").agg(F.avg(F.when(grounded, F.col("score"))).alias("g"), F.avg(F.when(parametric, F.col("score"))).alias("p"), F.count_if(grounded).alias("n_g"), F.count_if(parametric).alias("n_p"))
+    cells = obs.groupBy(*keys, "query_id", "provider").agg(exact_mean(F.when(grounded, F.col("score"))).alias("g"), exact_mean(F.when(parametric, F.col("score"))).alias("p"), F.count_if(grounded).alias("n_g"), F.count_if(parametric).alias("n_p"))
     cells = cells.join(F.broadcast(capability.select("provider", "parametric", "grounded")), "provider", "left")  # a handful of engines
     unknown = F.col("parametric").isNull()
     unsupported = ~unknown & ~(F.col("parametric") & F.col("grounded"))
@@ -140,8 +140,8 @@ def paired_cells(obs: DataFrame, capability: DataFrame, keys: list[str]) -> Data
 def paired_delta_of(obs: DataFrame, capability: DataFrame, keys: list[str]) -> DataFrame:
     """Grounded minus parametric within cells, averaged over the providers of a query, then over queries."""
     cells = paired_cells(obs, capability, keys)
-    per_query = cells.where("paired").groupBy(*keys, "query_id").agg(F.avg(F.col("g") - F.col("p")).alias("delta"), F.count(F.lit(1)).alias("cells"))
-    centre = per_query.groupBy(*keys).agg(F.avg("delta").alias("mean"), median("delta").alias("median"), F.count(F.lit(1)).alias("paired_queries"), F.sum("cells").alias("paired_cells"))
+    per_query = cells.where("paired").groupBy(*keys, "query_id").agg(exact_mean(F.col("g") - F.col("p")).alias("delta"), F.count(F.lit(1)).alias("cells"))
+    centre = per_query.groupBy(*keys).agg(exact_mean(F.col("delta")).alias("mean"), median("delta").alias("median"), F.count(F.lit(1)).alias("paired_queries"), F.sum("cells").alias("paired_cells"))
     support = cells.groupBy(*keys).agg(
         F.sum(F.col("n_g") + F.col("n_p")).alias("raw_n"), F.sum("n_g").alias("raw_grounded"), F.sum("n_p").alias("raw_parametric"),
         F.coalesce(F.sum(F.when(F.col("paired"), F.col("n_g"))), F.lit(0)).alias("paired_grounded"), F.coalesce(F.sum(F.when(F.col("paired"), F.col("n_p"))), F.lit(0)).alias("paired_parametric"),
@@ -215,7 +215,7 @@ def provider_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grounded minus parametric by run, with the interval of its mean over resampled queries."""
     obs, able = completed(spark, sf_dir), providers(spark)
-    per_query = paired_cells(obs, able, ["run_id"]).where("paired").groupBy("run_id", "query_id").agg(F.avg(F.col("g") - F.col("p")).alias("value"))
+    per_query = paired_cells(obs, able, ["run_id"]).where("paired").groupBy("run_id", "query_id").agg(exact_mean(F.col("g") - F.col("p")).alias("value"))
     found = intervals(per_query, ["run_id"], seed_of(F.col("run_id").cast("string"), F.lit("delta"), F.lit("v3")), "mean")
     return with_intervals(paired_delta_of(obs, able, ["run_id"]), found, ["run_id"], "mean").withColumn("method", F.lit(PAIRED))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import LOW_N_TASK, QUERY_CLUSTER
+from lumenspan.functions.stats import LOW_N_TASK, QUERY_CLUSTER, exact_mean, exact_mean_sql
 from lumenspan.functions.urls import normalized_url
 from lumenspan.operators.evidence import share_sql, voice_share_task
 from lumenspan.operators.readmodel import FIND_SQL, cell_scores, findings
@@ -25,7 +25,7 @@ def export_rows(answers: DataFrame, scores: DataFrame, shares: DataFrame, cited:
     task = ["task_id", "query_id", "engine", "mode"]
     scored = answers.join(scores.select("sample_id", "score", "brand_present"), "sample_id", "left")
     centre = scored.groupBy(*task).agg(
-        F.avg("score").alias("median"), F.count("score").alias("raw_n"), F.avg(F.col("brand_present").cast("int")).alias("brand_presence_rate")
+        exact_mean(F.col("score")).alias("median"), F.count("score").alias("raw_n"), F.avg(F.col("brand_present").cast("int")).alias("brand_presence_rate")
     )
     order = F.struct((-F.col("mention_share")).alias("by"), "name", "mention_share")
     rivals = shares.join(names, "entity_id").groupBy("task_id", "mode").agg(F.array_sort(F.collect_list(order)).alias("r"))
@@ -67,7 +67,7 @@ def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = ", ".join(f"('{e[0]}', '{e[2]}')" for e in ENTITIES if e[1] == "COMPETITOR")
 EXPORT_SQL = f"""{score_sql("v3").rstrip()}, ps AS (
   SELECT sample_id, round(least(100.0, greatest(0.0, presence + prominence + frequency + voice + citation + sentiment + lead)), 6) AS score, present FROM z), ct AS (
-  SELECT task_id, query_id, engine, mode, avg(score) AS median, count(score) AS raw_n, avg(present::INT) AS rate FROM resp JOIN ps USING (sample_id) GROUP BY ALL), sh AS (
+  SELECT task_id, query_id, engine, mode, {exact_mean_sql("score")} AS median, count(score) AS raw_n, avg(present::INT) AS rate FROM resp JOIN ps USING (sample_id) GROUP BY ALL), sh AS (
   {share_sql("task_id, mode")}), rv AS (
   SELECT task_id, mode, list({{'name': name, 'mention_share': mention_share}} ORDER BY mention_share DESC, name) AS competitors
   FROM sh JOIN (VALUES {_NAMES}) nm(entity_id, name) USING (entity_id) GROUP BY ALL), fs AS (
