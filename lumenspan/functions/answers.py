@@ -7,6 +7,7 @@ is one Arrow batch function over answers; everything after it is columns again.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
@@ -15,14 +16,18 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Order and confidence of the kinds of match, and the sizes that extraction goes by.
 KINDS = {"EXACT": (0, 1.0), "ALIAS": (1, 0.9), "DOMAIN": (2, 0.8), "APPROXIMATE": (3, 0.4)}
 RADIUS, MIN_SENTENCE, MIN_FUZZY = 100, 10, 5
 #: Tokens without a near name that a task remembers. Those with one are few: a name has some thousand neighbours.
 FAR_MEMO = 200_000
+#: Compiled needles that a task remembers.
+FORMS = 1 << 15
+WORD = r"[\p{L}\p{N}]+"
 VERSIONS = ("v2", "v3")
 MENTION = "entity_id string, kind string, mention_type string, occurrence_index int, char_offset int, sentence_index int, normalized_position double, in_first_sentence boolean, order_rank int, occurrences_total int, context string, confidence double"
 ASCII_WORD = re.compile("[a-z0-9]+")
@@ -81,22 +86,40 @@ def bare_host(domain: str) -> str:
     return re.sub(r"[/?#].*$", "", re.sub(r"^www\.", "", domain), flags=re.S).rstrip(".")
 
 
-class Matcher:
-    """The needles of a catalogue of entities, compiled once for each task."""
+@functools.lru_cache(maxsize=FORMS)
+def form(needle: str):  # a compiled pattern
+    """The needle as whole words of a folded text."""
+    import regex
+
+    return regex.compile(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(needle)}(?![\p{{L}}\p{{N}}])")
+
+
+@functools.lru_cache(maxsize=1)
+def word_form():
+    import regex
+
+    return regex.compile(WORD)
+
+
+@functools.lru_cache(maxsize=FORMS)
+def needle_of(text: str) -> str:
+    return fold(text.strip())[0]
+
 
-    def __init__(self, entities: list[dict]) -> None:
-        import regex
+class Matcher:
+    """The needles of a catalogue of entities. near: for tokens that are known to be one edit away from names the places of these in the
+    catalogue; all others are far from all names. If it isn't given, tokens are compared with the names as they are met."""
 
-        self.entities, self.word = entities, regex.compile(r"[\p{L}\p{N}]+")
+    def __init__(self, entities: list[dict], near: dict[str, tuple[int, ...]] | None = None) -> None:
+        self.entities, self.word = entities, word_form()
         self.needles, self.fuzzy = [], []
         # tokens met so far: whose names are one edit away, or nobody's
-        self.near: dict[str, tuple[int, ...]] = {}
+        self.near: dict[str, tuple[int, ...]] = near or {}
         self.far: set[str] = set()
         for who, e in enumerate(entities):
             asked = [("EXACT", e["name"]), *(("ALIAS", a) for a in e["aliases"] or []), ("DOMAIN", bare_host(e["domain"] or ""))]
-            folded = [(kind, needle) for kind, text in asked if (needle := fold(text.strip())[0])]
-            self.needles += [(kind, who, needle, regex.compile(rf"(?<![\p{{L}}\p{{N}}]){regex.escape(needle)}(?![\p{{L}}\p{{N}}])")) for kind, needle in folded]
-            if len(name := fold(e["name"].strip())[0]) >= MIN_FUZZY:
+            self.needles += [(kind, who, needle) for kind, text in asked if (needle := needle_of(text))]
+            if near is None and len(name := needle_of(e["name"])) >= MIN_FUZZY:
                 self.fuzzy.append((who, name))
 
     def _meet(self, tokens: set[str]) -> None:
@@ -111,10 +134,11 @@ class Matcher:
 
     def spans(self, text: str) -> list[Span]:
         folded, origin = fold(text)
-        found = [Span(kind, origin[m.start()], origin[m.end()], who) for kind, who, needle, form in self.needles if needle in folded for m in form.finditer(folded)]
-        if self.fuzzy:
+        found = [Span(kind, origin[m.start()], origin[m.end()], who) for kind, who, needle in self.needles if needle in folded for m in form(needle).finditer(folded)]
+        if self.fuzzy or self.near:
             tokens = set(ASCII_WORD.findall(folded) if folded.isascii() else self.word.findall(folded))
-            self._meet(tokens)
+            if self.fuzzy:
+                self._meet(tokens)
             if not self.near.keys().isdisjoint(tokens):  # most texts have no such token
                 found += [Span("APPROXIMATE", origin[m.start()], origin[m.end()], who) for m in self.word.finditer(folded) for who in self.near.get(m[0], ())]
         return found
@@ -180,20 +204,72 @@ def context(text: str, start: int, end: int, at: Sequence[int] | None = None) ->
     return ("…" if lo else "") + re.sub(r"\s+", " ", text[lo:hi]).strip() + ("…" if hi < len(text) else "")
 
 
+MENTIONS = f"array<struct<{', '.join(':'.join(c.split(' ')) for c in MENTION.split(', '))}>>"
+
+
+def as_arrow(rows: list[list[tuple]]) -> pa.Array:
+    """Lists of rows in the order of MENTION's fields."""
+    kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
+    names, kinds = zip(*[(n, kind[k]) for n, k in (c.split(" ") for c in MENTION.split(", "))], strict=True)
+    flat = list(zip(*itertools.chain.from_iterable(rows), strict=True)) or [()] * len(names)
+    fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=list(names))
+    return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), fields)
+
+
 def extracted(answers: DataFrame, entities: list[dict], text: str = "text", version: str = "v3") -> DataFrame:
-    """answers with mentions array<struct<...>>; entities: id, kind, name, aliases, domain - a project's few, and part of the task."""
-    if version not in VERSIONS:
-        raise ValueError(f"unknown extraction version {version}")
+    """answers with mentions array<struct<...>>; entities: id, kind, name, aliases, domain - a few, and part of the task."""
+    known(version)
 
-    @F.arrow_udf(f"array<struct<{', '.join(':'.join(c.split(' ')) for c in MENTION.split(', '))}>>")
+    @F.arrow_udf(MENTIONS)
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = Matcher(entities)
-        kind = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
-        names, kinds = zip(*[(n, kind[k]) for n, k in (c.split(" ") for c in MENTION.split(", "))], strict=True)
         for batch in batches:
-            rows = [matcher.mentions(x.as_py(), version) for x in batch]
-            flat = list(zip(*itertools.chain.from_iterable(rows), strict=True)) or [()] * len(names)
-            fields = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(flat, kinds, strict=True)], names=list(names))
-            yield pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, rows))], pa.int32()), fields)
+            yield as_arrow([matcher.mentions(x.as_py(), version) for x in batch])
 
     return answers.withColumn("mentions", find(F.col(text)))
+
+
+def found_among(text: Column, candidates: Column, version: str = "v3") -> Column:
+    """Mentions of an answer's own candidates: array<struct<id, kind, name, aliases, domain, near>>, near the tokens one edit away from the name."""
+    known(version)
+
+    @F.arrow_udf(MENTIONS)
+    def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, asked in batches:
+            rows = []
+            for t, entities in zip(texts, asked, strict=True):
+                entities, near = entities.as_py() or [], {}
+                for who, e in enumerate(entities):
+                    for token in e["near"] or []:
+                        near[token] = (*near.get(token, ()), who)
+                rows.append(Matcher(entities, near).mentions(t.as_py(), version) if entities else [])
+            yield as_arrow(rows)
+
+    return find(text, candidates)
+
+
+def known(version: str) -> None:
+    if version not in VERSIONS:
+        raise ValueError(f"unknown extraction version {version}")
+
+
+@F.arrow_udf(T.StringType())
+def _folded(text: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else fold(x)[0] for x in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def needle_column(text: pa.Array) -> pa.Array:
+    """What a name or an alias is searched as."""
+    return pa.array([None if x is None else needle_of(x) for x in text.to_pylist()], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def host_needle_column(domain: pa.Array) -> pa.Array:
+    return pa.array([None if x is None else needle_of(bare_host(x)) for x in domain.to_pylist()], pa.string())
+
+
+def folded_column(text: Column) -> Column:
+    """Text without case and accents; only texts beyond ASCII leave the JVM."""
+    beyond = F.octet_length(text) != F.char_length(text)
+    return F.coalesce(_folded(F.when(beyond, text)), F.lower(text))

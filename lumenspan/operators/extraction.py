@@ -5,19 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.functions.answers import extracted
+from lumenspan.operators.catalogue import catalogue_mentions_of
 from lumenspan.queries import query
-from lumenspan.sources.tables import ENTITIES, ENTITY_SQL, RESPONSE_SQL, read, responses
+from lumenspan.sources.tables import ENTITY_SQL, RESPONSE_SQL, entities, read, responses
 
 
-def catalogue() -> list[dict]:
-    return [{"id": i, "kind": k, "name": n, "aliases": [a] if a else [], "domain": d} for i, k, n, a, d in ENTITIES]
+def project_catalogue(spark: SparkSession) -> DataFrame:
+    """The reference entities as the catalogue of the one project that the answers are of."""
+    own = F.array_compact(F.array("alias")).alias("aliases")
+    return entities(spark).select(F.lit("demo").alias("project_id"), F.col("entity_id").alias("id"), "kind", "name", own, "domain")
 
 
 def mention_rows(answers: DataFrame, version: str = "v3") -> DataFrame:
-    """sample_id and a row for each mention. An inner explode would have its filter of empty lists pushed below it, and extract twice."""
-    found = extracted(answers.select("sample_id", "text"), catalogue(), version=version)
-    return found.select("sample_id", F.explode_outer("mentions").alias("m")).where("m IS NOT NULL").select("sample_id", "m.*")
+    """sample_id and a row for each mention."""
+    of = answers.select(F.col("sample_id").alias("key"), F.lit("demo").alias("project_id"), "text")
+    return catalogue_mentions_of(of, project_catalogue(answers.sparkSession), version).withColumnRenamed("key", "sample_id")
 
 
 @query("mention_extract_v3")
