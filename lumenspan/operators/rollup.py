@@ -19,7 +19,11 @@ def query_means(obs: DataFrame, keys: list[str]) -> DataFrame:
 
 def cluster_summary(obs: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) -> DataFrame:
     """keys, n (queries), raw_n, cell_n, mean, median, mad, iqr, stability, presence (of samples), low_n."""
-    per_query = query_means(obs, keys)
+    return summarise(query_means(obs, keys), keys, low_n)
+
+
+def summarise(per_query: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) -> DataFrame:
+    """The same from query means: keys, query_id, value, raw_n, cell_n, present."""
     centre = per_query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_n").alias("raw_n"), F.sum("cell_n").alias("cell_n"), exact_mean(F.col("value")).alias("mean"), median("value").alias("median"), iqr("value").alias("iqr"), F.sum("present").alias("present"))
     # the medians are a row for each group, so they go to the query means, not the other way round
     spread = per_query.join(centre.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))

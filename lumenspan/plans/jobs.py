@@ -154,33 +154,6 @@ def replay_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs(spark, sf_dir).groupBy("run_id").agg(F.count_if(aimed & F.col("status").isin("QUEUED", "RUNNING")).alias("pending"), F.count_if(aimed & (F.col("status") == "DEAD")).alias("blocked"))
 
 
-READY_SQL = f"""WITH {OBS_SQL}, raw AS (SELECT run_id, query_id, provider, mode, count(*) AS n FROM done GROUP BY ALL), kept AS (SELECT *, n - CASE WHEN query_id % 50 = 0 AND dayofmonth(CAST(run_id AS DATE)) % 4 = 0 THEN 1 ELSE 0 END AS raw_n FROM raw), ready AS (SELECT run_id, bool_and(n = raw_n) AS ready FROM kept GROUP BY run_id)"""
-
-
-@query("version_ready", READY_SQL + " SELECT run_id, ready, CASE WHEN ready THEN 'v3' ELSE 'v2' END AS read_version FROM ready")
-def version_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run is read under the active version once the counts of every task equal those persisted, else under its own."""
-    done = observations(spark, sf_dir).where("status = 'COMPLETED'")
-    tasks = done.groupBy("run_id", "query_id", "provider", "mode").agg(F.count(F.lit(1)).alias("n"))
-    late = (F.col("query_id") % 50 == 0) & (F.dayofmonth(F.to_date("run_id")) % 4 == 0)
-    ready = tasks.withColumn("raw_n", F.col("n") - F.when(late, 1).otherwise(0)).groupBy("run_id").agg(F.bool_and(F.col("n") == F.col("raw_n")).alias("ready"))
-    return ready.withColumn("read_version", F.when(F.col("ready"), "v3").otherwise("v2"))
-
-
-@query("promotion", READY_SQL + f", {JOB_SQL}, open AS (SELECT count_if(target = 'v3' AND status IN ('QUEUED', 'RUNNING')) AS n FROM job) SELECT bool_and(ready) AS all_ready, (SELECT n FROM open)::BIGINT AS unfinished, bool_and(ready) AND (SELECT n FROM open) = 0 AS promote FROM ready")
-def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    all_ready = version_ready(spark, sf_dir).agg(F.bool_and("ready").alias("all_ready"))
-    out = all_ready.crossJoin(replay_state(spark, sf_dir).agg(F.sum("pending").alias("unfinished")))
-    return out.withColumn("promote", F.col("all_ready") & (F.col("unfinished") == 0))
-
-
-@query("counter_repair", f"WITH {OBS_SQL} SELECT t.run_id, coalesce(n, 0) AS recounted FROM (SELECT DISTINCT run_id FROM obs) t LEFT JOIN (SELECT run_id, count(*) AS n FROM obs WHERE status = 'RUNNING' AND query_id % 4 = 0 GROUP BY run_id) c USING (run_id)")
-def counter_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    n = obs.where("status = 'RUNNING' AND query_id % 4 = 0").groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
-    return obs.select("run_id").distinct().join(n, "run_id", "left").select("run_id", F.coalesce("n", F.lit(0)).cast("long").alias("recounted"))
-
-
 @query("cancelled_samples", f"WITH {OBS_SQL} SELECT CASE WHEN status = 'RUNNING' THEN 'CANCELLED' ELSE status END AS status, count(*) AS n FROM obs GROUP BY 1")
 def cancelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cooperative cancel: what has not ended is cancelled."""

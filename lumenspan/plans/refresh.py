@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.plans.jobs import JOB_SQL, READY_SQL, replay_state, version_ready
+from lumenspan.plans.jobs import JOB_SQL, NOW, jobs, replay_state
+from lumenspan.plans.store import Store, readiness, repaired
 from lumenspan.queries import query
-from lumenspan.sources.tables import RESPONSE_SQL, observations, read, responses
+from lumenspan.sources.stage import new_path, written
+from lumenspan.sources.tables import OBS_SQL, RESPONSE_SQL, completed, observations, read, responses
 
 MOCK = "mock"
 #: What a judge may say, and how long a context may be.
@@ -36,6 +38,75 @@ def plan_engines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_engines(engines, held)
 
 
+VERSION = "v3"
+BATCHES = 4
+DAY_SQL = "dayofmonth(CAST(run_id AS DATE))"
+#: What the store below holds, said in SQL: which samples have come in, and which runs' scores are of the current method.
+READY_SQL = f"""WITH {OBS_SQL}, stored AS (SELECT * FROM done WHERE NOT ({DAY_SQL} % 4 = 0 AND sample_id % 5 = 4 AND query_id % 50 = 0)),
+tk AS (SELECT run_id, query_id, provider, mode, count(*) AS raw_n FROM stored GROUP BY ALL), rs AS (SELECT run_id, mode, sum(raw_n) AS raw_n FROM tk WHERE {DAY_SQL} % 7 <> 0 GROUP BY ALL),
+raw AS (SELECT run_id, query_id, provider, mode, count(*) AS n FROM done GROUP BY ALL), tr AS (
+  SELECT run_id, mode, bool_and(n = coalesce(tk.raw_n, -1)) AS ok, sum(n) AS n FROM raw LEFT JOIN tk USING (run_id, query_id, provider, mode) GROUP BY ALL),
+ready AS (SELECT run_id, bool_and(ok AND tr.n = coalesce(rs.raw_n, -1)) AS ready FROM tr LEFT JOIN rs USING (run_id, mode) GROUP BY run_id)"""
+
+
+def kept_aggregates(spark: SparkSession, sf_dir: str) -> Store:
+    """A store as runs leave it: samples came in four batches, one of which was run twice; every fourth day lacks some late samples;
+    every seventh day has run scores of an older method only."""
+    store, day = Store(spark, new_path(spark, "aggregates")), F.dayofmonth(F.to_date("run_id"))
+    late = (day % 4 == 0) & (F.col("sample_id") % 5 == 4) & (F.col("query_id") % 50 == 0)
+    came = completed(spark, sf_dir).where(~late).withColumns({"version": F.lit(VERSION), "seen_at": F.col("ts")})
+    for batch in (0, 1, 1, 2, 3):
+        store.merge(came.where(F.col("sample_id") % BATCHES == batch), batch)
+    store.compact(1)
+    older = came.where(day % 7 == 0).select("run_id").distinct()
+    store.refresh(VERSION)
+    store.refresh(VERSION, older, "pooled")
+    return store
+
+
+@query("kept_task_scores", READY_SQL + " SELECT run_id, query_id, provider, mode, count(*) AS raw_n, round(sum(score::DECIMAL(18,9))::DOUBLE / count(*), 6) AS mean, round(avg(brand_present::INT), 6) AS presence FROM stored GROUP BY ALL")
+def kept_task_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Task scores added up over the log of batches."""
+    return kept_aggregates(spark, sf_dir).tasks(VERSION).select("run_id", "query_id", "provider", "mode", "raw_n", F.round("mean", 6).alias("mean"), F.round("presence", 6).alias("presence"))
+
+
+@query("version_ready", READY_SQL + " SELECT run_id, ready, CASE WHEN ready THEN 'v3' ELSE 'v2' END AS read_version FROM ready")
+def version_ready(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run is read under the active version once what is stored covers its samples, else under its own."""
+    ready = readiness(observations(spark, sf_dir), kept_aggregates(spark, sf_dir), VERSION)
+    return ready.withColumn("read_version", F.when(F.col("ready"), VERSION).otherwise("v2"))
+
+
+@query("promotion", READY_SQL + f", {JOB_SQL}, open AS (SELECT count_if(target = 'v3' AND status IN ('QUEUED', 'RUNNING')) AS n FROM job) SELECT bool_and(ready) AS all_ready, (SELECT n FROM open)::BIGINT AS unfinished, bool_and(ready) AND (SELECT n FROM open) = 0 AS promote FROM ready")
+def promotion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    all_ready = version_ready(spark, sf_dir).agg(F.bool_and("ready").alias("all_ready"))
+    out = all_ready.crossJoin(replay_state(spark, sf_dir).agg(F.sum("pending").alias("unfinished")))  # one row each
+    return out.withColumn("promote", F.col("all_ready") & (F.col("unfinished") == 0))
+
+
+@query("refreshed_runs", READY_SQL + ", late AS (SELECT DISTINCT run_id FROM ready WHERE NOT ready) SELECT run_id, mode, count(*)::BIGINT AS raw_n, 'query-cluster-v1' AS ci_method FROM done JOIN late USING (run_id) GROUP BY run_id, mode")
+def refreshed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late samples come in, and the runs that weren't ready are computed anew; the others stay as they are."""
+    store, samples = kept_aggregates(spark, sf_dir), completed(spark, sf_dir)
+    late = written(readiness(samples, store, VERSION).where("NOT ready").select("run_id"), "late-runs")
+    store.merge(samples.withColumns({"version": F.lit(VERSION), "seen_at": F.col("ts")}), BATCHES)
+    store.refresh(VERSION, late)
+    return store.runs(VERSION).join(late, "run_id", "left_semi").select("run_id", "mode", "raw_n", "ci_method")
+
+
+CLOSING_SQL = f"""closing AS (SELECT DISTINCT run_id FROM obs WHERE {DAY_SQL} % 10 = 0 AND run_id NOT IN (SELECT run_id FROM job WHERE status = 'RUNNING' AND lease_expires_at >= TIMESTAMP '{NOW}'))"""
+
+
+@query("counter_repair", f"WITH {OBS_SQL}, {JOB_SQL}, {CLOSING_SQL}" + """, c AS (SELECT run_id, query_id, provider, mode, count_if(status = 'COMPLETED')::BIGINT AS done, count_if(status = 'FAILED')::BIGINT AS failed,
+  count_if(status IN ('PENDING', 'RUNNING')) AS open, count_if(status = 'CANCELLED') AS cancelled FROM obs JOIN closing USING (run_id) GROUP BY ALL)
+SELECT run_id, query_id, provider, mode, done, failed, 0::BIGINT AS pending, CASE WHEN open > 0 OR (done = 0 AND failed = 0) THEN 'CANCELLED' WHEN done = 0 THEN 'FAILED' WHEN failed + cancelled > 0 THEN 'PARTIAL' ELSE 'COMPLETED' END AS status FROM c""")
+def counter_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth day is being cancelled; it is closed once no lease of its jobs runs on."""
+    samples, held = observations(spark, sf_dir), jobs(spark, sf_dir)
+    running = held.where((F.col("status") == "RUNNING") & (F.col("lease_expires_at") >= F.lit(NOW).cast(held.schema["available_at"].dataType)))
+    return repaired(samples, samples.where(F.dayofmonth(F.to_date("run_id")) % 10 == 0), running)
+
+
 def refresh_decisions(runs: DataFrame, ready: DataFrame, replays: DataFrame, scheduled: DataFrame) -> DataFrame:
     """run_id, decision for each run that has ended and wasn't cancelled.
 
@@ -74,14 +145,15 @@ def aggregate_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def valid_verdicts(replies: DataFrame) -> DataFrame:
-    """Replies (cache_key, sentiment, score, confidence) that are verdicts: a known sentiment and finite numbers, the score between -1 and 1,
-    the confidence between 0 and 1, both clamped; the first of each key."""
+    """Replies (cache_key, place, sentiment, score, confidence) that are verdicts: a known sentiment and finite numbers, the score between -1
+    and 1, the confidence between 0 and 1, both clamped; of each key the one with the smallest place, of these the smallest."""
     number = lambda c: F.col(c).try_cast("double")
     finite = lambda c: number(c).isNotNull() & ~F.isnan(number(c)) & (F.abs(number(c)) < float("inf"))
     said = F.upper(F.trim("sentiment"))
     good = replies.where(said.isin(SENTIMENTS) & finite("score") & finite("confidence"))
     held = lambda c, lo: F.least(F.lit(1.0), F.greatest(F.lit(lo), number(c))).alias(c)
-    return good.select("cache_key", said.alias("sentiment"), held("score", -1.0), held("confidence", 0.0)).dropDuplicates(["cache_key"])
+    good = good.select("cache_key", F.struct("place", said.alias("sentiment"), held("score", -1.0), held("confidence", 0.0)).alias("v"))
+    return good.groupBy("cache_key").agg(F.min("v").alias("v")).select("cache_key", "v.sentiment", "v.score", "v.confidence")
 
 
 def judged(items: DataFrame, cache: DataFrame, replies: DataFrame) -> DataFrame:
@@ -105,5 +177,5 @@ def judge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, keys = F.col("s"), items.groupBy("cache_key").agg(F.min("sample_id").alias("s"))
     cache = keys.where(s % 3 == 0).select("cache_key", F.lit("NEUTRAL").alias("sentiment"), F.lit(0.0).alias("score"), F.lit(0.5).alias("confidence"))
     word = F.element_at(F.array(*[F.lit(x) for x in (" positive", "Negative", "MIXED", "great")]), (s % 4 + 1).cast("int"))
-    replies = keys.where(s % 3 != 0).select("cache_key", word.alias("sentiment"), (s % 7 - 3).cast("string").alias("score"), (s % 5 / 2).cast("string").alias("confidence"))
+    replies = keys.where(s % 3 != 0).select("cache_key", s.alias("place"), word.alias("sentiment"), (s % 7 - 3).cast("string").alias("score"), (s % 5 / 2).cast("string").alias("confidence"))
     return judged(items, cache, replies).select("sample_id", "sentiment", "score", "confidence")

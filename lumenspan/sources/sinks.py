@@ -71,7 +71,7 @@ def safe_filename(name: str, fallback: str = "projet", limit: int = 60) -> str:
 def passport_filename(query: str, provider: str, exported_at: str) -> str:
     """Of lower-case parts: 42 characters of the query, 20 of the engine, and the day."""
     part = lambda x, limit: safe_filename(x.lower(), "mesure", limit).rstrip("-") or "mesure"
-    return f"gem-passport-{part(query, 42)}-{part(provider, 20)}-{exported_at[:10]}.json"
+    return f"measurement-{part(query, 42)}-{part(provider, 20)}-{exported_at[:10]}.json"
 
 
 def json_export(df: DataFrame, **envelope: Column) -> DataFrame:
@@ -90,9 +90,13 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
-def insert_new(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows stay; of new ones the first of each key comes in."""
-    return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
+def insert_new(old: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Old rows stay; of new ones the first of each key by the order's columns comes in, of equal ones the smallest."""
+    rest = [c for c in new.columns if c not in keys]
+    ranked = [*(order or []), *[c for c in rest if c not in (order or [])]]
+    if rest:
+        new = new.groupBy(*keys).agg(F.min(F.struct(*ranked)).alias("row")).select(*keys, *[f"row.{c}" for c in rest])
+    return old.unionByName(new.select(*old.columns).distinct().join(old.select(*keys), keys, "left_anti"))
 
 
 def replace_partitions(df: DataFrame, path: str, by: list[str]) -> None:

@@ -242,8 +242,8 @@ def test_passport(spark):
     assert "| PARAMÉTRIQUE | 60 | indisponible | indisponible | 12 samples | 12 | 1 | non | indisponible | 100\u00a0% |" in text
     assert "Run : PARTIAL · terminé indisponible · 4/5\u202f000 appels traités · 1 en échec." in text
     assert "Couverture d’analyse : planifié indisponible, réussi indisponible, scoré indisponible, analyse manquante indisponible." in text
-    assert passport_filename("Été: quel CRM ?", "Click", "2026-01-02T03") == "gem-passport-ete-quel-crm-click-2026-01-02.json"
-    assert passport_filename("???", "", "2026-01-02") == "gem-passport-mesure-mesure-2026-01-02.json"
+    assert passport_filename("Été: quel CRM ?", "Click", "2026-01-02T03") == "measurement-ete-quel-crm-click-2026-01-02.json"
+    assert passport_filename("???", "", "2026-01-02") == "measurement-mesure-mesure-2026-01-02.json"
 
 
 def test_keyed_writes(spark, tmp_path):
