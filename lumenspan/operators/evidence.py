@@ -6,15 +6,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenspan.functions.stats import ratio
-from lumenspan.functions.urls import domain_matches
+from lumenspan.operators.catalogue import neighbours
+from lumenspan.operators.sources_report import owners_of
 from lumenspan.queries import query
 from lumenspan.sources.tables import CITATION_SQL, ENTITY_SQL, MENTION_SQL, RESPONSE_SQL, citations, entities, mentions, read, responses
 
 
-@query("entity_union", f"WITH {ENTITY_SQL} SELECT entity_id, kind, name, coalesce(alias, '') AS alias FROM ent WHERE kind = 'BRAND' UNION ALL SELECT entity_id, kind, name, coalesce(alias, '') FROM ent WHERE kind = 'COMPETITOR'")
+@query("entity_union", """SELECT 'b' || s_suppkey AS entity_id, 'BRAND' AS kind, s_name AS name, s_nationkey AS project_id FROM supplier
+UNION ALL SELECT 'c' || c_custkey, 'COMPETITOR', c_name, c_nationkey FROM customer ORDER BY project_id, kind, name, entity_id""")
 def entity_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = entities(spark).select("entity_id", "kind", "name", F.coalesce("alias", F.lit("")).alias("alias"))
-    return e.where("kind = 'BRAND'").unionByName(e.where("kind = 'COMPETITOR'"))
+    """The catalogue as it is listed: own brands and competitors in one table, by project, kind and name."""
+    own = read(spark, sf_dir, "supplier").select(F.concat(F.lit("b"), F.col("s_suppkey").cast("string")).alias("entity_id"), F.lit("BRAND").alias("kind"), F.col("s_name").alias("name"), F.col("s_nationkey").alias("project_id"))
+    rivals = read(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("entity_id"), F.lit("COMPETITOR").alias("kind"), F.col("c_name").alias("name"), F.col("c_nationkey").alias("project_id"))
+    return own.unionByName(rivals).orderBy("project_id", "kind", "name", "entity_id")
 
 
 @query("mention_exact", f"WITH {MENTION_SQL} SELECT sample_id, entity_id, mention_type, count(*) AS n, min(tok_at) AS first_at FROM mention GROUP BY ALL")
@@ -25,13 +29,13 @@ def mention_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("mention_approx", f"WITH {MENTION_SQL} SELECT sample_id, entity_id, token, count(*) AS n FROM tok JOIN ent ON abs(length(token) - length(name)) <= 1 AND length(name) >= 5 AND levenshtein(token, name) <= 1 WHERE NOT EXISTS (SELECT 1 FROM needle WHERE needle.token = tok.token) GROUP BY ALL")
 def mention_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole tokens one edit away from a name of five letters or more, unless some entity is spelled so. Tokens are made distinct before they are compared."""
-    e = entities(spark).where(F.char_length("name") >= 5)
-    spelled = e.select(F.col("name").alias("token")).unionByName(entities(spark).where("alias IS NOT NULL").select(F.col("alias").alias("token")))
+    e = entities(spark)
+    spelled = e.select(F.col("name").alias("token")).unionByName(e.where("alias IS NOT NULL").select(F.col("alias").alias("token")))
     tokens = responses(spark, sf_dir).select("sample_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token")).groupBy("sample_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    close = (F.abs(F.char_length("token") - F.char_length("name")) <= 1) & (F.levenshtein("token", "name", 1) >= 0)
-    near = tokens.select("token").distinct().join(F.broadcast(e.select("entity_id", "name")), close)  # the catalogue of entities is a constant
-    near = near.join(F.broadcast(spelled), "token", "left_anti").select("token", "entity_id")
-    return tokens.join(near, "token").select("sample_id", "entity_id", "token", "n")
+    one = F.lit("demo").alias("project_id")
+    names = e.select(one, F.col("entity_id").alias("id"), F.col("name").alias("needle"), F.lit(True).alias("exact"))
+    near = neighbours(names, tokens.select(one, "token").distinct()).join(spelled, "token", "left_anti")
+    return tokens.join(near.select("token", F.col("id").alias("entity_id")), "token").select("sample_id", "entity_id", "token", "n")
 
 
 @query("order_rank", f"WITH {MENTION_SQL}, f AS (SELECT sample_id, entity_id, min(tok_at) AS first_at, count(*) AS occurrences FROM mention GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY first_at, entity_id) - 1 AS order_rank FROM f")
@@ -63,8 +67,8 @@ def voice_share(scored: DataFrame, found: DataFrame, cited: DataFrame, who: Data
     total = per.groupBy(*grain).agg(F.sum("occurrences").alias("all_occ"))
     here = cited.join(scored.select("sample_id", *grain), "sample_id")
     all_cited = here.groupBy(*grain).agg(F.count(F.lit(1)).alias("all_cited"))
-    owned = F.broadcast(who.where("domain IS NOT NULL").select("entity_id", F.col("domain").alias("owned")))
-    credit = here.join(owned, domain_matches(F.col("domain"), F.col("owned"))).groupBy(*grain, "entity_id").agg(F.count(F.lit(1)).alias("cited"))
+    by_host = here.groupBy(*grain, "domain").agg(F.count(F.lit(1)).alias("n"))
+    credit = by_host.join(owners_of(by_host, who.select("entity_id", F.col("domain").alias("owned"))), "domain").groupBy(*grain, "entity_id").agg(F.sum("n").alias("cited"))
     frame = samples.crossJoin(F.broadcast(who.select("entity_id")))  # as many rows as grains and entities
     out = frame.join(by, [*grain, "entity_id"], "left").join(credit, [*grain, "entity_id"], "left").join(total, grain, "left").join(all_cited, grain, "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

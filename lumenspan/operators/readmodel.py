@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions.stats import exact_mean_sql
 from lumenspan.operators.rollup import STATUS_SQL, TALLY_SQL, TASK, final_status, paired_delta_of, run_mode_score, summary_sql, tally
 from lumenspan.queries import query
-from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, completed, observations, providers
+from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, completed, observations, providers, read
 
 PAIR_SQL = f"""WITH {OBS_SQL}, {PROVIDER_SQL}, cell AS (
   SELECT run_id, query_id, done.provider, {exact_mean_sql("score", "FILTER (mode = 'GROUNDED')")} AS g, {exact_mean_sql("score", "FILTER (mode = 'PARAMETRIC')")} AS p,
@@ -155,12 +155,14 @@ def in_flight_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).groupBy("run_id").agg(F.bool_or(F.col("status").isin("PENDING", "RUNNING")).alias("in_flight"))
 
 
-@query("credential_membership", f"WITH {PROVIDER_SQL}, cred AS (SELECT provider FROM prov WHERE has_credential) SELECT prov.provider, list_filter([CASE WHEN parametric THEN 'PARAMETRIC' END, CASE WHEN grounded THEN 'GROUNDED' END], lambda x: x IS NOT NULL)::VARCHAR AS modes, cred.provider IS NOT NULL AS has_credential FROM prov LEFT JOIN cred USING (provider)")
+@query("credential_membership", f"WITH {PROVIDER_SQL}, held AS (SELECT DISTINCT user_id, event_type AS provider FROM events WHERE event_id % 3 = 0 AND user_id % 4 <> 0), asked AS (SELECT DISTINCT user_id, event_type AS provider FROM events) SELECT user_id, provider, list_filter([CASE WHEN parametric THEN 'PARAMETRIC' END, CASE WHEN grounded THEN 'GROUNDED' END], lambda x: x IS NOT NULL)::VARCHAR AS modes, EXISTS (SELECT 1 FROM held h WHERE h.user_id = asked.user_id AND h.provider = asked.provider) AS has_credential FROM asked JOIN prov USING (provider)")
 def credential_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = providers(spark)
-    cred = p.where("has_credential").select("provider", F.lit(True).alias("has"))
+    """The engines that each user asks: their modes, and whether the user holds a credential for them."""
+    e = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("provider"))
+    held = e.where("event_id % 3 = 0 AND user_id % 4 <> 0").select("user_id", "provider").distinct().withColumn("has", F.lit(True))
     modes = F.array_compact(F.array(F.when(F.col("parametric"), "PARAMETRIC"), F.when(F.col("grounded"), "GROUNDED")))
-    return p.join(cred, "provider", "left").select("provider", F.concat(F.lit("["), F.array_join(modes, ", "), F.lit("]")).alias("modes"), F.col("has").isNotNull().alias("has_credential"))
+    asked = e.select("user_id", "provider").distinct().join(providers(spark), "provider").join(held, ["user_id", "provider"], "left")
+    return asked.select("user_id", "provider", F.concat(F.lit("["), F.array_join(modes, ", "), F.lit("]")).alias("modes"), F.col("has").isNotNull().alias("has_credential"))
 
 
 @query("compatibility", f"WITH {OBS_SQL} SELECT DISTINCT run_id, CASE WHEN dayofmonth(CAST(run_id AS DATE)) = 1 THEN 'no-run' WHEN dayofmonth(CAST(run_id AS DATE)) % 3 = 0 THEN 'run-mismatch' WHEN dayofmonth(CAST(run_id AS DATE)) % 3 = 1 THEN 'version-mismatch' ELSE 'match' END AS state FROM obs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.urls import TWO_LABEL_SUFFIXES, domain_matches, normalized_url, registrable_domain, same_domain, text_urls
+from lumenspan.functions.urls import TWO_LABEL_SUFFIXES, domain_matches, host_and_parents, normalized_url, registrable_domain, same_domain, text_urls
 from lumenspan.queries import query
 from lumenspan.sources.tables import CITATION_SQL, ENTITY_SQL, RESPONSE_SQL, citations, entities, read, responses
 
@@ -73,14 +73,31 @@ def brand_domain_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return citations(spark, sf_dir).select("page_id", "domain", same_domain(F.col("domain"), F.lit("www.example.com")).alias("is_brand"))
 
 
+def owners_of(hosts: DataFrame, owners: DataFrame) -> DataFrame:
+    """domain, entity_id: each distinct host (column domain) with the entities (entity_id, owned) whose domain it is or is below. Hosts meet
+    owners by the keys of their parents, so there may be any number of either."""
+    keys = hosts.where("domain IS NOT NULL").select("domain").distinct().select("domain", F.explode(F.array_distinct(host_and_parents(F.col("domain")))).alias("owned"))
+    return keys.join(owners.where("owned IS NOT NULL").select("entity_id", "owned").distinct(), "owned").select("domain", "entity_id").distinct()
+
+
 @query("citation_credit", f"WITH {CITATION_SQL}, {ENTITY_SQL} SELECT entity_id, count(*) AS credited, count(DISTINCT cit.domain) AS domains FROM cit JOIN ent ON cit.domain = ent.domain OR ends_with(cit.domain, '.' || ent.domain) GROUP BY entity_id")
 def citation_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A theta join against the constant catalogue of entities; one citation may credit several."""
-    e = entities(spark).where("domain IS NOT NULL").select("entity_id", F.col("domain").alias("owned"))
-    hit = citations(spark, sf_dir).join(F.broadcast(e), domain_matches(F.col("domain"), F.col("owned")))
+    """One citation may credit several entities."""
+    cited = citations(spark, sf_dir)
+    hit = cited.join(owners_of(cited, entities(spark).select("entity_id", F.col("domain").alias("owned"))), "domain")
     return hit.groupBy("entity_id").agg(F.count(F.lit(1)).alias("credited"), F.count_distinct("domain").alias("domains"))
 
 
+@query("owned_citations", f"WITH {CITATION_SQL}, o AS (SELECT DISTINCT {REG_SQL} AS owned FROM cit UNION SELECT DISTINCT domain FROM cit) SELECT owned, count(*) AS credited, count(DISTINCT cit.domain) AS domains FROM cit JOIN o ON cit.domain = owned OR ends_with(cit.domain, '.' || owned) GROUP BY owned")
+def owned_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many entities as there are hosts and registrable domains, each credited with what is cited below its own."""
+    cited = citations(spark, sf_dir)
+    by_host = cited.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+    owned = by_host.select(F.explode(F.array("domain", registrable_domain(F.col("domain")))).alias("owned")).distinct()
+    pairs = owners_of(by_host, owned.select(F.col("owned").alias("entity_id"), "owned"))
+    return pairs.join(by_host, "domain").groupBy(F.col("entity_id").alias("owned")).agg(F.sum("n").alias("credited"), F.count(F.lit(1)).alias("domains"))
+
+
 SOURCE_SQL = f"""WITH {CITATION_SQL}, {RESPONSE_SQL}, j AS (SELECT cit.domain, cit.sample_id, mode, engine, query_id FROM cit JOIN resp USING (sample_id)), g AS (
   SELECT domain, count(*) AS n_citations, count(DISTINCT sample_id) AS n_samples, bool_or(domain = 'example.com' OR ends_with(domain, '.example.com')) AS is_brand,
          string_agg(DISTINCT mode, ',' ORDER BY mode) AS modes, string_agg(DISTINCT engine, ',' ORDER BY engine) AS engines, count(DISTINCT query_id) AS n_queries FROM j GROUP BY domain)

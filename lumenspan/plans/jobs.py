@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lumenspan.plans.buckets import CAPACITY, token_bucket_of
 from lumenspan.queries import query
 from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, observations, providers, read
 
@@ -41,11 +38,14 @@ def plan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned(questions, providers(spark).where("has_credential"), ["PARAMETRIC", "GROUNDED"], REPETITIONS)
 
 
-@query("plan_skipped", PLAN_SQL + " SELECT provider, mode, 'unsupported-mode' AS reason FROM c WHERE NOT supported UNION ALL SELECT provider, mode, 'no-credential' FROM prov, m WHERE NOT has_credential")
+@query("plan_skipped", PLAN_SQL + ", q AS (SELECT DISTINCT user_id AS query_id FROM events), r AS (SELECT provider, mode, 'unsupported-mode' AS reason FROM c WHERE NOT supported UNION ALL SELECT provider, mode, 'no-credential' FROM prov, m WHERE NOT has_credential) SELECT query_id, provider, mode, reason FROM q, r")
 def plan_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of each question that a plan leaves out, and why."""
     all_cells = supported(providers(spark), ["PARAMETRIC", "GROUNDED"])
     reason = F.when(~F.col("has_credential"), "no-credential").when(~F.col("supported"), "unsupported-mode")
-    return all_cells.select("provider", "mode", reason.alias("reason")).where("reason IS NOT NULL")
+    skipped = all_cells.select("provider", "mode", reason.alias("reason")).where("reason IS NOT NULL")
+    questions = read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id")).distinct()
+    return questions.crossJoin(F.broadcast(skipped))  # engines and modes are a handful
 
 
 @query("plan_volume", PLAN_SQL + f", n AS (SELECT count(DISTINCT user_id) AS queries FROM events) SELECT queries, (SELECT count(*) FROM c WHERE supported) AS cells, queries * (SELECT count(*) FROM c WHERE supported) * 3 AS calls, queries * (SELECT count(*) FROM c WHERE supported) * 3 <= {LIMITS['samples']} AS admitted FROM n")
@@ -160,38 +160,6 @@ def cancelled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return observations(spark, sf_dir).groupBy(F.when(F.col("status") == "RUNNING", "CANCELLED").otherwise(F.col("status")).alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-CAPACITY, REFILL = 3.0, 1.0 / 20_000
-
-
-def token_bucket_of(calls: DataFrame, capacity: float = CAPACITY, refill_per_s: float = REFILL, known: DataFrame | None = None) -> DataFrame:
-    """calls: bucket, call_id, ts. bucket, call_id, admitted, tokens after: the calls of a bucket take tokens in order of time. known
-    (bucket): the buckets that exist, if not all do; calls of others are never admitted and have no tokens.
-
-    A fold over sorted Arrow batches that carries one bucket's state from batch to batch, so a bucket with very many calls is
-    never in memory as a whole."""
-    shaped = calls.select("bucket", "call_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), F.lit(True).alias("there"))
-    if known is not None:
-        exists = known.select("bucket").distinct().withColumn("there", F.lit(True))
-        shaped = shaped.drop("there").join(exists, "bucket", "left").select("bucket", "call_id", "ts", F.coalesce("there", F.lit(False)).alias("there"))
-    out = T.StructType([shaped.schema["bucket"], T.StructField("call_id", T.LongType()), T.StructField("admitted", T.BooleanType()), T.StructField("tokens", T.DoubleType())])
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, tokens, last, begun = None, capacity, 0.0, False
-        for batch in batches:
-            ok, left = [], []
-            for who, ts, there in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                t = ts / 1e6
-                if not begun or who != bucket:
-                    bucket, tokens, last, begun = who, capacity, t, True
-                tokens, last = min(capacity, tokens + (t - last) * refill_per_s), t
-                ok.append(there and tokens >= 1)
-                tokens -= ok[-1]
-                left.append(tokens if there else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_()), pa.array(left, pa.float64())], names=out.names)
-
-    return shaped.repartition("bucket").sortWithinPartitions("bucket", "ts", "call_id").mapInArrow(fold, out)
-
-
 @query("token_bucket")
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls admitted for each user; a fold over time, held against a plain loop in the tests."""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenspan.plans.jobs import token_bucket_of
+from lumenspan.plans.buckets import token_bucket_of
 from lumenspan.queries import query
 from lumenspan.sources.tables import read
 
 #: Calls an hour by kind, and what a sign-in may take from its address and its account within a window of seconds.
 PER_HOUR = {"runs": 20, "rescores": 5, "register": 5}
+REGISTER_ALL = 30
 LOGIN = {"address": 8, "account": 10, "window": 300, "readable": 120}
 
 
@@ -43,6 +44,32 @@ def admitted_calls(calls: DataFrame) -> DataFrame:
     return keyed.select("call_id", "bucket").join(out.select("call_id", "admitted"), "call_id", "left").select("call_id", "bucket", F.coalesce("admitted", F.lit(False)).alias("admitted"))
 
 
+def admitted_registrations(calls: DataFrame) -> DataFrame:
+    """calls: call_id, ts, address (null if unknown). call_id, admitted, refused_by. All registrations share one bucket, which is charged first,
+    so that made-up addresses don't get round it; what it lets in is charged to its address."""
+    shared = token_bucket_of(calls.select(F.lit("register:global").alias("bucket"), "call_id", "ts"), REGISTER_ALL, REGISTER_ALL / 3600)
+    asked = calls.join(shared.select("call_id", F.col("admitted").alias("let_in")), "call_id")
+    own = asked.where("let_in AND address IS NOT NULL").select(F.concat(F.lit("register:"), "address").alias("bucket"), "call_id", "ts")
+    by_address = token_bucket_of(own, PER_HOUR["register"], PER_HOUR["register"] / 3600).select("call_id", "admitted")
+    refused = F.when(~F.col("let_in"), "global").when(~F.coalesce("admitted", F.lit(True)), "address")
+    return asked.join(by_address, "call_id", "left").select("call_id", refused.isNull().alias("admitted"), refused.alias("refused_by"))
+
+
+@query("registration_admission")
+def registration_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a registration, a hundred times faster, from four addresses; held against a loop in the tests."""
+    e, t = read(spark, sf_dir, "events"), F.unix_micros(F.col("ts").cast("timestamp"))
+    address = F.when(F.col("user_id") % 9 != 0, F.concat(F.lit("10.1.0."), (F.col("user_id") % 4).cast("string")))
+    return admitted_registrations(e.select(F.col("event_id").alias("call_id"), F.timestamp_micros(F.floor(t / 100)).alias("ts"), address.alias("address")))
+
+
+@query("admitted_calls")
+def admitted_calls_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls of three kinds, one of them unknown, by user."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("runs", "rescores", "other")]), (F.col("event_id") % 3 + 1).cast("int"))
+    return admitted_calls(read(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), "ts", kind.alias("kind"), F.col("user_id").alias("who")))
+
+
 @query("login_admission")
 def login_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sign-ins from a few addresses, ten thousand times faster than the events they are made from; held against a loop in the tests."""

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lumenspan.plans.jobs import ATTEMPTS, CAPACITY, REFILL
+from lumenspan.plans.buckets import CAPACITY, REFILL, Scale
+from lumenspan.plans.jobs import ATTEMPTS
 from lumenspan.queries import query
 from lumenspan.sources.tables import read
 
@@ -25,20 +26,23 @@ def admitted(calls: DataFrame, capacity: float = CAPACITY, refill_per_s: float =
     """calls: bucket long, call_id long, ts timestamp, a stream. The balance of a bucket is kept between micro-batches; within one, calls
     take tokens in order of time. Calls that arrive after later ones see no refill."""
 
+    scale = Scale(capacity, refill_per_s)
+
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tokens, last = state.get if state.exists else (capacity, None)
+        balance, last = state.get if state.exists else (scale.full, None)
         rows = pd.concat(list(frames)).sort_values(["ts", "call_id"])
         out = []
-        for call, t in zip(rows["call_id"], rows["ts"].astype("int64") / 1e9, strict=True):
-            tokens = min(capacity, tokens + max(0.0, t - last) * refill_per_s) if last is not None else tokens
-            last, ok = max(t, last or t), tokens >= 1
-            tokens -= ok
-            out.append((key[0], call, ok, tokens))
-        state.update((tokens, last))
+        for call, ns in zip(rows["call_id"], rows["ts"].astype("datetime64[ns]").astype("int64"), strict=True):
+            us = ns // 1000
+            balance = scale.grown(balance, us - last) if last is not None else balance
+            last, ok = max(us, last or us), balance >= scale.token
+            balance -= scale.token * ok
+            out.append((key[0], call, ok, balance / scale.token))
+        state.update((int(balance), int(last)))
         yield pd.DataFrame(out, columns=["bucket", "call_id", "admitted", "tokens"])
 
     ns = calls.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    return ns.groupBy("bucket").applyInPandasWithState(fold, "bucket long, call_id long, admitted boolean, tokens double", "tokens double, last double", "append", GroupStateTimeout.NoTimeout)
+    return ns.groupBy("bucket").applyInPandasWithState(fold, "bucket long, call_id long, admitted boolean, tokens double", "balance long, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def expired_leases(beats: DataFrame, lease_s: int = 90) -> DataFrame:

@@ -163,7 +163,7 @@ def test_logins_against_a_loop(spark):
 
 
 def test_missing_buckets_fail_closed(spark):
-    from lumenspan.plans.jobs import token_bucket_of
+    from lumenspan.plans.buckets import token_bucket_of
 
     calls = spark.createDataFrame([(1, 1, "2024-01-01"), (2, 2, "2024-01-01")], "bucket long, call_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     got = {r.bucket: (r.admitted, r.tokens) for r in token_bucket_of(calls, known=calls.where("bucket = 1")).collect()}
