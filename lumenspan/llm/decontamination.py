@@ -194,7 +194,9 @@ def _align(pairs: DataFrame, least: float) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY, block: int = BLOCK, written: list[DataFrame] | None = None) -> DataFrame:
     """doc_id, item_id, similarity, word_start, word_end, copied: the best alignment for each document and item found in it. Tables that the
     result reads are added to `written`."""
-    seeds = materialise(seed_table(items, item_text, item_id), "item-grams")
+    # items are told apart by their rows, whatever their ids
+    items = materialise(items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item"), F.monotonically_increasing_id().alias("item_row")), "items")
+    seeds = materialise(seed_table(items, "item", "item_row").withColumnRenamed("item_id", "item_row"), "item-grams")
     size = F.least("n_words", F.lit(SEED_WORDS))
     distinct = seeds.groupBy("gram", size.alias("size")).agg(F.max("n_words").alias("reach"))
     # blocks of n-grams by hash; each is collected on its own and has about `block` rows
@@ -208,9 +210,8 @@ def contaminated(docs: DataFrame, items: DataFrame, text: str = "text", doc_id:
         found = some if found is None else found.unionByName(some)
         if written is not None:
             written.append(some)
-    text_of = items.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{item_text}`").alias("item"))
-    pairs = found.select("row", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_id").distinct(), "gram").select("row", "item_id").distinct()
-    good = _align(found.drop("grams").join(pairs, "row").join(text_of, "item_id").select("doc_id", "item_id", "start", "passage", "item"), similarity)
+    pairs = found.select("row", F.explode("grams").alias("gram")).join(seeds.select("gram", "item_row").distinct(), "gram").select("row", "item_row").distinct()
+    good = _align(found.drop("grams").join(pairs, "row").join(items, "item_row").select("doc_id", "item_id", "start", "passage", "item"), similarity)
     best = good.groupBy("doc_id", "item_id").agg(F.max_by(F.struct("similarity", "word_start", "word_end", "copied"), F.struct("similarity", -F.col("word_start"))).alias("b"))
     return best.select("doc_id", "item_id", "b.*")
 

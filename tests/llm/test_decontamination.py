@@ -40,3 +40,11 @@ def test_clean_rows_stay_beside_contaminated_ones_of_the_same_id(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = d.decontaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {tuple(r) for r in got.collect()} == {rows[1], rows[3], rows[4]} and got.columns == docs.columns
+
+
+def test_items_without_an_id_are_items(spark):
+    a, b = (" ".join(f"{x}{j}" for j in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, f"lead {a}"), (2, f"{b} tail"), (3, "a clean text"), (4, f"{a} and {b}")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, a), (None, b), (7, b), (7, None)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in d.contaminated(docs, items).collect()} == {(1, None), (2, None), (2, 7), (4, None), (4, 7)}
+    assert [r.doc_id for r in d.decontaminated(docs, items).collect()] == [3]
