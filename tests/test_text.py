@@ -6,7 +6,7 @@ from lumenspan.functions.urls import normalized_url, registrable_domain, same_do
 from lumenspan.operators.rules import scored
 from lumenspan.operators.sources_report import merged_citations
 from lumenspan.sources.payloads import merged_sources, native_sources, truncated
-from lumenspan.sources.exports import passport_document, passports
+from lumenspan.sources.passport import passport_document, passports, run_passports
 from lumenspan.sources.sinks import csv_header, csv_lines, passport_filename, passport_markdown, replace_partitions, safe_filename, upsert, write_csv
 
 
@@ -229,17 +229,40 @@ def test_exports(spark, tmp_path):
     assert passport_markdown(spark.createDataFrame([("a|b", None)], "a string, b double")).first().value == "| a\\|b | indisponible |"
 
 
+def test_passports_of_runs_have_their_intervals(spark):
+    from lumenspan.functions.stats import bootstrap, seed_for
+    from lumenspan.operators.rollup import query_means
+    from lumenspan.sources.tables import completed
+
+    sf = "/root/testdata/sf0.001"
+    done = completed(spark, sf).withColumn("engine", F.col("provider"))
+    values = {}
+    for r in query_means(done, ["run_id", "engine", "mode"]).collect():
+        values.setdefault((r.run_id, r.engine, r.mode), []).append((str(r.query_id).encode("utf-16-be"), r.value))
+    made, checked = run_passports(spark, sf).collect(), 0
+    for r in made:
+        for a in r.payload.measurement.axes:
+            found = [v for _, v in sorted(values[r.run_id, r.provider, a["mode"]])]
+            want = bootstrap(found, seed_for([r.run_id, r.provider, a["mode"], "v3"]))
+            assert (a.n, a.nUnit, a.method) == (len(found), "queries", "query-cluster-v1")
+            assert (a.interval.low, a.interval.high) == (want or (None, None))
+            checked += want is not None
+    assert checked > 100
+
+
 def test_passport(spark):
-    found = spark.createDataFrame([(7, "click", "grounded-erosion", -1234.5)], "query_id long, provider string, kind string, gap double")
-    cells = spark.createDataFrame([(7, "click", "PARAMETRIC", 12, 60.0, 1.0, False), (7, "click", "GROUNDED", 3, 47.126, 0.666, True)], "query_id long, provider string, mode string, n long, median double, presence double, low_n boolean")
+    cells = [(7, "click", "PARAMETRIC", 12, 60.0, 1.0, False, 1.0, None, None, "pooled"), (7, "click", "GROUNDED", 3, 47.126, 0.666, True, 0.5, 41.0, 52.125, "query-cluster-v1"), (7, "click", "OTHER", 0, None, None, True, None, None, None, None)]
+    cells = spark.createDataFrame(cells, "query_id long, provider string, mode string, n long, median double, presence double, low_n boolean, stability double, ci_low double, ci_high double, ci_method string")
     progress = F.struct(F.lit(4).alias("doneSamples"), F.lit(5000).alias("totalSamples"), F.lit(1).alias("failedSamples"), *[F.lit(None).cast("int").alias(c) for c in ("nPlanned", "nSuccessful", "nScored", "missingAnalysis")])
     run = F.struct(F.lit("PARTIAL").alias("status"), F.lit(None).cast("string").alias("completedAt"), progress.alias("progress"))
-    made = passports(found, cells, run, "A|b_c", ["Zed", "Amé*"], "2026-01-02T03:04:05.000Z")
+    found = spark.createDataFrame([(7, "click", "q7", "grounded-erosion", -1234.5)], "query_id long, provider string, title string, kind string, gap double").withColumn("context", run)
+    made = passports(found, cells.withColumns({"raw_n": F.col("n"), "cell_n": F.lit(1)}), ["query_id", "provider"], "A|b_c", ["Zed", "Amé*"], "2026-01-02T03:04:05.000Z")
     text = made.select(passport_document(made.payload)).first()[0].split("\n")
     assert text[0] == "# Passeport de mesure — q7" and "- Projet : A\\|b\\_c" in text and "- Marques : Amé\\*, Zed" in text
     assert "- Écart observé groundé − paramétrique : -1\u202f234,5 points" in text and "- Fournisseur : Click (`click`)" in text
-    assert "| GROUNDÉ | 47,13 | indisponible | indisponible | 3 samples | 3 | 1 | oui | indisponible | 67\u00a0% |" in text
-    assert "| PARAMÉTRIQUE | 60 | indisponible | indisponible | 12 samples | 12 | 1 | non | indisponible | 100\u00a0% |" in text
+    assert "| GROUNDÉ | 47,13 | 41–52,13 | 50\u00a0% | 3 queries | 3 | 1 | oui | query-cluster-v1 | 67\u00a0% |" in text
+    assert "| PARAMÉTRIQUE | 60 | indisponible | 100\u00a0% | 12 samples | 12 | 1 | non | pooled | 100\u00a0% |" in text
+    assert len([x for x in text if x.startswith("| ")]) == 3  # nothing of a mode without a query
     assert "Run : PARTIAL · terminé indisponible · 4/5\u202f000 appels traités · 1 en échec." in text
     assert "Couverture d’analyse : planifié indisponible, réussi indisponible, scoré indisponible, analyse manquante indisponible." in text
     assert passport_filename("Été: quel CRM ?", "Click", "2026-01-02T03") == "measurement-ete-quel-crm-click-2026-01-02.json"
