@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions.stats import ratio
 from lumenspan.operators.catalogue import neighbours
+from lumenspan.functions.urls import in_locale
 from lumenspan.operators.sources_report import owners_of
 from lumenspan.queries import query
 from lumenspan.sources.tables import CITATION_SQL, ENTITY_SQL, MENTION_SQL, RESPONSE_SQL, citations, entities, mentions, read, responses
@@ -95,7 +96,9 @@ def _evidence(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 @query("voice_share_run", share_sql("run_id, mode"))
 def voice_share_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return voice_share(*_evidence(spark, sf_dir), ["run_id", "mode"])
+    """By run, and within it as it is shown: the largest share first, then by name."""
+    shares = voice_share(*_evidence(spark, sf_dir), ["run_id", "mode"]).join(entities(spark).select("entity_id", "name"), "entity_id")
+    return shares.orderBy("run_id", "mode", F.desc("mention_share"), in_locale(F.col("name")), "entity_id").drop("name")
 
 
 @query("voice_share_task", share_sql("task_id, mode"))

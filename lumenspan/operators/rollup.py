@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.functions.stats import ALPHA, DRAWS, LOW_N_RUN, LOW_N_TASK, PAIRED, QUERY_CLUSTER, clamp, estimates, exact_mean, exact_mean_sql, iqr, median, seed_of, stability_v3
+from lumenspan.functions.urls import in_locale
 from lumenspan.queries import query
 from lumenspan.sources.tables import OBS_SQL, completed, observations, providers
 
@@ -205,14 +206,14 @@ def run_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run scores with their intervals; the summary's columns are run_mode_score's, the interval's are tested against plain loops."""
     keys = ["run_id", "mode"]
     found = seeded_intervals(completed(spark, sf_dir), keys, seed_of(F.col("run_id").cast("string"), F.col("mode"), F.lit("v3")))
-    return with_intervals(run_mode_score(spark, sf_dir), found, keys, "median").withColumns({"method": F.lit(QUERY_CLUSTER), "n_unit": F.lit("query")})
+    return with_intervals(run_mode_score(spark, sf_dir), found, keys, "median").withColumns({"method": F.lit(QUERY_CLUSTER), "n_unit": F.lit("queries")}).where("n > 0")
 
 
 @query("provider_score_table")
 def provider_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of engines and modes with their intervals, best first."""
     out = with_intervals(provider_mode_score(spark, sf_dir), provider_mode_ci(spark, sf_dir), ["provider", "mode"], "median")
-    return out.orderBy(F.desc("median"), "provider", "mode")
+    return out.orderBy(F.desc("median"), in_locale(F.col("provider")), "mode")
 
 
 @query("paired_interval")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.urls import TWO_LABEL_SUFFIXES, domain_matches, host_and_parents, normalized_url, registrable_domain, same_domain, text_urls
+from lumenspan.functions.urls import TWO_LABEL_SUFFIXES, ascii_url, domain_matches, host_and_parents, in_locale, normalized_url, registrable_domain, same_domain, text_urls
 from lumenspan.queries import query
 from lumenspan.sources.tables import CITATION_SQL, ENTITY_SQL, RESPONSE_SQL, citations, entities, read, responses
 
@@ -19,7 +19,7 @@ REG_SQL = f"CASE WHEN {LAST_TWO.format(h='domain')} IN ({', '.join(map(repr, TWO
 
 @query("url_normalize", f"SELECT page_id, {NORM_SQL} AS normalized FROM pages")
 def url_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "pages").select("page_id", normalized_url(F.col("url")).alias("normalized"))
+    return read(spark, sf_dir, "pages").select("page_id", normalized_url(ascii_url(F.col("url"))).alias("normalized"))
 
 
 @query("registrable_domains", f"WITH {CITATION_SQL} SELECT page_id, {REG_SQL} AS registrable FROM cit")
@@ -42,7 +42,7 @@ def merged_citations(sources: DataFrame, keys: list[str]) -> DataFrame:
     """sources: keys, at (order), url, title, source_kind. One row for each normal address: the strongest kind gives url and kind; its title
     is that of the last stronger source that has one, else the first title; position counts first appearances."""
     rank = F.when(F.col("source_kind") == "NATIVE", 0).when(F.col("source_kind") == "INLINE_MARKDOWN", 1).otherwise(2)
-    s = sources.withColumns({"normalized": normalized_url(F.col("url")), "rank": rank}).where("normalized IS NOT NULL")
+    s = sources.withColumns({"normalized": normalized_url(ascii_url(F.col("url"))), "rank": rank}).where("normalized IS NOT NULL")
     seen = Window.partitionBy(*keys, "normalized").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("stronger", F.coalesce(F.col("rank") < F.min("rank").over(seen), F.lit(True)))
     titled = F.nullif(F.col("title"), F.lit(""))
@@ -123,7 +123,7 @@ def source_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("top_sources", SOURCE_SQL + " ORDER BY n_citations DESC, domain LIMIT 10")
 def top_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten domains most cited."""
-    return source_domains(spark, sf_dir).orderBy(F.desc("n_citations"), "domain").limit(10)
+    return source_domains(spark, sf_dir).orderBy(F.desc("n_citations"), in_locale(F.col("domain")), "domain").limit(10)
 
 
 @query("source_queries", f"WITH {CITATION_SQL}, {RESPONSE_SQL}, q AS (SELECT DISTINCT domain, query_id FROM cit JOIN resp USING (sample_id)), g AS (SELECT domain, list(query_id ORDER BY query_id) AS qs FROM q GROUP BY domain) SELECT domain, array_to_string(qs[1:3], ',') AS shown, greatest(0, len(qs) - 3)::INT AS more FROM g")

@@ -35,7 +35,7 @@ PLAN_SQL = f"""WITH {PROVIDER_SQL}, m(mode) AS (VALUES ('PARAMETRIC'), ('GROUNDE
 def plan_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Engines without credentials are left out."""
     questions = read(spark, sf_dir, "events").select(F.col("user_id").alias("query_id")).distinct()
-    return planned(questions, providers(spark).where("has_credential"), ["PARAMETRIC", "GROUNDED"], REPETITIONS)
+    return planned(questions, providers(spark).where("has_credential"), ["PARAMETRIC", "GROUNDED"], REPETITIONS).orderBy("query_id", "provider", "mode", "sample_index")
 
 
 @query("plan_skipped", PLAN_SQL + ", q AS (SELECT DISTINCT user_id AS query_id FROM events), r AS (SELECT provider, mode, 'unsupported-mode' AS reason FROM c WHERE NOT supported UNION ALL SELECT provider, mode, 'no-credential' FROM prov, m WHERE NOT has_credential) SELECT query_id, provider, mode, reason FROM q, r")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenspan.functions.stats import LOW_N_TASK, QUERY_CLUSTER, exact_mean, exact_mean_sql
-from lumenspan.functions.urls import normalized_url
+from lumenspan.functions.urls import in_locale, normalized_url
 from lumenspan.operators.evidence import share_sql, voice_share_task
 from lumenspan.operators.rules import sample_score_v3, score_contributions, score_sql
 from lumenspan.queries import query
@@ -26,7 +26,7 @@ def export_rows(answers: DataFrame, scores: DataFrame, shares: DataFrame, cited:
     centre = scored.groupBy(*task).agg(
         exact_mean(F.col("score")).alias("median"), F.count("score").alias("raw_n"), F.avg(F.col("brand_present").cast("int")).alias("brand_presence_rate")
     )
-    order = F.struct((-F.col("mention_share")).alias("by"), "name", "mention_share")
+    order = F.struct((-F.col("mention_share")).alias("by"), in_locale(F.col("name")).alias("place"), "name", "mention_share")
     rivals = shares.join(names, "entity_id").groupBy("task_id", "mode").agg(F.array_sort(F.collect_list(order)).alias("r"))
     rivals = rivals.select("task_id", "mode", F.transform("r", lambda x: F.struct(x["name"].alias("name"), x["mention_share"].alias("mention_share"))).alias("competitors"))
     place = F.struct("sample_id", "page_id", normalized_url(F.col("url")).alias("normal"), "url")

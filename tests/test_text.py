@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenspan.functions.answers import Matcher, context, extracted, one_edit, sentence_starts
-from lumenspan.functions.urls import normalized_url, registrable_domain, same_domain, text_urls
+from lumenspan.functions.urls import ascii_url, in_locale, normalized_url, registrable_domain, same_domain, text_urls
 from lumenspan.operators.rules import scored
 from lumenspan.operators.sources_report import merged_citations
 from lumenspan.sources.payloads import merged_sources, native_sources, truncated
@@ -134,6 +134,23 @@ def test_normal_addresses(spark):
     assert {r.u: r.n for r in df.select("u", normalized_url(F.col("u")).alias("n")).collect()} == URLS
 
 
+def test_hosts_beyond_ascii(spark):
+    asked = {
+        "https://www.Bücher.de/Straße?q=1": "xn--bcher-kva.de/stra%c3%9fe?q=1", "MÜNCHEN.example.com": "xn--mnchen-3ya.example.com", "http://u:p@例え.jp:80/": "xn--r8jz45g.jp",
+        "ｅｘａｍｐｌｅ。com/a": "example.com/a", "https://faß.de": "xn--fa-hia.de", "https://пример.рф/": None, "https://example.com/é": "example.com/%c3%a9", "école": None, "é": None, "": None,
+        "https://a-.com": None, "https://-a.com": None, "https://a..com": None, "https://a.c": None, "https://a.b1": None, "https://a_b.com": None, "x-y.z9.org": "x-y.z9.org",
+    }
+    df = spark.createDataFrame([(u,) for u in [*asked, None]], "u string")
+    assert {r.u: r.n for r in df.select("u", normalized_url(ascii_url(F.col("u"))).alias("n")).collect()} == {**asked, None: None}
+
+
+def test_order_of_a_locale(spark):
+    df = spark.createDataFrame([(x,) for x in ("Zoé", "zeta", "Émile", "Eclair", "eclair", "étude", "10", "_a")], "x string")
+    assert [r.x for r in df.orderBy(in_locale(F.col("x"))).collect()] == ["_a", "10", "eclair", "Eclair", "Émile", "étude", "zeta", "Zoé"]
+    two = spark.createDataFrame([("https://example.com/?q=b&q=B&q=a&q=%C3%A9&q=z",)], "u string")
+    assert two.select(normalized_url(F.col("u"))).first()[0] == "example.com?q=a&q=b&q=b&q=é&q=z"
+
+
 def test_domains(spark):
     hosts = {"shop.example.co.uk": "example.co.uk", "user@blog.example.com": "example.com", "example.com:8443": "example.com", "https://www.a.b.example.org/x": "example.org", "": ""}
     df = spark.createDataFrame([(h,) for h in hosts], "h string")
