@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenspan.functions.stats import LOW_N_TASK, exact_mean, exact_mean_sql, iqr, median, ratio, stability_v2
+from lumenspan.functions.selection import robust
+from lumenspan.functions.stats import LOW_N_TASK, exact_mean, exact_mean_sql, ratio, stability_v2
 from lumenspan.functions.urls import normalized_url
 from lumenspan.operators.sources_report import NORM_SQL, SOURCE_SQL, cited_answers, source_domains
 from lumenspan.queries import query
@@ -94,10 +95,10 @@ def share_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pooled_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older summary over pooled samples, with the older stability."""
     done = completed(spark, sf_dir)
-    g = done.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("score")).alias("mean"), median("score").alias("median"), iqr("score").alias("iqr"))
-    mad = done.join(F.broadcast(g.select("provider", "median")), "provider").groupBy("provider").agg(F.percentile(F.abs(F.col("score") - F.col("median")), 0.5).alias("mad"))  # a row for each engine
+    g = done.groupBy("provider").agg(F.count(F.lit(1)).alias("n"), exact_mean(F.col("score")).alias("mean"))
+    spread = robust(done, ["provider"], "score").select("provider", "median", "mad", (F.col("q3") - F.col("q1")).alias("iqr"))  # an engine has any number of samples
     r = lambda c: F.round(c, 6).alias(c)
-    return g.join(mad, "provider").select("provider", "n", r("mean"), r("median"), r("mad"), r("iqr"), F.round(stability_v2(F.col("mad")), 6).alias("stability"), (F.col("n") < LOW_N_TASK).alias("low_n"))
+    return g.join(spread, "provider").select("provider", "n", r("mean"), r("median"), r("mad"), r("iqr"), F.round(stability_v2(F.col("mad")), 6).alias("stability"), (F.col("n") < LOW_N_TASK).alias("low_n"))
 
 
 def judge_input(text: Column) -> Column:

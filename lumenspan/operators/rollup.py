@@ -6,9 +6,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenspan.functions.selection import robust, robust_columns, type_7
 from lumenspan.functions.stats import ALPHA, DRAWS, LOW_N_RUN, LOW_N_TASK, PAIRED, QUERY_CLUSTER, clamp, estimates, exact_mean, exact_mean_sql, iqr, median, seed_of, stability_v3
 from lumenspan.functions.urls import in_locale
 from lumenspan.queries import query
+from lumenspan.sources.stage import written
 from lumenspan.sources.tables import OBS_SQL, completed, observations, providers
 
 
@@ -18,17 +20,21 @@ def query_means(obs: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys, "query_id").agg(exact_mean(F.col("cell")).alias("value"), F.sum("repeats").alias("raw_n"), F.count(F.lit(1)).alias("cell_n"), F.sum("present").alias("present"))
 
 
-def cluster_summary(obs: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) -> DataFrame:
+def cluster_summary(obs: DataFrame, keys: list[str], low_n: int = LOW_N_RUN, hot: bool = False) -> DataFrame:
     """keys, n (queries), raw_n, cell_n, mean, median, mad, iqr, stability, presence (of samples), low_n."""
-    return summarise(query_means(obs, keys), keys, low_n)
-
-
-def summarise(per_query: DataFrame, keys: list[str], low_n: int = LOW_N_RUN) -> DataFrame:
-    """The same from query means: keys, query_id, value, raw_n, cell_n, present."""
-    centre = per_query.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("raw_n").alias("raw_n"), F.sum("cell_n").alias("cell_n"), exact_mean(F.col("value")).alias("mean"), median("value").alias("median"), iqr("value").alias("iqr"), F.sum("present").alias("present"))
-    # the medians are a row for each group, so they go to the query means, not the other way round
-    spread = per_query.join(centre.select(*keys, "median"), keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("value") - F.col("median")), 0.5).alias("mad"))
-    out = centre.join(spread, keys)
+    return summarise(query_means(obs, keys), keys, low_n, hot)
+
+
+def summarise(per_query: DataFrame, keys: list[str], low_n: int = LOW_N_RUN, hot: bool = False) -> DataFrame:
+    """The same from query means: keys, query_id, value, raw_n, cell_n, present. hot: groups may have any number of queries; without it they are
+    such as admission limits to a thousand, whose values fit a row."""
+    ordered, spread = robust_columns("value")
+    if hot:
+        per_query = written(per_query, "query-means")
+    columns = [F.count(F.lit(1)).alias("n"), F.sum("raw_n").alias("raw_n"), F.sum("cell_n").alias("cell_n"), exact_mean(F.col("value")).alias("mean"), F.sum("present").alias("present")]
+    out = per_query.groupBy(*keys).agg(*columns, *([] if hot else [ordered]))
+    out = out.join(robust(per_query, keys).drop("n"), keys) if hot else out.withColumn("spread", spread).select("*", "spread.*")
+    out = out.withColumn("iqr", F.col("q3") - F.col("q1"))
     return out.select(*keys, "n", "raw_n", "cell_n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "mad", "iqr")], F.round(stability_v3(F.col("mad"), F.col("iqr")), 6).alias("stability"), F.round(F.col("present") / F.col("raw_n"), 6).alias("presence"), (F.col("n") < low_n).alias("low_n"))
 
 
@@ -46,7 +52,7 @@ SELECT {keys}, n, raw_n, cell_n, round(mean, 6) AS mean, round(median, 6) AS med
 
 @query("provider_mode_score", summary_sql("provider, mode").replace("query_id, provider AS cell_provider", "query_id, 0 AS cell_provider"))
 def provider_mode_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cluster_summary(completed(spark, sf_dir).withColumn("engine", F.col("provider")), ["engine", "mode"]).withColumnRenamed("engine", "provider")
+    return cluster_summary(completed(spark, sf_dir).withColumn("engine", F.col("provider")), ["engine", "mode"], hot=True).withColumnRenamed("engine", "provider")
 
 
 @query("run_mode_score", summary_sql("run_id, mode"))
@@ -159,14 +165,6 @@ def paired_delta_of(obs: DataFrame, capability: DataFrame, keys: list[str]) -> D
 PARTS = 8
 
 
-def type_7(ordered: Column, q: float) -> Column:
-    """A quantile of a sorted array, by linear interpolation."""
-    h = (F.size(ordered) - 1) * F.lit(q)
-    low = F.floor(h).cast("int")
-    below = F.get(ordered, low)
-    return below + (h - low) * (F.coalesce(F.get(ordered, low + 1), below) - below)
-
-
 def intervals(per_query: DataFrame, keys: list[str], seed: Column, statistic: str = "median") -> DataFrame:
     """keys, seed, n, method, ci_low, ci_high from per_query (keys, query_id, value). A group's values - a number for each query - are
     one row; its resamples are dealt over PARTS tasks, each of which jumps to its part of the generator's sequence."""
@@ -225,6 +223,25 @@ def paired_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_intervals(paired_delta_of(obs, able, ["run_id"]), found, ["run_id"], "mean").withColumn("method", F.lit(PAIRED))
 
 
+INTERVAL = ["ci_low", "ci_high", "err_low", "err_high", "seed"]
+
+
+def told(table: DataFrame) -> DataFrame:
+    """A table of scores without its intervals, and whether there is one, in order, around the centre."""
+    has = F.col("ci_low").isNotNull() & (F.col("ci_low") <= F.col("ci_high")) & (F.col("err_low") >= 0) & (F.col("err_high") >= 0)
+    return table.withColumn("has_interval", has).drop(*INTERVAL)
+
+
+@query("run_score_summary", f"SELECT *, n > 1 AS has_interval, '{QUERY_CLUSTER}' AS method, 'queries' AS n_unit FROM ({summary_sql('run_id, mode')})")
+def run_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(run_score_table(spark, sf_dir))
+
+
+@query("provider_score_summary", "SELECT *, n > 1 AS has_interval FROM (" + summary_sql("provider, mode").replace("query_id, provider AS cell_provider", "query_id, 0 AS cell_provider") + ")")
+def provider_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return told(provider_score_table(spark, sf_dir))
+
+
 @query("bootstrap_ci")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals of run scores; not in SQL, held against hand-computed vectors in the tests."""

@@ -45,7 +45,9 @@ def test_no_task_sees_a_hot_group(spark):
     row = robust(values, ["g"]).first()
     want = by_hand([r.value for r in values.select("value").toLocalIterator(prefetchPartitions=True)])
     assert tuple(row)[1:] == pytest.approx(want, rel=1e-12)
-    kept = []
-    picked = selection._picked
     plan = robust(values, ["g"])._jdf.queryExecution().toString()
-    assert "percentile(" not in plan and "collect_list" not in plan and picked and not kept
+    assert "percentile(" not in plan and "collect_list" not in plan
+    grid = np.quantile(values.toPandas().value, np.linspace(0, 1, selection.CELLS + 1), method="inverted_cdf")
+    low, high = selection.bracket(grid, 2_000_000, 999_999, 1_000_000)
+    near, far = selection.deviation_bracket(grid, 2_000_000, low, high, 999_999, 1_000_000)
+    assert 0 < high - low < 0.02 and low < want[2] < high and 0 < far - near < 0.04 and near < want[4] < far
