@@ -29,7 +29,7 @@ FAR_MEMO = 200_000
 FORMS = 1 << 15
 WORD = r"[\p{L}\p{N}]+"
 VERSIONS = ("v2", "v3")
-MENTION = "entity_id string, kind string, mention_type string, occurrence_index int, char_offset int, sentence_index int, normalized_position double, in_first_sentence boolean, order_rank int, occurrences_total int, context string, confidence double"
+MENTION = "entity_id string, kind string, mention_type string, occurrence_index int, char_offset int, sentence_index int, normalized_position double, in_first_sentence boolean, order_rank int, occurrences_total int, context string, confidence double, char_end int"
 ASCII_WORD = re.compile("[a-z0-9]+")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
@@ -174,7 +174,7 @@ class Matcher:
                 sentence = bisect_right(starts, s.start) - 1
                 rows.append((
                     e["id"], e["kind"], s.kind, k, at[s.start], sentence, at[s.start] / total if total else 0.0, sentence == 0,
-                    rank[who], len(spans), context(text, s.start, s.end, at), KINDS[s.kind][1],
+                    rank[who], len(spans), context(text, s.start, s.end, at), KINDS[s.kind][1], at[s.end],
                 ))
         return sorted(rows, key=lambda r: (r[4], r[8], str(r[0])))
 

@@ -59,6 +59,17 @@ def snapshot_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id").agg(F.coalesce(F.min_by("text", F.when(F.col("role") == "user", F.col("turn"))), F.lit("none")).alias("first_text"), F.array_join(turns, ",").alias("turns"))
 
 
+@query("correlated_backfill", """SELECT c_custkey, coalesce((SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_orderdate, o_orderkey LIMIT 1), -c_custkey) AS first_order,
+  coalesce((SELECT string_agg(o_orderkey, ',' ORDER BY o_orderkey) FROM orders o WHERE o_custkey = c_custkey AND o_orderkey <> (SELECT p.o_orderkey FROM orders p WHERE p.o_custkey = c_custkey ORDER BY p.o_orderdate, p.o_orderkey LIMIT 1)), '') AS others FROM customer""")
+def correlated_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first value by order out of a second table, with a fallback, and the ids that are left once it is taken out."""
+    of = F.col("o_orderkey")
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min_by(of, F.struct("o_orderdate", "o_orderkey")).alias("first"), F.array_sort(F.collect_list(of)).alias("ids"))
+    out = read(spark, sf_dir, "customer").select("c_custkey").join(orders, "c_custkey", "left")
+    others = F.array_join(F.array_remove("ids", F.col("first")).cast("array<string>"), ",")
+    return out.select("c_custkey", F.coalesce("first", -F.col("c_custkey")).alias("first_order"), F.coalesce(others, F.lit("")).alias("others"))
+
+
 @query("distinct_citations", f"WITH {CITATION_SQL}, n AS (SELECT sample_id, page_id, {NORM_SQL} AS nurl, url FROM cit), f AS (SELECT sample_id, url, min(page_id) AS page_id FROM n GROUP BY ALL) SELECT sample_id, string_agg(url, ' | ' ORDER BY page_id) AS urls FROM f GROUP BY sample_id")
 def distinct_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cited addresses in order of first appearance, each once."""
@@ -151,25 +162,6 @@ def throttle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("admitted", F.col("calls") <= 20)
 
 
-def segments(text: Column, spans: Column) -> Column:
-    """Pieces of a text, marked or plain, whose concatenation is the text. spans: array<struct<start, end>> in characters; of those that
-    overlap the first counts, and the longer at the same start."""
-    ordered = F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("neg")))), lambda s: F.struct(s["start"].alias("start"), (-s["neg"]).alias("end")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,marked:boolean>>").alias("out"))
-    piece = lambda lo, hi, m: F.struct(F.substring(text, lo + 1, hi - lo).alias("text"), F.lit(m).alias("marked"))
-    step = lambda a, s: F.when(s["start"] < a["at"], a).otherwise(F.struct(s["end"].alias("at"), F.concat(a["out"], F.array(piece(a["at"], s["start"], False), piece(s["start"], s["end"], True))).alias("out")))
-    done = lambda a: F.filter(F.concat(a["out"], F.array(piece(a["at"], F.char_length(text), False))), lambda p: p["text"] != "")
-    return F.aggregate(ordered, zero, step, done)
-
-
-@query("highlight", f"WITH {ENTITY_SQL}, {RESPONSE_SQL} SELECT sample_id, text AS joined, CASE WHEN length(text) > 8 THEN substring(text, 4, 5) ELSE '' END AS marked FROM resp")
-def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters 3 to 8 marked, and an overlapping span that loses."""
-    spans = F.when(F.char_length("text") > 8, F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b in ((5, 7), (3, 6), (3, 8))])).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-    out = responses(spark, sf_dir).select("sample_id", segments(F.col("text"), spans).alias("s"))
-    return out.select("sample_id", F.array_join(F.transform("s", lambda p: p["text"]), "").alias("joined"), F.array_join(F.transform(F.filter("s", lambda p: p["marked"]), lambda p: p["text"]), "").alias("marked"))
-
-
 @query("provider_score_cells", f"WITH {OBS_SQL} SELECT run_id, query_id, provider, mode, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY run_id, query_id, provider, mode ORDER BY sample_id) AS rank FROM done) WHERE rank = 1")
 def provider_score_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first score of each cell: malformed repeats don't blend."""

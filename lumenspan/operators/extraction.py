@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenspan.operators.catalogue import catalogue_mentions_of
 from lumenspan.queries import query
+from lumenspan.sources.stage import written
 from lumenspan.sources.tables import ENTITY_SQL, RESPONSE_SQL, entities, read, responses
 
 
@@ -56,3 +57,22 @@ def unextracted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers without stored evidence under the version: those that extraction still has to read."""
     answers = responses(spark, sf_dir)
     return answers.join(answers.where("task_id % 3 = 0").select("sample_id"), "sample_id", "left_anti").select("sample_id")
+
+
+def united_evidence(answers: DataFrame, stored: DataFrame, version: str = "v3") -> DataFrame:
+    """stored mention rows (sample_id, ...) as they are, and new ones of the answers that none are stored of. What is stored isn't
+    extracted again, whatever it holds; an answer without a mention is stored as a row without an entity."""
+    fresh = answers.join(stored.select("sample_id").distinct(), "sample_id", "left_anti")
+    rows = mention_rows(fresh, version).withColumn("origin", F.lit("fresh"))
+    return stored.where("entity_id IS NOT NULL").withColumn("origin", F.lit("stored")).unionByName(rows)
+
+
+@query("evidence_united", f"WITH {ENTITY_SQL}, {RESPONSE_SQL}" + r""", tok AS (SELECT sample_id, task_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS token FROM resp)
+SELECT sample_id, entity_id, CASE WHEN task_id % 3 = 0 THEN 'stored' ELSE 'fresh' END AS origin, count(*) AS n FROM tok JOIN ent ON token = name OR token = alias GROUP BY ALL""")
+def evidence_united(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the answers were read before; their mentions were written, also of answers without any."""
+    answers = responses(spark, sf_dir)
+    before = answers.where("task_id % 3 = 0").select("sample_id")
+    stored = written(before.join(mention_rows(answers.where("task_id % 3 = 0")), "sample_id", "left"), "stored-mentions")
+    found = united_evidence(answers, stored).where(F.col("mention_type").isin("EXACT", "ALIAS"))
+    return found.groupBy("sample_id", "entity_id", "origin").agg(F.count(F.lit(1)).alias("n"))

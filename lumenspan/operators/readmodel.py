@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenspan.functions.stats import exact_mean_sql
 from lumenspan.operators.rollup import STATUS_SQL, TALLY_SQL, TASK, final_status, paired_delta_of, run_mode_score, summary_sql, tally
 from lumenspan.queries import query
+from lumenspan.sources.stage import new_path
 from lumenspan.sources.tables import OBS_SQL, PROVIDER_SQL, completed, observations, providers, read
 
 PAIR_SQL = f"""WITH {OBS_SQL}, {PROVIDER_SQL}, cell AS (
@@ -112,11 +113,28 @@ def runs_recent_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*TASK, final_status().alias("status"), "place")
 
 
-@query("task_page", f"WITH {OBS_SQL} SELECT run_id, query_id, provider, mode, count(*) AS calls FROM obs WHERE run_id = '2024-01-05' GROUP BY run_id, query_id, provider, mode ORDER BY query_id, provider, mode = 'GROUNDED' LIMIT 25 OFFSET 25")
+PAGE = 25
+
+
+def written_pages(rows: DataFrame, by: str, order: list[Column], path: str, size: int = PAGE) -> None:
+    """Rows in blocks of a page each, by their rank among those of their `by`: a page is read from its own folder alone."""
+    rank = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
+    rows.withColumn("place", rank).withColumn("page", F.floor(rank / size).cast("int")).write.partitionBy(by, "page").parquet(path)
+
+
+def page_of(spark: SparkSession, path: str, schema, by: str, which: str, page: int) -> DataFrame:
+    """The rows of a page, in order; filters on folders, so nothing else is read or sorted."""
+    return spark.read.schema(schema).parquet(path).where((F.col(by) == which) & (F.col("page") == page)).orderBy("place")
+
+
+@query("task_page", f"WITH {OBS_SQL}, t AS (SELECT run_id, query_id, provider, mode, count(*) AS calls FROM obs GROUP BY ALL), p AS (SELECT *, (row_number() OVER (PARTITION BY run_id ORDER BY query_id, provider, mode = 'GROUNDED') - 1) // {PAGE} AS page FROM t) SELECT run_id, query_id, provider, mode, calls FROM p WHERE page = 1 AND run_id = '2024-01-05'")
 def task_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The second page of a run's tasks."""
-    tasks = observations(spark, sf_dir).where(F.col("run_id") == F.lit("2024-01-05")).groupBy(*TASK).agg(F.count(F.lit(1)).alias("calls"))
-    return tasks.orderBy("query_id", "provider", mode_rank()).offset(25).limit(25)
+    """The second page of a run's tasks, out of the written pages of all runs."""
+    tasks = observations(spark, sf_dir).groupBy(*TASK).agg(F.count(F.lit(1)).alias("calls"))
+    path = new_path(spark, "task-pages")
+    written_pages(tasks, "run_id", [F.col("query_id"), F.col("provider"), mode_rank()], path)
+    schema = "query_id long, provider string, mode string, calls long, place int, run_id string, page int"
+    return page_of(spark, path, schema, "run_id", "2024-01-05", 1).select(*TASK, "calls")
 
 
 @query("provider_chart_pivot", f"WITH {OBS_SQL} SELECT provider, round(quantile_cont(score, 0.5) FILTER (mode = 'GROUNDED'), 6) AS grounded_median, round(quantile_cont(score, 0.5) FILTER (mode = 'PARAMETRIC'), 6) AS parametric_median, count_if(mode = 'GROUNDED')::BIGINT AS grounded_n, count_if(mode = 'PARAMETRIC')::BIGINT AS parametric_n FROM done GROUP BY provider")
