@@ -6,8 +6,8 @@ notices. Whole documents are looked up, and so are their lines and their blank-l
 other text. The catalogue is a parameter of fixed size, far below a megabyte, and is broadcast; documents aren't shuffled, only the
 few units that matched.
 
-Null text is empty; an empty canonical form matches nothing. Units that repeat count once for each place. Rows that share a doc_id, null
-included, share their findings. An empty table gives an empty result. Further columns aren't looked at.
+Null text is empty; an empty canonical form matches nothing. Units that repeat count once for each place. Rows that share a doc_id, null or
+not, have each the findings of its own text. An empty table gives an empty result. Further columns aren't looked at.
 """
 
 from __future__ import annotations
@@ -110,10 +110,13 @@ def license_scan(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", en
     """One row for each row of docs: doc_id, text_digest, license (of the whole text, or null), notices (sorted licences of its
     lines and paragraphs, comma-separated), n_notices (lines and paragraphs that are one)."""
     known = F.broadcast(docs.sparkSession.createDataFrame(catalogue(entries), "text_digest string, license string"))
-    inside = license_units(docs, text, doc_id, entries).where(F.col("unit") != "text")
-    inside = inside.groupBy(F.col("doc_id").alias("__id")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices"))
-    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text_digest"))
-    out = slim.join(known, "text_digest", "left").join(inside, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # rows are told apart by doc_id and text together: equal ones find the same
+    whole, own = F.coalesce(F.col(f"`{text}`"), F.lit("")), F.col(f"`{doc_id}`")
+    key = F.struct(F.xxhash64(F.lit(1), own, whole).alias("a"), F.xxhash64(F.lit(2), own, whole).alias("b"))
+    inside = license_units(docs.select(key.alias("key"), whole.alias("whole")), "whole", "key", entries).where(F.col("unit") != "text")
+    inside = inside.groupBy(F.col("doc_id").alias("key")).agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"), F.count_distinct("unit", "at").alias("n_notices"))
+    slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), key.alias("key"), digest(whole).alias("text_digest"))
+    out = slim.join(known, "text_digest", "left").join(inside, "key", "left")
     return out.select("doc_id", "text_digest", "license", F.coalesce("notices", F.lit("")).alias("notices"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"))
 
 

@@ -60,3 +60,11 @@ def test_columns_and_driver_agree(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.c for r in df.select("i", ls.canonical(df.t).alias("c")).collect()}
     assert [got[i] for i in range(len(texts))] == [ls.canonical_text(t) for t in texts]
+
+
+def test_rows_without_an_id_have_findings_of_their_own(spark):
+    rows = [(None, "Released under the MIT Licence.\n\nmore"), (None, "nothing\n\nhere"), (4, "Licensed under the Apache License, Version 2.0.\nx"), (4, "plain\ntext"), (5, "Released under the MIT Licence.\n\nmore"), (5, "Released under the MIT Licence.\n\nmore"), (6, None)]
+    got = ls.license_scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    alone = {t: ls.license_scan(spark.createDataFrame([(1, t)], "doc_id long, text string")).first() for _, t in rows}
+    assert sorted((str(r.doc_id), r.notices, r.n_notices) for r in got) == sorted((str(d), alone[t].notices, alone[t].n_notices) for d, t in rows)
+    assert any(r.n_notices for r in got)
