@@ -316,8 +316,9 @@ def _scores(seats: Restaurants, occurs: bytes, p: np.ndarray, counts: np.ndarray
         if docs_n[k]:
             at, here = np.unique(docs[mine], return_inverse=True)
             sums = [np.bincount(here, weights=x * times[mine]) for x in (logs[of[mine]], known[word[mine]], plain[word[mine]])]
-            short = [np.rint(x * 2**20) / 2**20 for x in sums]  # to six digits: the rest packs to nothing
-            yield part, pack(least(np.diff(at, prepend=0)), short[0], least(sums[1].astype(np.int64)), short[2])
+            # the model's sums to six digits: the rest packs to nothing; the base's to twelve, as it is the same for any way to compute it
+            short = np.rint(sums[0] * 2**20) / 2**20
+            yield part, pack(least(np.diff(at, prepend=0)), short, least(sums[1].astype(np.int64)), np.rint(sums[2] * 2**40) / 2**40)
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
