@@ -249,6 +249,17 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seeded_intervals(completed(spark, sf_dir), ["run_id", "mode"], seed)
 
 
+@query("pooled_interval")
+def pooled_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The older intervals of runs, modes and engines over pooled samples: a single sample is its own interval."""
+    keys = ["run_id", "mode", "engine"]
+    samples = completed(spark, sf_dir).select("run_id", "mode", F.col("provider").alias("engine"), F.col("sample_id").alias("query_id"), F.col("score").alias("value"))
+    found = intervals(samples, keys, seed_of(*keys, F.lit("v2")))
+    alone = samples.groupBy(*keys).agg(F.min("value").alias("least"))
+    own = lambda c: F.when(F.col("n") == 1, F.col("least")).otherwise(F.col(c)).alias(c)
+    return found.join(alone, keys).select(*keys, "n", F.lit("pooled").alias("method"), own("ci_low"), own("ci_high"))
+
+
 @query("provider_mode_ci")
 def provider_mode_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = completed(spark, sf_dir).withColumn("engine", F.col("provider"))

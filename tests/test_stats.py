@@ -162,6 +162,19 @@ def test_logins_against_a_loop(spark):
     assert [told[i][1] for i in range(11)] == [True] * 5 + [False] * 2 + [True] * 3 + [False] and told[0][0] == "rescores:1"
 
 
+def test_pooled_intervals_are_those_of_the_samples(spark):
+    from lumenspan.functions.stats import bootstrap_pooled, seed_for
+    from lumenspan.operators.rollup import pooled_interval
+    from lumenspan.sources.tables import completed
+
+    sf, groups = "/root/testdata/sf0.001", {}
+    for r in completed(spark, sf).collect():
+        groups.setdefault((r.run_id, r["mode"], r.provider), []).append((str(r.sample_id).encode("utf-16-be"), r.score))
+    got = {(r.run_id, r["mode"], r.engine): (r.n, r.ci_low, r.ci_high) for r in pooled_interval(spark, sf).collect()}
+    assert got == {k: (len(v), *bootstrap_pooled([x for _, x in sorted(v)], seed_for([*k, "v2"]))) for k, v in groups.items()}
+    assert 1 in {n for n, _, _ in got.values()}
+
+
 def test_missing_buckets_fail_closed(spark):
     from lumenspan.plans.buckets import token_bucket_of
 
