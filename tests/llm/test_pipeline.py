@@ -29,7 +29,7 @@ def corpus(spark, tmp_path_factory):
     rows += [(None, prose(rng, "en", 50), None)]
     folder = tmp_path_factory.mktemp("sf")
     docs = spark.createDataFrame([(i, t, lang, "src", len(t or "")) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs.withColumns({"bits": F.lit(1), "hash__x": F.lit("y")}).write.parquet(str(folder / "documents.parquet"))
+    docs.withColumns({c: F.lit(1) for c in ("bits", "hash__x", "__row", "lang_pred", "lang_score", "n_lines__ld", "row", "a.b", "key")}).write.parquet(str(folder / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
     return str(folder), rows
 
