@@ -89,10 +89,11 @@ def catalogue_mentions_of(answers: DataFrame, catalogue: DataFrame, version: str
     return found.select("key", F.explode_outer("mentions").alias("m")).where("m IS NOT NULL").select("key", "m.*")
 
 
-#: A catalogue out of the tables: for each language the words of the benchmark, those of odd length as names, the next one of even length as alias.
+#: A catalogue out of the tables: for each language the words of the benchmark, those of odd length as names, the next one of even length
+#: and the same first letter as alias.
 CATALOGUE_SQL = r"""word AS (
   SELECT DISTINCT w FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark) WHERE length(w) >= 5), named AS (
-  SELECT n.w AS name, (SELECT min(e.w) FROM word e WHERE length(e.w) % 2 = 0 AND e.w > n.w) AS alias FROM word n WHERE length(n.w) % 2 = 1), cat AS (
+  SELECT n.w AS name, (SELECT min(e.w) FROM word e WHERE length(e.w) % 2 = 0 AND e.w[1] = n.w[1] AND e.w > n.w) AS alias FROM word n WHERE length(n.w) % 2 = 1), cat AS (
   SELECT lang AS project_id, lang || ':' || name AS id, name, alias FROM named, (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))"""
 
 
@@ -100,17 +101,13 @@ def benchmark_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     token = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))
     word = read(spark, sf_dir, "benchmark").select(token.alias("w")).where(F.char_length("w") >= 5).distinct()
     odd = F.char_length("w") % 2 == 1
-    # the next word of even length: letters first, so that this needs no window over all of them
-    block = F.substring("w", 1, 1)
-    even = word.where(~odd).select(block.alias("block"), "w").groupBy("block").agg(F.array_sort(F.collect_list("w")).alias("evens"))
-    first = even.select("block", F.element_at("evens", 1).alias("least"))
-    names = word.where(odd).select(F.col("w").alias("name"), block.alias("block")).join(F.broadcast(even), "block", "left")  # a row for each letter
-    later = names.join(F.broadcast(first.select(F.col("block").alias("b"), "least")), F.col("b") > F.col("block"), "left")
-    later = later.groupBy("name", "evens").agg(F.min("least").alias("later"))
-    alias = F.coalesce(F.get(F.filter("evens", lambda e: e > F.col("name")), F.lit(0)), F.col("later"))
-    named = later.select("name", alias.alias("alias"))
-    langs = read(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.col("lang").alias("project_id")).distinct()
-    return langs.join(named, F.lit(True)).select(
+    block = F.substring("w", 1, 1).alias("block")
+    even = word.where(~odd).groupBy(block).agg(F.array_sort(F.collect_list("w")).alias("evens"))
+    named = word.where(odd).select(F.col("w").alias("name"), block).join(even, "block", "left")
+    alias = F.get(F.filter("evens", lambda e: e > F.col("name")), F.lit(0))
+    langs = read(spark, sf_dir, "documents").agg(F.collect_set("lang").alias("langs"))  # one row
+    listed = named.select("name", alias.alias("alias")).crossJoin(F.broadcast(langs)).withColumn("project_id", F.explode("langs"))
+    return listed.select(
         "project_id", F.concat("project_id", F.lit(":"), "name").alias("id"), F.lit("COMPETITOR").alias("kind"), "name",
         F.array_compact(F.array("alias")).alias("aliases"), F.lit(None).cast("string").alias("domain"),
     )

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumenspan.functions.answers import MIN_SENTENCE
 from lumenspan.functions.stats import ratio
 from lumenspan.operators.catalogue import neighbours
 from lumenspan.functions.urls import in_locale
@@ -133,11 +134,24 @@ def majority_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.groupBy("user_id").agg(F.max_by(name, F.struct("n", "severity")).alias("sentiment"), F.sum("n").alias("verdicts"))
 
 
-@query("sentence_split", f"WITH {RESPONSE_SQL} SELECT sample_id, len(list_filter(string_split_regex(regexp_replace(text, '([.!?…])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> ''))::BIGINT AS parts, count(*) OVER (PARTITION BY sample_id) AS answers FROM resp")
+@query("sentence_split", f"WITH {RESPONSE_SQL}" + r""", cut AS (SELECT sample_id, string_split(regexp_replace(text, '([.!?…])(\s+)', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) AS parts FROM resp), len AS (
+  SELECT sample_id, parts, list_transform(parts, lambda x: length(CASE WHEN contains(x, chr(2)) THEN split_part(x, chr(2), 2) ELSE x END)) AS body, list_transform(parts, lambda x: CASE WHEN contains(x, chr(2)) THEN length(split_part(x, chr(2), 1)) ELSE 0 END) AS gap FROM cut), brk AS (
+  SELECT sample_id, list_transform(range(1, len(parts) + CASE WHEN body[-1] = 0 AND len(parts) > 1 THEN -1 ELSE 0 END), lambda i: {'n': 1, 'p': body[i], 's': gap[i + 1], 'held': 0}) AS b FROM len)
+SELECT sample_id, list_reduce(b, lambda a, x: CASE WHEN a.held + x.p >= 10 THEN {'n': a.n + 1, 'p': 0, 's': 0, 'held': 0} ELSE {'n': a.n, 'p': 0, 's': 0, 'held': a.held + x.p + x.s} END, {'n': 1, 'p': 0, 's': 0, 'held': 0}).n::BIGINT AS sentences FROM brk""")
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breaks after closing punctuation and white space, before short sentences are joined."""
-    parts = F.filter(F.split("text", r"(?<=[.!?…])\s+"), lambda x: x != "")
-    return responses(spark, sf_dir).select("sample_id", F.size(parts).cast("long").alias("parts"), F.count(F.lit(1)).over(Window.partitionBy("sample_id")).alias("answers"))
+    """Sentences of answers: breaks after closing punctuation and white space, but for what is shorter than ten characters, which the next one takes in."""
+    return responses(spark, sf_dir).select("sample_id", sentences(F.col("text")).alias("sentences"))
+
+
+def sentences(text: Column) -> Column:
+    """How many sentences a text has, as mentions count them."""
+    parts, gaps = F.split(text, r"(?<=[.!?…])\s+"), F.regexp_extract_all(text, F.lit(r"(?<=[.!?…])(\s+)"), F.lit(1))
+    # white space at the end of a text is no break
+    breaks = F.size(gaps) - F.when(F.element_at(parts, -1) == "", 1).otherwise(0)
+    both = F.slice(F.zip_with(parts, gaps, lambda p, g: F.struct(F.char_length(p).alias("p"), F.char_length(g).alias("g"))), F.lit(1), F.greatest(breaks, F.lit(0)))
+    state = lambda n, held: F.struct(n.cast("long").alias("n"), held.cast("int").alias("held"))
+    step = lambda a, x: F.when(a["held"] + x["p"] >= MIN_SENTENCE, state(a["n"] + 1, F.lit(0))).otherwise(state(a["n"], a["held"] + x["p"] + x["g"]))
+    return F.aggregate(both, state(F.lit(1), F.lit(0)), step)["n"]
 
 
 @query("entity_citation_paths", f"WITH {CITATION_SQL}, {RESPONSE_SQL} SELECT engine, source_kind, count(*) AS n FROM cit JOIN resp USING (sample_id) GROUP BY ALL")

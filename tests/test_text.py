@@ -134,6 +134,14 @@ def test_normal_addresses(spark):
     assert {r.u: r.n for r in df.select("u", normalized_url(F.col("u")).alias("n")).collect()} == URLS
 
 
+def test_sentences_as_columns(spark):
+    from lumenspan.operators.evidence import sentences
+
+    texts = ["", "One.", "One. Two.", "A first sentence here. And a second one! ", "Short. Yes. No. A longer end follows here. x", "Dr. Who went. Home… at last?  Yes\nno. "] + ["A b. " * n for n in range(9)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(sentences(F.col("t")).alias("n")).collect()] == [len(sentence_starts(t)) for t in texts]
+
+
 def test_hosts_beyond_ascii(spark):
     asked = {
         "https://www.Bücher.de/Straße?q=1": "xn--bcher-kva.de/stra%c3%9fe?q=1", "MÜNCHEN.example.com": "xn--mnchen-3ya.example.com", "http://u:p@例え.jp:80/": "xn--r8jz45g.jp",
