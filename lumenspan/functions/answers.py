@@ -12,7 +12,7 @@ import itertools
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -49,6 +49,24 @@ class Span:
         return self.start < other.end and other.start < self.end
 
 
+class Apart:
+    """Spans by start, to be asked whether one meets any of them. What is added later overlaps none that is there."""
+
+    def __init__(self, spans: Iterable[Span] = ()) -> None:
+        ordered = sorted((s.start, s.end) for s in spans)
+        self.starts = [a for a, _ in ordered]
+        self.ends = list(itertools.accumulate((b for _, b in ordered), max))  # the furthest of it and all before
+
+    def meet(self, s: Span) -> bool:
+        at = bisect_left(self.starts, s.end)
+        return at > 0 and self.ends[at - 1] > s.start
+
+    def add(self, s: Span) -> None:
+        at = bisect_left(self.starts, s.start)
+        self.starts.insert(at, s.start)
+        self.ends.insert(at, s.end)
+
+
 class _Plain(dict):
     """Characters to what they are without accents and case; filled as they are met."""
 
@@ -145,15 +163,18 @@ class Matcher:
 
     def settled(self, found: list[Span], version: str) -> list[Span]:
         if version == "v3":
-            spelled = [s for s in found if s.kind != "APPROXIMATE"]
-            found = [s for s in found if s.kind != "APPROXIMATE" or not any(s.meets(x) for x in spelled)]
+            spelled = Apart((s for s in found if s.kind != "APPROXIMATE"))
+            found = [s for s in found if s.kind != "APPROXIMATE" or not spelled.meet(s)]
             found.sort(key=lambda s: (KINDS[s.kind][0], s.start - s.end, str(self.entities[s.who]["id"]), s.start))
         else:
             found.sort(key=lambda s: (s.who, KINDS[s.kind][0], s.start))
         kept: list[Span] = []
+        held: dict[int, Apart] = {}
         for s in found:
-            if not any(s.meets(x) for x in kept if version == "v3" or x.who == s.who):
+            others = held.setdefault(0 if version == "v3" else s.who, Apart())
+            if not others.meet(s):
                 kept.append(s)
+                others.add(s)
         return kept
 
     def mentions(self, text: str | None, version: str) -> list[tuple]:
