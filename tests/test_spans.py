@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from lumenspan.functions.answers import KINDS, Matcher
 from lumenspan.operators.extraction import united_evidence
-from lumenspan.operators.readmodel import page_of, written_pages
+from lumenspan.operators import readmodel
+from lumenspan.operators.readmodel import page_of, written_blocks, written_pages
 from lumenspan.operators.spans import BIN, clear_of, segments, settled
 from lumenspan.sources.payloads import sniffed
 
@@ -77,6 +78,19 @@ def test_a_page_reads_its_block_alone(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(run_id" in page._jdf.queryExecution().toString()
 
 
+def test_many_pages_are_few_files(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(f"r{i % 3}", i) for i in range(6000)], "run_id string, n long")
+    written_blocks(rows, "run_id", [F.desc("n")], str(tmp_path / "p"), 10)
+    page = page_of(spark, str(tmp_path / "p"), "n long, place int, run_id string, page int", "run_id", "r1", 3)
+    assert [r.n for r in page.collect()] == [x for x in range(5999, -1, -1) if x % 3 == 1][30:40]
+    assert "EqualTo(page,3)" in page._jdf.queryExecution().toString()
+    monkeypatch.setattr(readmodel, "new_path", lambda spark, name: str(tmp_path / name))
+    assert readmodel.task_page(spark, "/root/testdata/sf0.001").count() > 0
+    # 600 pages, and those of the query: no folder or file for each
+    for name in ("p", "task-pages"):
+        assert len(list((tmp_path / name).rglob("*.parquet"))) <= 4
+
+
 def test_stored_evidence_stays_as_it_is(spark):
     answers = spark.createDataFrame([(1, "inble and antion"), (2, "inble"), (3, "nothing"), (4, "thtion inble")], "sample_id long, text string")
     fresh = united_evidence(answers, united_evidence(answers.where("false"), _none(spark)).drop("origin"))
