@@ -13,7 +13,7 @@ import re
 import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -31,6 +31,7 @@ WORD = r"[\p{L}\p{N}]+"
 VERSIONS = ("v2", "v3")
 MENTION = "entity_id string, kind string, mention_type string, occurrence_index int, char_offset int, sentence_index int, normalized_position double, in_first_sentence boolean, order_rank int, occurrences_total int, context string, confidence double, char_end int"
 ASCII_WORD = re.compile("[a-z0-9]+")
+GAP = re.compile(r"\s+")
 SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
@@ -38,8 +39,7 @@ def units(text: str) -> int:
     return len(text.encode("utf-16-le", "surrogatepass")) // 2
 
 
-@dataclass(frozen=True)
-class Span:
+class Span(NamedTuple):
     kind: str
     start: int
     end: int
@@ -99,6 +99,7 @@ def one_edit(a: str, b: str) -> bool:
     return a[same + (len(a) == len(b)) :] == b[same + 1 :]
 
 
+@functools.lru_cache(maxsize=FORMS)
 def bare_host(domain: str) -> str:
     domain = re.sub(r"^[a-z][a-z0-9+.-]*://", "", domain.strip().lower())
     return re.sub(r"[/?#].*$", "", re.sub(r"^www\.", "", domain), flags=re.S).rstrip(".")
@@ -124,19 +125,31 @@ def needle_of(text: str) -> str:
     return fold(text.strip())[0]
 
 
+@functools.lru_cache(maxsize=FORMS)
+def one_word(needle: str) -> bool:
+    return word_form().fullmatch(needle) is not None
+
+
 class Matcher:
     """The needles of a catalogue of entities. near: for tokens that are known to be one edit away from names the places of these in the
     catalogue; all others are far from all names. If it isn't given, tokens are compared with the names as they are met."""
 
     def __init__(self, entities: list[dict], near: dict[str, tuple[int, ...]] | None = None) -> None:
         self.entities, self.word = entities, word_form()
+        # needles of one word are looked up by the text's tokens, all others are searched for
+        self.spelled: dict[str, list[tuple[str, int]]] = {}
         self.needles, self.fuzzy = [], []
         # tokens met so far: whose names are one edit away, or nobody's
         self.near: dict[str, tuple[int, ...]] = near or {}
         self.far: set[str] = set()
         for who, e in enumerate(entities):
             asked = [("EXACT", e["name"]), *(("ALIAS", a) for a in e["aliases"] or []), ("DOMAIN", bare_host(e["domain"] or ""))]
-            self.needles += [(kind, who, needle) for kind, text in asked if (needle := needle_of(text))]
+            for kind, text in asked:
+                if needle := needle_of(text):
+                    if one_word(needle):
+                        self.spelled.setdefault(needle, []).append((kind, who))
+                    else:
+                        self.needles.append((kind, who, needle))
             if near is None and len(name := needle_of(e["name"])) >= MIN_FUZZY:
                 self.fuzzy.append((who, name))
 
@@ -153,12 +166,19 @@ class Matcher:
     def spans(self, text: str) -> list[Span]:
         folded, origin = fold(text)
         found = [Span(kind, origin[m.start()], origin[m.end()], who) for kind, who, needle in self.needles if needle in folded for m in form(needle).finditer(folded)]
-        if self.fuzzy or self.near:
-            tokens = set(ASCII_WORD.findall(folded) if folded.isascii() else self.word.findall(folded))
+        if self.spelled or self.fuzzy or self.near:
+            word = ASCII_WORD if folded.isascii() else self.word
+            tokens = set(word.findall(folded))
             if self.fuzzy:
                 self._meet(tokens)
-            if not self.near.keys().isdisjoint(tokens):  # most texts have no such token
-                found += [Span("APPROXIMATE", origin[m.start()], origin[m.end()], who) for m in self.word.finditer(folded) for who in self.near.get(m[0], ())]
+            spelled, near = self.spelled, self.near
+            if not (spelled.keys().isdisjoint(tokens) and near.keys().isdisjoint(tokens)):  # most texts have no such token
+                for m in word.finditer(folded):
+                    token = m[0]
+                    if token in spelled or token in near:
+                        start, end = origin[m.start()], origin[m.end()]
+                        found += [Span(kind, start, end, who) for kind, who in spelled.get(token, ())]
+                        found += [Span("APPROXIMATE", start, end, who) for who in near.get(token, ())]
         return found
 
     def settled(self, found: list[Span], version: str) -> list[Span]:
@@ -222,7 +242,7 @@ def context(text: str, start: int, end: int, at: Sequence[int] | None = None) ->
     """The text around a span, RADIUS UTF-16 units on both sides; a character that would be cut in half is left out."""
     at = offsets(text) if at is None else at
     lo, hi = bisect_left(at, at[start] - RADIUS), bisect_right(at, at[end] + RADIUS) - 1
-    return ("…" if lo else "") + re.sub(r"\s+", " ", text[lo:hi]).strip() + ("…" if hi < len(text) else "")
+    return ("…" if lo else "") + GAP.sub(" ", text[lo:hi]).strip() + ("…" if hi < len(text) else "")
 
 
 MENTIONS = f"array<struct<{', '.join(':'.join(c.split(' ')) for c in MENTION.split(', '))}>>"

@@ -18,6 +18,8 @@ from lumenspan.sources.stage import written
 from lumenspan.sources.tables import read
 
 ENTITY = ["id", "kind", "name", "aliases", "domain"]
+#: Answers that a task reads. Texts are dealt by number: a table of few files, or of large row groups, would be few tasks.
+PER_TASK = 2000
 
 
 def words(folded: Column) -> Column:
@@ -60,7 +62,7 @@ def neighbours(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def candidates(answers: DataFrame, catalogue: DataFrame) -> DataFrame:
     """key, candidates from answers (key, project_id, text) and catalogue (project_id, id, kind, name, aliases, domain)."""
-    read_as = answers.select("key", "project_id", folded_column(F.col("text")).alias("folded"))
+    read_as = answers.repartition(width_for(answers), "key").select("key", "project_id", folded_column(F.col("text")).alias("folded"))
     asked = written(needles(catalogue), "needles")
     tokens = written(read_as.select("key", "project_id", words(F.col("folded")).alias("tokens")), "tokens")
     each = tokens.select("key", "project_id", F.explode("tokens").alias("token"))
@@ -77,14 +79,19 @@ def candidates(answers: DataFrame, catalogue: DataFrame) -> DataFrame:
     return entity.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*ENTITY, "near"))).alias("candidates"))
 
 
+def width_for(answers: DataFrame) -> int:
+    return max(int(answers.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-answers.count() // PER_TASK))
+
+
 def catalogue_mentions_of(answers: DataFrame, catalogue: DataFrame, version: str = "v3") -> DataFrame:
     """key and a row for each mention (MENTION's columns). answers: key (one for each answer), project_id, text; catalogue: project_id, id (one
     for each entity of a project), kind, name, aliases, domain. Entities of an answer that begin at one place are ranked by their ids."""
     known(version)
     answers, catalogue = answers.select("key", "project_id", "text"), catalogue.select("project_id", *ENTITY)
-    asked = candidates(answers, catalogue).withColumnRenamed("key", "of")
-    # only answers with candidates are read again
-    joined = answers.join(asked, F.col("key").eqNullSafe(F.col("of")))
+    # a struct, so that a null key is equal to itself and texts are dealt by what they are joined by
+    asked, width = candidates(answers, catalogue).select(F.struct("key").alias("of"), "candidates"), width_for(answers)
+    # only answers with candidates are read again; both sides are dealt alike, so that they meet where they are
+    joined = answers.withColumn("of", F.struct("key")).repartition(width, "of").join(asked.repartition(width, "of"), "of")
     found = joined.select("key", found_among(F.col("text"), F.col("candidates"), version).alias("mentions"))
     return found.select("key", F.explode_outer("mentions").alias("m")).where("m IS NOT NULL").select("key", "m.*")
 

@@ -80,3 +80,20 @@ def test_many_entities_meet_answers_by_keys(spark):
         want += by_hand([(key, project, text)], [tuple(e) for e in near], "v3")
     got = sorted((tuple(r) for r in found.collect()), key=repr)
     assert got == sorted(want, key=repr) and len({g[1] for g in got}) > 100
+
+
+def test_answers_of_one_partition_are_read_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(catalogue, "PER_TASK", 10)
+    docs = spark.range(200).coalesce(1).select(F.col("id").alias("key"), F.lit("p").alias("project_id"), F.lit("one inble here").alias("text"))
+    entities = spark.createDataFrame([("p", "b1", "BRAND", "inble", None, None)], COLUMNS)
+    found = catalogue.catalogue_mentions_of(docs, entities)
+    assert found.groupBy(F.spark_partition_id()).count().count() >= 15 and found.count() == 200
+
+
+def test_needles_of_one_word_are_looked_up():
+    entities = [{"id": f"e{i}", "kind": "BRAND", "name": n, "aliases": [f"the {n}"], "domain": None} for i, n in enumerate(["Inblé", "inble", "a-b", "x"])]
+    matcher = Matcher(entities)
+    assert {n for n in matcher.spelled} == {"inble", "x"} and len(matcher.needles) == 5
+    assert [(m[0], m[2], m[4]) for m in matcher.mentions("INBLE, the x; a-b a-bc xx", "v2")] == [
+        ("e0", "EXACT", 0), ("e1", "EXACT", 0), ("e3", "EXACT", 11), ("e2", "EXACT", 14),
+    ]
