@@ -14,10 +14,13 @@ An empty table gives an empty result. Other columns pass through, whatever their
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialise, table
+from .common import materialise, table, work_dir
 
 SHARDS = 40
 SEED = 20260
@@ -53,7 +56,8 @@ def _dealt(docs: DataFrame, size: Column, doc_id: str, shards: int, seed: int, b
     full = rows.groupBy("shard", "bucket").agg(F.sum("size").alias("n")).where(F.col("n") > 2 * bucket_bytes)
     full = materialise(full.select("shard", "bucket", F.ceil(F.col("n") / bucket_bytes).alias("parts")), "full-buckets")
     if full.isEmpty():
-        return rows.withColumn("part", F.lit(0))
+        # no literal, which a plan drops from the groups but not from the keys of the shuffle, and shuffles again
+        return rows.withColumn("part", F.pmod("bucket", F.lit(1)))
     part = F.coalesce(F.pmod(F.xxhash64(F.lit(seed + 3), "tag"), F.col("parts")), F.lit(0)).cast("int")
     return rows.join(full, ["shard", "bucket"], "left").withColumn("part", part).drop("parts")
 
@@ -71,7 +75,8 @@ def shuffled_shards(docs: DataFrame, size: Column, doc_id: str = "doc_id", shard
     record = F.struct("key", "tie", "row", "grown").alias("record")
     gathered = rows.select(*place, record).repartition(width, *place)
     gathered = gathered.groupBy(*place).agg(F.array_sort(F.collect_list("record"), _order).alias("records")).sortWithinPartitions(*place)
-    mixed = gathered.withColumn("records", F.shuffle("records", F.lit(seed))).join(starts, place)
+    # starts are dealt as the records are, so that these needn't move again to meet them
+    mixed = gathered.withColumn("records", F.shuffle("records", F.lit(seed))).join(starts.repartition(width, *place), place)
     placed = mixed.select("shard", "start", F.posexplode("records").alias("at", "record"))
     row = [F.col("record.row").getField(c).alias(c) for c in docs.columns]
     return placed.select(*row, "shard", (F.col("start") + F.col("at")).cast("long").alias("slot"), F.col("record.grown").alias("grown_shard"))
@@ -84,15 +89,24 @@ def _order(a: Column, b: Column) -> Column:
     return F.when(id_a.eqNullSafe(id_b), tie).when(id_a.isNull(), -1).when(id_b.isNull(), 1).when(id_a < id_b, -1).otherwise(1)
 
 
-def write_shards(docs: DataFrame, path: str, **how) -> None:
+def write_shards(docs: DataFrame, path: str, text: str = "text", **how) -> None:
     """Write the shuffled records straight from their buckets, one folder for each shard; slot tells their order."""
-    text_bytes = F.octet_length(F.coalesce("text", F.lit(""))) + 16
-    shuffled_shards(docs, text_bytes, **how).write.partitionBy("shard").parquet(path)
+    text_bytes = F.octet_length(F.coalesce(F.col(f"`{text}`"), F.lit(""))) + 16
+    shuffled_shards(docs, text_bytes, **how).write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def written_shards(docs: DataFrame, text: str = "text", **how) -> DataFrame:
+    """The records as they were written to the shards in the shared folder, with their places."""
+    spark = docs.sparkSession
+    path = f"{work_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_shards(docs, path, text, **how)
+    kept = [f for f in docs.schema.fields if f.name not in ADDED]
+    places = [T.StructField("slot", T.LongType()), T.StructField("grown_shard", T.IntegerType()), T.StructField("shard", T.IntegerType())]
+    return spark.read.schema(T.StructType([*kept, *places])).parquet(path)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    slim = table(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32"))
-    # what is gathered are rows of three numbers, 64 bytes each as Spark holds them
-    out = shuffled_shards(slim, F.lit(64))
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")
+    """Whole records go through both passes and into the shards' files; size and checksum are those of the texts that were written."""
+    out, text = written_shards(table(spark, sf_dir, "documents")), F.coalesce("text", F.lit(""))
+    size, crc = (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(F.encode(text, "utf-8")).alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit(LAW).alias("law"), "shard", "slot", "grown_shard")

@@ -116,6 +116,18 @@ def test_sharding_query_by_hand(spark):
     assert {(r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got} == want and len(got) == len(text)
 
 
+def test_sharding_query_moves_whole_records(spark, monkeypatch):
+    """The query's digests are those of records that were written to the shards, all columns and texts of them."""
+    sf, seen = "/root/testdata/sf0.001", []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda docs, path, *a, **how: (seen.append(path), write(docs, path, *a, **how)))
+    got = sharding.op10_sharding(spark, sf).collect()
+    written = spark.read.parquet(seen[0])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len(seen) == 1 and Counter(written.select(docs.columns).collect()) == Counter(docs.collect())
+    assert {(r.shard, r.slot, r.doc_id) for r in written.collect()} == {(r.shard, r.slot, r.doc_id) for r in got}
+
+
 def test_one_doc_id_fills_many_buckets(spark):
     """A third of the rows share a doc_id, some of them wholly equal: no bucket holds more than a few of them."""
     rows = [(7, f"text {i}" if i % 2 else "same") for i in range(300)] + [(i, "x") for i in range(1000, 1600)]
