@@ -1,10 +1,10 @@
-"""Groups of texts by resemblance: MinHash bands find candidates, the exact Jaccard similarity of their shingles decides.
+"""Groups of texts by resemblance: SimHash links and MinHash bands find candidates, the exact Jaccard similarity of their shingles decides.
 
 Texts whose sets of different shingles are equal are one node from then on. A node has `BANDS` keys of `ROWS` minima each; two texts that
 share 0.8 of their shingles have a key in common with probability 1 - (1 - 0.8^7)^50 = 0.99999, whatever the size of the input. Nodes
 that share a key are linked to the smallest of them, first within an Arrow batch, so that a key that very many nodes share reaches the
-next task as one row a batch. The components of these links are candidates only: the texts of each are brought together once and
-all pairs that aren't joined yet are compared.
+next task as one row a batch. Op 1's links join them: SimHash fingerprints within three bits, by its index. The components of all these links
+are candidates only: the texts of each are brought together once and all pairs that aren't joined yet are compared.
 
 A component of more than `GROUP_ROWS` nodes is dealt over tasks: chunks with some hubs that all of them get, then all rows outside of the
 largest group found, in chunks, against all chunks. So every pair is compared or joined already, and a family of copies costs in
@@ -101,6 +101,21 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return dealt.repartition(width, "key").mapInArrow(meet, "u long, v long")
 
 
+def simhash_candidates(prints: DataFrame, nodes: DataFrame) -> DataFrame:
+    """u, v: links between nodes (digest, id) that texts of fingerprints within three bits make. prints: digest, fp of each text."""
+    from . import simhash
+
+    of = materialise(prints.select("digest", "fp").distinct().join(nodes.select("digest", "id"), "digest").select("fp", "id"), "fingerprint-nodes")
+    first = materialise(of.groupBy("fp").agg(F.min("id").alias("v")), "fingerprints")
+    same = of.join(first, "fp").where("id <> v").select(F.col("id").alias("u"), "v")
+    linked = simhash.links(first.select("fp")).withColumnsRenamed({"u": "a", "v": "b"})
+    far = linked.join(first.select(F.col("fp").alias("a"), F.col("v").alias("u")), "a").join(first.select(F.col("fp").alias("b"), "v"), "b")
+    out = materialise(same.unionByName(far.where("u <> v").select("u", "v")), "simhash-links")
+    for table in (of, first):
+        discard(table)
+    return out
+
+
 def near_pairs(sets: list[np.ndarray], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers of sets that share SHARED / OF of their values: enough pairs to join all such sets of different groups."""
     n = np.array([len(s) for s in sets])
@@ -200,24 +215,31 @@ def confirmed(texts: DataFrame, linked: DataFrame, limit: int = GROUP_ROWS) -> D
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", limit: int = GROUP_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Of tagged docs, both written: (doc_id, row, digest, keys) of each row, and (digest, root, first) of each different text, with first the row of a digest
+    """Of tagged docs, both written: (doc_id, row, digest, keys, fp) of each row, and (digest, root, first) of each different text, with first the row of a digest
     that has the smallest doc_id (nulls last, then the smallest row)."""
     slim = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col("__row").alias("row"), F.encode(F.col(f"`{text}`").cast("string"), "utf-8").alias("text"))
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.BinaryType())])
+    schema = T.StructType([
+        slim.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("keys", T.BinaryType()), T.StructField("fp", T.LongType()),
+    ])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .simhash import fingerprint
+
         for batch in batches:
-            digests, keys = [], []
+            digests, keys, codes = [], [], []
             for t in batch.column(2):
-                h = shingles(t.as_py() or b"")
+                h = shingles(text := t.as_py() or b"")
+                codes.append(fingerprint(text))
                 digests.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest())
                 keys.append(band_keys(h).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(keys, pa.binary()), pa.array(codes, pa.int64())], names=schema.names)
 
     prints = materialise(slim.mapInArrow(read, schema), "min-hashes")
     nodes = prints.groupBy("digest", "keys").agg(F.min("row").alias("id"), F.min(F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")).alias("first"))
     nodes = materialise(nodes, "min-hash-nodes")
-    joined = confirmed(slim.select(F.col("row").alias("id"), "text"), components(candidates(nodes)), limit)
+    by_simhash = simhash_candidates(prints, nodes)
+    joined = confirmed(slim.select(F.col("row").alias("id"), "text"), components(candidates(nodes).unionByName(by_simhash)), limit)
+    discard(by_simhash)
     named = nodes.join(joined, nodes["id"] == joined["u"], "left").select("digest", F.coalesce("v", "id").alias("root"), "first")
     named = materialise(named, "near-names")
     for table in (nodes, joined):

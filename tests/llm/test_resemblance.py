@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from lumenspan.llm import resemblance
+from lumenspan.llm import resemblance, simhash
 
 
 def edited(rng, words, edits):
@@ -68,3 +68,15 @@ def test_rows_without_or_with_repeated_ids_stay(spark):
     assert got.columns == df.columns
     want = [(7, clean[0])] + rows[1:9]
     assert sorted(((r.doc_id or 0, r.text) for r in got.collect())) == sorted((d or 0, t) for d, t in want)
+
+
+def test_near_dedup_takes_the_links_of_simhash(spark, monkeypatch):
+    """Without any band in common, op 1's links alone bring near copies together; the exact similarity still decides."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)), " ".join(base).upper()]
+    monkeypatch.setattr(resemblance, "candidates", lambda nodes: nodes.sparkSession.createDataFrame([], "u long, v long"))
+    prints = [simhash.fingerprint(t.encode()) % 2**64 for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3
+    df = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {0, 2}
